@@ -43,11 +43,13 @@ def exact_dedup(docs: DataFrame, text: str = "text", id_col: str = "doc_id", pre
     lengths = keys.groupBy(n).agg(F.count("*").alias(size)).filter(F.col(size) > 1).select(n)
     prefixes = keys.join(lengths, n, "left_semi").groupBy(n, p).agg(F.count("*").alias(size))
     prefixes = prefixes.filter(F.col(size) > 1).select(n, p, F.lit(True).alias(hit))
+    # Rows that have left keep a key of their own, so that they don't meet under one null key.
+    alone = F.concat_ws(":", F.col(n).cast("string"), F.col(p).cast("string"))
     marked = keyed.join(prefixes, [n, p], "left").withColumn(
-        full, F.when(F.col(hit), F.sha2(ascii_lower(F.col(text)).cast("binary"), 256))
+        full, F.when(F.col(hit), F.sha2(ascii_lower(F.col(text)).cast("binary"), 256)).otherwise(alone)
     )
     groups = (
-        marked.filter(F.col(full).isNotNull())
+        marked.filter(F.col(hit))
         .groupBy(F.col(full).alias(gid))
         .agg(F.max(id_col).alias(top), F.count("*").alias(size))
         .filter(F.col(size) > 1)
