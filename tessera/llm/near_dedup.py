@@ -9,12 +9,13 @@ similarity as with independent permutations.
 Candidates. BANDS bands of ROWS coordinates; equal band keys make a bucket. Identical
 texts are one node before anything is compared. Work inside a bucket stays linear:
 round 1 compares each node with the bucket's leader (its smallest node), verified links
-are merged into components, and only where a bucket still holds several components the
+are merged into components, and only where a bucket still holds several components
 round 2 compares nodes across components: blocks of the bucket's nodes against blocks of
 those outside its main component, by sketch alone, keeping pairs whose estimate is not
-far below the threshold. Pairs that remain are verified on full shingle sets. Components
+far below the threshold; first each node's likeliest few, and all that are left after
+these have merged. Pairs that remain are verified on full shingle sets. Components
 need one spanning link per merge, so no link between different components is lost
-(up to the chance that banding or the estimate misses a pair, < 1e-5 at the threshold).
+(up to the chance that banding or the estimate misses a pair: below 1e-4 at the threshold).
 
 Heavy buckets and leaders are dealt out by salt; the joins carry keys, and texts move
 only for nodes that have a candidate.
@@ -40,9 +41,11 @@ by_value(__name__)
 SHINGLE = 5
 BANDS, ROWS = 32, 4
 COORDS = BANDS * ROWS
-#: Similarity threshold in hundredths, and the lowest estimate that is still verified (over 4 sigma below).
+#: Similarity threshold in hundredths, and the lowest estimate that is still verified (4 sigma below).
 PERCENT = 75
-ESTIMATE = 0.58
+ESTIMATE = 0.6
+#: Partners of a node and tile in the rounds before the exhaustive one.
+ROUNDS = (2, 4)
 #: Members of one leader, or of one bucket block, that a task compares at once.
 BLOCK = 2000
 
@@ -164,7 +167,7 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     members = pairs.join(sizes, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("k")).cast("int"))
     heads = sizes.select("a", F.col("a").alias("b"), F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("salt"), F.lit(0).alias("role"))
     wanted = members.select("a", "b", "salt", F.lit(1).alias("role")).unionByName(heads)
-    rows = wanted.join(texts.withColumnRenamed("node", "b"), "b")
+    rows = wanted.join(texts.withColumnRenamed("node", "b").hint("merge"), "b")
     lanes = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = rows.repartition(lanes, "a", "salt").sortWithinPartitions("a", "salt", "role", "b")
     return rows.select("a", "b", "role", "text").mapInArrow(_verify, "a long, b long")
@@ -189,44 +192,58 @@ def _components(edges: DataFrame, name: str) -> DataFrame:
         edges = new
 
 
-def _across(nodes: DataFrame, comps: DataFrame) -> DataFrame:
-    """Round 2 candidates: pairs of a bucket's nodes in different components whose sketches look alike."""
-    keys = nodes.select("node", F.explode("bands").alias("band"))
-    keys = keys.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    per = keys.groupBy("band", "comp").agg(F.count("*").alias("n"))
-    buckets = per.groupBy("band").agg(F.count("*").alias("comps"), F.sum("n").alias("size"), F.max_by("comp", F.struct("n", "comp")).alias("main"), F.max("n").alias("most"))
-    mixed = buckets.filter("comps > 1").withColumn("rest", F.col("size") - F.col("most"))
-    rows = keys.join(mixed, "band")
+def _mixed(keys: DataFrame, comps: DataFrame) -> DataFrame:
+    """Bucket rows (band, node, comp) of the buckets that hold several components."""
+    rows = keys.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    split = rows.groupBy("band").agg((F.min("comp") < F.max("comp")).alias("mixed")).filter("mixed").select("band")
+    return rows.join(split, "band", "left_semi")
+
+
+def _across(rows: DataFrame, sk: DataFrame, best: int) -> DataFrame:
+    """Candidates of round 2: pairs of a bucket's nodes in different components whose sketches look alike.
+
+    ``best``: only so many partners of a node in a tile, the likeliest ones; 0: all.
+    """
+    per = rows.groupBy("band", "comp").agg(F.count("*").alias("n"))
+    buckets = per.groupBy("band").agg(F.sum("n").alias("size"), F.max_by("comp", F.struct("n", "comp")).alias("main"), F.max("n").alias("most"))
+    rows = rows.join(buckets.withColumn("rest", F.col("size") - F.col("most")), "band")
     blocks, others = F.ceil(F.col("size") / BLOCK).cast("int"), F.ceil(F.col("rest") / BLOCK).cast("int")
     spread = F.pmod(F.xxhash64("node"), F.lit(1 << 30))
     all_ = rows.select("band", (spread % blocks).alias("i"), F.explode(F.sequence(F.lit(0), others - 1)).alias("j"), "node", "comp", F.lit(0).alias("side"))
     out_ = rows.filter("comp <> main").select("band", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("i"), (spread % others).alias("j"), "node", "comp", F.lit(1).alias("side"))
-    tiles = all_.unionByName(out_.select(all_.columns)).join(nodes.select("node", "sk"), "node")
-    lanes = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tiles = all_.unionByName(out_.select(all_.columns)).join(sk.hint("merge"), "node")
+    lanes = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     tiles = tiles.repartition(lanes, "band", "i", "j").sortWithinPartitions("band", "i", "j", "side", "node")
-    return tiles.select("band", "i", "j", "side", "node", "comp", "sk").mapInArrow(_tiles, "a long, b long").distinct()
+    return tiles.select("band", "i", "j", "side", "node", "comp", "sk").mapInArrow(_tiles(best), "a long, b long").distinct()
 
 
-def _tiles(batches):
+def _tiles(best: int):
     """Streams tiles: the nodes of a block, then those outside the main component, which are compared with it."""
-    tile, ids, cs, sks = None, [], [], []
-    block = None
-    for b in batches:
-        cols = [b.column(c).to_pylist() for c in ("band", "i", "j", "side", "node", "comp", "sk")]
-        pa_, pb_ = [], []
-        for band, i, j, side, node, comp, sk in zip(*cols, strict=True):
-            if tile != (band, i, j):
-                tile, ids, cs, sks, block = (band, i, j), [], [], [], None
-            if side == 0:
-                ids.append(node), cs.append(comp), sks.append(sk)
-                continue
-            if block is None:
-                block = (np.array(ids, np.int64), np.array(cs, np.int64), np.frombuffer(b"".join(sks), np.uint8).reshape(-1, COORDS))
-            if len(block[0]):
-                near = (_similar(block[2], np.frombuffer(sk, np.uint8)) >= ESTIMATE) & (block[1] != comp)
-                for x in block[0][near].tolist():
-                    pa_.append(min(x, node)), pb_.append(max(x, node))
-        yield pa.RecordBatch.from_pydict({"a": pa.array(pa_, pa.int64()), "b": pa.array(pb_, pa.int64())})
+
+    def run(batches):
+        tile, ids, cs, sks = None, [], [], []
+        block = None
+        for b in batches:
+            cols = [b.column(c).to_pylist() for c in ("band", "i", "j", "side", "node", "comp", "sk")]
+            left, right = [], []
+            for band, i, j, side, node, comp, sk in zip(*cols, strict=True):
+                if tile != (band, i, j):
+                    tile, ids, cs, sks, block = (band, i, j), [], [], [], None
+                if side == 0:
+                    ids.append(node), cs.append(comp), sks.append(sk)
+                    continue
+                if block is None:
+                    block = (np.array(ids, np.int64), np.array(cs, np.int64), np.frombuffer(b"".join(sks), np.uint8).reshape(-1, COORDS))
+                if len(block[0]):
+                    like = _similar(block[2], np.frombuffer(sk, np.uint8))
+                    near = np.flatnonzero((like >= ESTIMATE) & (block[1] != comp))
+                    if best and len(near) > best:
+                        near = near[np.lexsort((block[0][near], -like[near]))[:best]]
+                    for x in block[0][near].tolist():
+                        left.append(min(x, node)), right.append(max(x, node))
+            yield pa.RecordBatch.from_pydict({"a": pa.array(left, pa.int64()), "b": pa.array(right, pa.int64())})
+
+    return run
 
 
 def near_classes(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -246,17 +263,23 @@ def near_classes(docs: DataFrame, text: str = "text", id_col: str = "doc_id") ->
     pairs = materialize(pairs.mapInArrow(_estimate, "a long, b long"), "near-pairs1")
 
     def texts_of(p):
+        # A merge join at every size: texts move once, by key, however few candidates there are.
         need = p.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        return slim.select("node", "text").join(need, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
+        return slim.select("node", "text").join(need.hint("merge"), "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
 
     links = materialize(_verified(pairs, texts_of(pairs)), "near-links1")
     comps = _components(links, "near-comp1")
-    more = materialize(_across(nodes, comps), "near-pairs2")
-    links2 = materialize(_verified(more, texts_of(more)), "near-links2")
+    bucket_rows = materialize(_mixed(keys, comps).select("band", "node"), "near-mixed")
+    # A few rounds with each node's likeliest partners merge what belongs together; the last one takes all that is left.
+    for best in (*ROUNDS, 0):
+        more = materialize(_across(_mixed(bucket_rows, comps), sk, best), f"near-pairs-{best}")
+        found = materialize(_verified(more, texts_of(more)), f"near-links-{best}")
+        comps = _components(comps.toDF("a", "b").unionByName(found), f"near-comp-{best}")
     # Rows that repeat an id with several texts are one document for reachability.
     ids = rows.filter("n_shingles > 0 and doc_id is not null").groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b"))
-    joined = links.unionByName(links2).unionByName(ids.filter("a <> b").select("a", "b"))
-    comps = _components(joined, "near-comp2")
+    ids = materialize(ids.filter("a <> b").select("a", "b"), "near-ids")
+    if not ids.isEmpty():
+        comps = _components(comps.toDF("a", "b").unionByName(ids), "near-comp-ids")
     # Groups combine by key first; the smallest id of a component comes back to its rows by a join.
     placed = rows.select("doc_id", "node", "n_shingles").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     low = placed.filter("n_shingles > 0").groupBy("comp").agg(F.min("doc_id").alias("low"))
