@@ -69,6 +69,9 @@ def _signature(line: Column) -> Column:
 
 
 def _verified(pairs: DataFrame, lines: DataFrame) -> DataFrame:
+    # Only lines with a candidate go on; a merge join at every size, so that lines move once, by key.
+    need = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    lines = materialize(lines.join(need.hint("merge"), "id", "left_semi"), "line-texts")
     a, b = lines.select(F.col("id").alias("a"), F.col("line").alias("la")), lines.select(F.col("id").alias("b"), F.col("line").alias("lb"))
     near = F.levenshtein("la", "lb", EDITS)
     return pairs.join(a, "a").join(b, "b").filter((near >= 0) & (near <= EDITS)).select("a", "b")
@@ -83,12 +86,13 @@ def line_components(lines: DataFrame) -> DataFrame:
     shared = leaders.filter("a is not null and low <> high").select("key", "a", "n")
     rows = materialize(rows.join(shared, "key"), "line-shared")
     pairs = rows.filter("id <> a").select(F.least("id", "a").alias("a"), F.greatest("id", "a").alias("b")).distinct()
+    pairs = materialize(pairs, "line-pairs1")
     links = materialize(_verified(pairs, lines), "line-links1")
     comps = _components(links, "line-comp1")
     rows = rows.join(comps.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
     split = rows.groupBy("key").agg((F.min("comp") < F.max("comp")).alias("mixed")).filter("mixed").select("key")
     rows = rows.join(split, "key").select("key", "id", "own", "comp", "n")
-    signed = long.join(rows.select("id").distinct(), "id", "left_semi").select("id", _signature(F.col("line")).alias("sig"))
+    signed = long.join(rows.select("id").distinct().hint("merge"), "id", "left_semi").select("id", _signature(F.col("line")).alias("sig"))
     parts = 2 * EDITS + 1
     width = -(-64 // parts)
     cut = F.array(*[F.xxhash64("key", F.lit(i), F.shiftrightunsigned("sig", i * width).bitwiseAND(F.lit((1 << width) - 1))) for i in range(parts)])
@@ -98,9 +102,9 @@ def line_components(lines: DataFrame) -> DataFrame:
     y = rows.filter("own").select("key", F.col("id").alias("b"), F.col("comp").alias("cb"), F.col("sig").alias("sb"))
     alike = F.bit_count(F.col("sa").bitwiseXOR(F.col("sb"))) <= 2 * EDITS
     more = x.join(y, (x["key"] == y["key"]) & (F.col("ca") != F.col("cb")) & alike)
-    more = more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    more = materialize(more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "line-pairs2")
     links2 = materialize(_verified(more, lines), "line-links2")
-    return _components(links.unionByName(links2), "line-comp2")
+    return _components(comps.toDF("a", "b").unionByName(links2), "line-comp2")
 
 
 def dedup_lines(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
