@@ -90,7 +90,7 @@ def _ranges(sections: dict[int, int], size: int) -> tuple[np.ndarray, np.ndarray
             if filled + n > size:
                 at, filled = at + 1, 0
             first[b], filled = at, filled + n
-    return first, count, at + 1
+    return first, count, int(at) + 1
 
 
 def pack(docs: DataFrame, text: str = "text", id_col: str = "doc_id", tokenizer: str | None = None, partition_bytes: int | None = None) -> DataFrame:

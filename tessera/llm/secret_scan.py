@@ -40,6 +40,8 @@ STATES = len(ALPHABET) + 1
 TOKEN = r"[A-Za-z0-9+/_=-]{16,}"
 #: Mean log-likelihood ratio per bigram above which a token is reported.
 THRESHOLD = 0.5
+#: Weight of a character's own frequency against its frequency after the one before.
+BACK_OFF = 5.0
 #: Bound on the documents that give ordinary identifiers, and on the random strings.
 SAMPLE_DOCS = 100
 SAMPLE_STRINGS = 3000
@@ -108,13 +110,18 @@ def train_markov(samples: DataFrame) -> list[float]:
         .count()
         .collect()
     )
-    n = {0: [1.0] * STATES**2, 1: [1.0] * STATES**2}
-    for label, b, count in counted:
-        n[int(label)][b] += count
-    total = {k: [sum(v[a * STATES : (a + 1) * STATES]) for a in range(STATES)] for k, v in n.items()}
     if not counted:
         return [0.0] * STATES**2
-    return [math.log(n[1][i] / total[1][i // STATES]) - math.log(n[0][i] / total[0][i // STATES]) for i in range(STATES**2)]
+    model = {}
+    for label in (0, 1):
+        n = [0.0] * STATES**2
+        for own, b, count in counted:
+            if own == label:
+                n[b] += count
+        into = [sum(n[b::STATES]) + 1 for b in range(STATES)]
+        all_, row = sum(into), [sum(n[a * STATES : (a + 1) * STATES]) for a in range(STATES)]
+        model[label] = [(n[i] + BACK_OFF * into[i % STATES] / all_) / (row[i // STATES] + BACK_OFF) for i in range(STATES**2)]
+    return [math.log(model[1][i] / model[0][i]) for i in range(STATES**2)]
 
 
 def token_score(token: Column, model: list[float]) -> Column:
