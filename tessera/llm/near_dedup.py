@@ -80,24 +80,20 @@ def shingle_hashes(column: pa.Array, width: int = SHINGLE):
 
 def sketch(elements: np.ndarray, coords: int = COORDS) -> np.ndarray:
     """Fast similarity sketch of distinct 64-bit elements (not empty): one value a coordinate."""
-    out = np.full(coords, ~U64(0), dtype=np.uint64)
-    empty = np.ones(coords, bool)
-    for r in range(coords):
-        h = mix(elements ^ mix(np.array([r + 1], np.uint64)))
-        low = np.full(coords, ~U64(0), dtype=np.uint64)
-        np.minimum.at(low, (h % U64(coords)).astype(np.int64), h)
-        bins = np.flatnonzero(low != ~U64(0))
-        low = low[bins]
-        use = empty[bins]
-        # Values of later rounds are tagged with the round: an earlier round always wins.
-        out[bins[use]] = mix(low[use] + U64(r))
-        empty[bins[use]] = False
-        if not empty.any():
-            return out
-    for i in np.flatnonzero(empty):
+    low, done = np.full(coords, ~U64(0), dtype=np.uint64), 0
+    while done < coords:
+        # Several rounds at once for small sets; a key starts with its round, so an earlier round always wins.
+        k = min(coords - done, -(-3 * coords // len(elements)))
+        rounds = np.arange(done, done + k, dtype=np.uint64)[:, None]
+        h = mix(elements[None, :] ^ mix(rounds + U64(1)))
+        np.minimum.at(low, (h % U64(coords)).astype(np.int64).ravel(), (rounds << U64(54) | h >> U64(10)).ravel())
+        if (low != ~U64(0)).all():
+            return mix(low)
+        done += k
+    for i in np.flatnonzero(low == ~U64(0)):
         h = mix(elements ^ mix(np.array([coords + i + 1], np.uint64)))
-        out[i] = mix(h.min(keepdims=True) + U64(coords + i))[0]
-    return out
+        low[i] = U64(coords) << U64(54) | h.min() >> U64(10)
+    return mix(low)
 
 
 def band_keys(sk: np.ndarray) -> np.ndarray:
