@@ -86,8 +86,9 @@ def sketch(elements: np.ndarray, coords: int = COORDS) -> np.ndarray:
         k = min(coords - done, -(-3 * coords // len(elements)))
         rounds = np.arange(done, done + k, dtype=np.uint64)[:, None]
         h = mix(elements[None, :] ^ mix(rounds + U64(1)))
-        np.minimum.at(low, (h % U64(coords)).astype(np.int64).ravel(), (rounds << U64(54) | h >> U64(10)).ravel())
-        if (low != ~U64(0)).all():
+        bins = h & U64(coords - 1) if coords & (coords - 1) == 0 else h % U64(coords)
+        np.minimum.at(low, bins.astype(np.int64).ravel(), (rounds << U64(54) | h >> U64(10)).ravel())
+        if low.max() != ~U64(0):
             return mix(low)
         done += k
     for i in np.flatnonzero(low == ~U64(0)):
@@ -97,10 +98,10 @@ def sketch(elements: np.ndarray, coords: int = COORDS) -> np.ndarray:
 
 
 def band_keys(sk: np.ndarray) -> np.ndarray:
-    """One 64-bit key a band, from its coordinates and number."""
-    key = np.arange(1, BANDS + 1, dtype=np.uint64)
+    """One 64-bit key a band, from its coordinates and number; for a matrix of sketches."""
+    key = np.arange(1, BANDS + 1, dtype=np.uint64)[None, :]
     for i in range(ROWS):
-        key = mix(key * U64(0x9FB21C651E98DF25) + sk[: BANDS * ROWS].reshape(BANDS, ROWS)[:, i])
+        key = mix(key * U64(0x9FB21C651E98DF25) + sk[:, i : BANDS * ROWS : ROWS])
     return key
 
 
@@ -109,12 +110,13 @@ def _sketch_rows(batches):
         ids, nodes = b.column("doc_id"), b.column("node")
         for first, s, at in shingle_hashes(b.column("text")):
             n = len(at) - 1
-            small, keys = [], []
-            for i in range(n):
-                own = s[at[i] : at[i + 1]]
-                sk = sketch(own) if len(own) else None
-                small.append(None if sk is None else sk.astype(np.uint8).tobytes())
-                keys.append(None if sk is None else band_keys(sk).view(np.int64))
+            full = np.flatnonzero(np.diff(at))
+            sk = np.zeros((len(full), COORDS), np.uint64)
+            for i, k in enumerate(full):
+                sk[i] = sketch(s[at[k] : at[k + 1]])
+            small, keys = [None] * n, [None] * n
+            for k, low, own in zip(full.tolist(), sk.astype(np.uint8), band_keys(sk).view(np.int64), strict=True):
+                small[k], keys[k] = low.tobytes(), own
             yield pa.RecordBatch.from_arrays(
                 [ids.slice(first, n), nodes.slice(first, n), pa.array(np.diff(at)), pa.array(small, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
                 names=["doc_id", "node", "n_shingles", "sk", "bands"],
@@ -167,8 +169,9 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 def _components(edges: DataFrame, name: str) -> DataFrame:
     """(node, comp): smallest reachable node, by alternating large-star and small-star until nothing changes."""
     edges = materialize(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), f"{name}-0")
-    step = 0
-    while True:
+    mark = lambda d: tuple(d.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+    step, last = 0, mark(edges)
+    while last[0]:
         step += 1
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -177,10 +180,11 @@ def _components(edges: DataFrame, name: str) -> DataFrame:
         small = large.join(low2, "u").select(F.col("v").alias("x"), "u", "m")
         new = small.select(F.col("x").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v")))
         new = materialize(new.filter("u <> v").distinct(), f"{name}-{step}")
-        mark = lambda d: d.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if tuple(mark(new)) == tuple(mark(edges)):
-            return new.select(F.col("u").alias("node"), F.col("v").alias("comp"))
-        edges = new
+        now = mark(new)
+        edges, done, last = new, now == last, now
+        if done:
+            break
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("comp"))
 
 
 def _mixed(keys: DataFrame, comps: DataFrame) -> DataFrame:
@@ -253,19 +257,25 @@ def near_classes(docs: DataFrame, text: str = "text", id_col: str = "doc_id") ->
     pairs = pairs.join(sk.toDF("a", "sk_a"), "a").join(sk.toDF("b", "sk_b"), "b").select("a", "b", "sk_a", "sk_b")
     pairs = materialize(pairs.mapInArrow(_estimate, "a long, b long"), "near-pairs1")
 
-    def texts_of(p):
+    def texts_of(need):
         # A merge join at every size: texts move once, by key, however few candidates there are.
-        need = p.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        return slim.select("node", "text").join(need.hint("merge"), "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
+        return slim.select("node", "text").join(need.distinct().hint("merge"), "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
 
-    links = materialize(_verified(pairs, texts_of(pairs)), "near-links1")
+    links = materialize(_verified(pairs, texts_of(pairs.select(F.explode(F.array("a", "b")).alias("node")))), "near-links1")
     comps = _components(links, "near-comp1")
     bucket_rows = materialize(_mixed(keys, comps).select("band", "node"), "near-mixed")
+    texts = None
     # A few rounds with each node's likeliest partners merge what belongs together; the last one takes all that is left.
     for best in (*ROUNDS, 0):
         more = materialize(_across(_mixed(bucket_rows, comps), sk, best), f"near-pairs-{best}")
-        found = materialize(_verified(more, texts_of(more)), f"near-links-{best}")
-        comps = _components(comps.toDF("a", "b").unionByName(found), f"near-comp-{best}")
+        if more.isEmpty():
+            break
+        # Only buckets that are mixed now are looked at later, so the texts of their nodes are cut out once.
+        if texts is None:
+            texts = materialize(texts_of(_mixed(bucket_rows, comps).select("node")), "near-texts")
+        found = materialize(_verified(more, texts), f"near-links-{best}")
+        if not found.isEmpty():
+            comps = _components(comps.toDF("a", "b").unionByName(found), f"near-comp-{best}")
     # Rows that repeat an id with several texts are one document for reachability.
     ids = rows.filter("n_shingles > 0 and doc_id is not null").groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b"))
     ids = materialize(ids.filter("a <> b").select("a", "b"), "near-ids")
