@@ -7,9 +7,10 @@ of every length up to EDITS shorter than its own at the few offsets that are pos
 
 Equal lines are one node first. A key's lines are then compared in two rounds, so a key's
 work stays linear where its lines are alike: round 1 verifies each line against the key's
-smallest line and merges; round 2 joins only lines of different components, on a signature
+smallest line and merges; round 2 joins only lines of different components, on signatures
 of the parities of their character counts (an edit flips at most two, so similar lines
-differ in at most 2 * EDITS bits). Keys with many lines are split by parts of this signature:
+differ in at most 2 * EDITS bits) and of their counts of adjacent pairs (at most four an
+edit). Keys with many lines are split by parts of the first signature:
 of 2 * EDITS + 1 parts one is equal, so nothing is lost. Candidates that are left are
 verified by levenshtein() with a threshold, which fills a band of 2 * EDITS + 1 diagonals.
 
@@ -35,37 +36,46 @@ LEAST = 16
 HOT = 64
 
 
-def _segment(n: Column, i: int) -> tuple[Column, Column]:
-    """1-based place and length of segment i of a line of n characters; the last ones are one longer."""
-    parts = EDITS + 1
-    short = F.floor(n / parts)
-    longer = n % parts
-    first_long = F.lit(parts) - longer  # segments from here on are longer
-    start = short * i + F.greatest(F.lit(0), F.lit(i) - first_long) + 1
-    return start.cast("int"), (short + F.when(F.lit(i) >= first_long, 1).otherwise(0)).cast("int")
-
-
-def _keys(line: Column, n: Column) -> Column:
-    """array<struct<key,own>>: own index keys, and keys of shorter lines that this line probes."""
+def _probes() -> list[tuple[int, int, int]]:
+    """(how much shorter, segment, offset) of every key that a line looks up; (0, i, 0) are its own."""
     out = []
     for shorter in range(EDITS + 1):
-        size = n - shorter
         for i in range(EDITS + 1):
-            start, length = _segment(size, i)
-            low = max(-i, shorter - (EDITS - i))
-            high = min(i, shorter + EDITS - i)
-            for offset in range(low, high + 1):
-                key = F.xxhash64(size, F.lit(i), F.substring(line, start + offset, length))
-                fits = (start + offset >= 1) & (start + offset + length - 1 <= n)
-                out.append(F.when(fits, F.struct(key.alias("key"), F.lit(shorter == 0 and offset == 0).alias("own"))))
-    return F.filter(F.array(*out), lambda x: x.isNotNull())
+            low, high = max(-i, shorter - (EDITS - i)), min(i, shorter + EDITS - i)
+            out += [(shorter, i, offset) for offset in range(low, high + 1)]
+    return out
+
+
+def _keys(long: DataFrame) -> DataFrame:
+    """(id, key, own): own index keys, and keys of shorter lines that a line probes.
+
+    The probes are rows of a constant table, so one short expression serves them all and is compiled.
+    """
+    table = F.array(*[F.struct(F.lit(s).alias("s"), F.lit(i).alias("i"), F.lit(o).alias("o")) for s, i, o in _probes()])
+    rows = long.select("id", "line", F.length("line").alias("n"), F.explode(table).alias("p"))
+    rows = rows.select("id", "line", "n", (F.col("n") - F.col("p.s")).alias("size"), F.col("p.i").alias("i"), F.col("p.o").alias("o"))
+    parts = EDITS + 1
+    short = F.floor(F.col("size") / parts)
+    first_long = F.lit(parts) - F.col("size") % parts  # segments from here on are one longer
+    start = (short * F.col("i") + F.greatest(F.lit(0), F.col("i") - first_long) + 1 + F.col("o")).cast("int")
+    length = (short + F.when(F.col("i") >= first_long, 1).otherwise(0)).cast("int")
+    fits = (start >= 1) & (start + length - 1 <= F.col("n"))
+    key = F.xxhash64("size", "i", F.substring("line", start, length))
+    return rows.filter(fits).select("id", key.alias("key"), ((F.col("size") == F.col("n")) & (F.col("o") == 0)).alias("own"))
+
+
+def _parities(items: Column) -> Column:
+    """64 parities of how often items occur; an item's bit is picked by hash."""
+    one = F.lit(1).cast("long")
+    flip = lambda acc, x: acc.bitwiseXOR(F.call_function("shiftleft", one, F.pmod(F.xxhash64(x), F.lit(64)).cast("int")))
+    return F.aggregate(items, F.lit(0).cast("long"), flip)
 
 
-def _signature(line: Column) -> Column:
-    """64 parities of character counts: characters are dealt over the bits by code point."""
-    bit = F.array(*[F.lit(1 << i if i < 63 else -(1 << 63)).cast("long") for i in range(64)])
-    flip = lambda acc, c: acc.bitwiseXOR(F.when(c == "", F.lit(0).cast("long")).otherwise(F.element_at(bit, F.ascii(c) % 64 + 1)))
-    return F.aggregate(F.split(line, ""), F.lit(0).cast("long"), flip)
+def _signatures(lines: DataFrame) -> DataFrame:
+    """(id, sig, sig2): parities of characters, and of pairs of adjacent ones."""
+    rows = lines.select("id", F.filter(F.split("line", ""), lambda c: c != "").alias("c"))
+    pairs = F.transform(F.sequence(F.lit(1), F.size("c") - 1), lambda i: F.concat(F.element_at("c", i), F.element_at("c", i + 1)))
+    return rows.select("id", _parities(F.col("c")).alias("sig"), _parities(pairs).alias("sig2"))
 
 
 def _verified(pairs: DataFrame, lines: DataFrame) -> DataFrame:
@@ -80,8 +90,7 @@ def _verified(pairs: DataFrame, lines: DataFrame) -> DataFrame:
 def line_components(lines: DataFrame) -> DataFrame:
     """(node, comp) of lines (id, line) that are linked with another one."""
     long = lines.filter(F.length("line") >= LEAST)
-    rows = long.select("id", F.explode(_keys(F.col("line"), F.length("line"))).alias("k")).select("id", "k.key", "k.own")
-    rows = materialize(rows, "line-keys")
+    rows = materialize(_keys(long), "line-keys")
     leaders = rows.groupBy("key").agg(F.count("*").alias("n"), F.min(F.when(F.col("own"), F.col("id"))).alias("a"), F.min("id").alias("low"), F.max("id").alias("high"))
     shared = leaders.filter("a is not null and low <> high").select("key", "a", "n")
     rows = materialize(rows.join(shared, "key"), "line-shared")
@@ -92,15 +101,15 @@ def line_components(lines: DataFrame) -> DataFrame:
     rows = rows.join(comps.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
     split = rows.groupBy("key").agg((F.min("comp") < F.max("comp")).alias("mixed")).filter("mixed").select("key")
     rows = rows.join(split, "key").select("key", "id", "own", "comp", "n")
-    signed = long.join(rows.select("id").distinct().hint("merge"), "id", "left_semi").select("id", _signature(F.col("line")).alias("sig"))
+    signed = _signatures(long.join(rows.select("id").distinct().hint("merge"), "id", "left_semi"))
     parts = 2 * EDITS + 1
     width = -(-64 // parts)
     cut = F.array(*[F.xxhash64("key", F.lit(i), F.shiftrightunsigned("sig", i * width).bitwiseAND(F.lit((1 << width) - 1))) for i in range(parts)])
     rows = rows.join(signed, "id").withColumn("key", F.explode(F.when(F.col("n") > HOT, cut).otherwise(F.array("key"))))
-    rows = materialize(rows.select("key", "id", "own", "comp", "sig"), "line-round2")
-    x = rows.select("key", F.col("id").alias("a"), F.col("comp").alias("ca"), F.col("sig").alias("sa"))
-    y = rows.filter("own").select("key", F.col("id").alias("b"), F.col("comp").alias("cb"), F.col("sig").alias("sb"))
-    alike = F.bit_count(F.col("sa").bitwiseXOR(F.col("sb"))) <= 2 * EDITS
+    rows = materialize(rows.select("key", "id", "own", "comp", "sig", "sig2"), "line-round2")
+    x = rows.select("key", F.col("id").alias("a"), F.col("comp").alias("ca"), F.col("sig").alias("sa"), F.col("sig2").alias("ta"))
+    y = rows.filter("own").select("key", F.col("id").alias("b"), F.col("comp").alias("cb"), F.col("sig").alias("sb"), F.col("sig2").alias("tb"))
+    alike = (F.bit_count(F.col("sa").bitwiseXOR(F.col("sb"))) <= 2 * EDITS) & (F.bit_count(F.col("ta").bitwiseXOR(F.col("tb"))) <= 4 * EDITS)
     more = x.join(y, (x["key"] == y["key"]) & (F.col("ca") != F.col("cb")) & alike)
     more = materialize(more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "line-pairs2")
     links2 = materialize(_verified(more, lines), "line-links2")
