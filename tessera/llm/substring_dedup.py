@@ -234,15 +234,18 @@ def repeated_spans(texts: DataFrame) -> DataFrame:
     lanes = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = materialize(texts.mapInArrow(_block_rows, BLOCK), "sub-blocks")
     anchors = rows.groupBy("fp").agg(F.count("*").alias("total"), F.min("bkey").alias("k0"), F.max("bkey").alias("k1"))
-    anchors = anchors.filter("total > 1").select("fp", (F.col("k0") == F.col("k1")).alias("same"))
+    # Written first: a join straight from a shuffle lets Spark split a hot anchor.
+    anchors = materialize(anchors.filter("total > 1").select("fp", (F.col("k0") == F.col("k1")).alias("same")), "sub-anchors")
     again = materialize(rows.join(anchors, "fp"), "sub-again")
     whole = again.filter("same").select("tid", "lo", "len")
     mixed = again.filter("not same")
     kinds = mixed.groupBy("fp", "bkey").agg(F.count("*").alias("n"), F.min(F.struct("tid", "lo", "len")).alias("one"))
     kinds = materialize(kinds, "sub-kinds")
     whole = whole.unionByName(mixed.join(kinds.filter("n > 1").select("fp", "bkey"), ["fp", "bkey"]).select("tid", "lo", "len"))
-    per = kinds.groupBy("fp").agg((F.count("*") > INDEX_BLOCKS).alias("many"))
-    wanted = kinds.join(per, "fp").select("one.tid", F.struct("fp", "one.lo", "one.len", "n", "many").alias("w"))
+    per = kinds.groupBy("fp").agg(F.count("*").alias("blocks")).filter(F.col("blocks") > INDEX_BLOCKS)
+    per = materialize(per.select("fp", F.lit(True).alias("many")), "sub-many")
+    wanted = kinds.join(per, "fp", "left").withColumn("many", F.coalesce("many", F.lit(False)))
+    wanted = wanted.select("one.tid", F.struct("fp", "one.lo", "one.len", "n", "many").alias("w"))
     wanted = wanted.groupBy("tid").agg(F.collect_list("w").alias("wanted"))  # at most a text's own blocks
     once = texts.join(wanted, "tid").dropDuplicates(["tid"])
     bodies = materialize(once.select("tid", "text", "wanted").mapInArrow(_cut, "tid long, fp long, lo int, n long, many boolean, body binary"), "sub-bodies")
