@@ -276,6 +276,21 @@ def test_packing(spark, docs):
     assert packing.pack(data.empty(spark)).count() == 0
 
 
+def test_packing_added_token(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    coder = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    end = "<|endoftext|>"
+    texts = [end, f"a{end}b", f"a  {end}  b\n\n{end}\n", end * 3, f"   {end}   ", end[:-1], f"<|{end}|>", f"don't {end}'t 12{end}34 é{end}é", f"tail \t {end}"]
+    own = {i: np.array([*coder.encode(t, add_special_tokens=False).ids, 0], "<u4") for i, t in enumerate(texts)}
+    got = packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {(x["doc_id"], x["doc_tokens"]) for x in got} == {(i, len(a)) for i, a in own.items()}
+    for x in got:
+        assert zlib.crc32(own[x["doc_id"]][x["start"] : x["start"] + x["length"]].tobytes()) == x["ids_crc32"]
+    assert {t.content: i for i, t in coder.get_added_tokens_decoder().items()} == packing.ADDED
+
+
 def test_hilbert_neighbours():
     n = 8
     grid = np.array([(x, y, z) for x in range(n) for y in range(n) for z in range(n)])
