@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 #: Words that name a unit, not a thing.
 UNIT_WORDS = ["ltr", "litre", "liter", "litres", "mtr", "inch", "pcs", "nos", "set", "sets", "pkt", "qty"]
 
+#: Measures that are never taken for a typing error.
+UNIT_SAFE = "liter liters litre litres ltr ltrs lt quart quarts qt qts gram grams gm gms oz comp inch inches dia diameter swg gauge".split()
+
 
 def norm_phrase(s: Column) -> Column:
     """Lower case, signs to blanks, blanks collapsed."""

@@ -1,4 +1,4 @@
-"""Retrieval and ranking: inverted index, BM25, typo and substring joins, code lookup, tiers."""
+"""Retrieval and ranking: inverted index, BM25, typo repair, coverage and substring joins, code lookup, tiers."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as X
+from tessera.llm.common import materialize
 
 
 @dataclass(frozen=True)
@@ -16,8 +17,10 @@ class Ranking:
 
     exact: int = 2000
     code: int = 1500
+    suffix: int = 1000
     name: int = 600
     part: int = 200
+    glued: int = 190
     part_share: float = 0.6
     cutoff_share: float = 0.6
     cutoff_most: int = 420
@@ -64,31 +67,126 @@ def code_lookup(requests: DataFrame, products: DataFrame) -> DataFrame:
     return keys.join(models, "key").withColumn("rank", F.row_number().over(order)).filter("rank = 1").select("request", "code", "key", "id")
 
 
+def _leading(pairs: DataFrame) -> DataFrame:
+    """Of (word, near, n) the most frequent near of each word that no other comes within a third of."""
+    order = Window.partitionBy("word").orderBy(F.desc("n"), "near")
+    ranked = pairs.groupBy("word", "near").agg(F.max("n").alias("n")).withColumn("next", F.lead("n").over(order)).withColumn("at", F.row_number().over(order))
+    return ranked.filter("at = 1 and (next is null or n >= 3 * next)").select("word", "near")
+
+
+def _prefixes(w, least: int, most):
+    return F.when(most >= least, F.transform(F.sequence(F.lit(least), F.greatest(most, F.lit(least))), lambda i: F.substr(w, F.lit(1), i)))
+
+
+def repairs(words: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """(word, near) for request words that stand for a word of ``vocabulary`` (word, n).
+
+    Unseen words of up to six letters are read as abbreviations (skeleton, then prefix, then two letters), longer ones as
+    words the vocabulary shortens, and words of four letters on seen at most twice as typing errors of the most frequent
+    word one edit away with the same first letter.
+    """
+    seen = vocabulary.select("word", "n")
+    w = words.select("word").distinct().filter(~F.col("word").isin(*X.UNIT_SAFE, *X.UNIT_WORDS)).withColumn("stem", F.regexp_replace("word", "s+$", ""))
+    w = w.join(seen, "word", "left").join(seen.toDF("stem", "m"), "stem", "left")
+    w = materialize(w.select("word", F.col("n").isNull().alias("unseen"), F.coalesce("n", "m", F.lit(0)).alias("known")).filter("known <= 2"), "resolve-rare")
+    unseen = w.filter("unseen").select("word")
+    near = seen.withColumnRenamed("word", "near")
+    skeletons = near.filter("n >= 2 and length(near) >= 4").withColumn("skeleton", X.skeleton(F.col("near"))).filter("skeleton <> near")
+    skeletons = skeletons.groupBy("skeleton").agg(F.min(F.struct((-F.col("n")).alias("n"), "near")).alias("x")).select("skeleton", "x.near", (-F.col("x.n")).alias("n"))
+    short = unseen.filter("length(word) between 3 and 6")
+    by_skeleton = short.join(skeletons, F.col("word") == F.col("skeleton")).select("word", "near")
+    starts = skeletons.select("near", "n", F.explode(_prefixes(F.col("skeleton"), 3, F.least(F.length("skeleton"), F.lit(6)))).alias("word"))
+    starts = starts.unionByName(near.filter("n >= 2").select("near", "n", F.explode(_prefixes(F.col("near"), 3, F.least(F.length("near") - 2, F.lit(6)))).alias("word")))
+    by_prefix = _leading(short.join(starts, "word"))
+    two = unseen.withColumn("near", F.create_map(*[F.lit(x) for x in ("sq", "square", "sm", "small", "lg", "large")])[F.col("word")])
+    two = two.join(near.filter("n >= 2"), "near").select("word", "near")
+    long = unseen.filter("length(word) >= 6").select("word", F.explode(_prefixes(F.col("word"), 3, F.length("word") - 3)).alias("near"))
+    by_start = _leading(long.join(near.filter("n >= 3"), "near").select("word", "near", "n"))
+    rare = w.filter("length(word) >= 4 and known <= 2").select("word", "known")
+    typed = typo_pairs(rare, seen).join(near, "near").join(rare, "word").filter("left(word, 1) = left(near, 1) and n > known and n >= 25 * known")
+    by_edit = typed.groupBy("word").agg(F.min(F.struct((-F.col("n")).alias("n"), "near")).alias("x")).select("word", "x.near")
+    steps = [x.withColumn("step", F.lit(i)) for i, x in enumerate((by_skeleton, by_prefix, two, by_start, by_edit))]
+    found = steps[0]
+    for x in steps[1:]:
+        found = found.unionByName(x)
+    return found.groupBy("word").agg(F.min_by("near", "step").alias("near"))
+
+
+def covering(words: DataFrame, products: DataFrame) -> DataFrame:
+    """(word, id) where a product's name has the word: whole or plural, as the start of a word (4 letters, 2 to 5 more) or of joined words (5).
+
+    Equal keys (whole form, first four, first five letters), then the exact test.
+    """
+    w = F.col("word")
+    other = F.when(w.endswith("s") & (F.length(w) > 3), F.substr(w, F.lit(1), F.length(w) - 1)).otherwise(F.concat(w, F.lit("s")))
+
+    def keys(texts, kind, size, least):
+        return F.transform(F.filter(texts, lambda x: F.length(x) >= least), lambda x: F.struct(F.concat(F.lit(kind), F.substr(x, F.lit(1), F.lit(size))).alias("key"), x.alias("form")))
+
+    asked = words.select("word", F.explode(F.concat(keys(F.array(w, other), "=", 99, 1), keys(F.array(w), "4", 4, 4), keys(F.array(w, other), "5", 5, 5))).alias("k"))
+    name = products.select("id", F.lower("product").alias("name"))
+    runs = F.flatten(
+        F.transform(
+            F.filter(F.split("name", r"[^a-z\s]+"), lambda x: F.trim(x) != ""),
+            lambda x: F.transform(F.sequence(F.lit(1), F.size(F.split(F.trim(x), r"\s+"))), lambda i: F.array_join(F.slice(F.split(F.trim(x), r"\s+"), i, F.lit(99)), "")),
+        )
+    )
+    tokens = F.array_distinct(F.regexp_extract_all("name", F.lit("[a-z]{2,}"), F.lit(0)))
+    have = name.select("id", F.explode(F.concat(keys(tokens, "=", 99, 1), keys(tokens, "4", 4, 6), keys(F.array_distinct(runs), "5", 5, 5))).alias("h"))
+    more, kind = F.length("h.form") - F.length("k.form"), F.substring("k.key", 1, 1)
+    ok = (kind == "=") | (F.col("h.form").startswith(F.col("k.form")) & ((kind == "5") | more.between(2, 5)))
+    return asked.join(have, F.col("k.key") == F.col("h.key")).filter(ok).select("word", "id").distinct()
+
+
+def suffix_codes(requests: DataFrame, products: DataFrame) -> DataFrame:
+    """(request, id) of the longest models with a digit that end a request's ``code`` and are shorter than it (3 characters on)."""
+    keys = requests.select("request", "code").filter((F.length("code") > 3) & F.col("code").rlike("[0-9]"))
+    keys = keys.select("request", F.explode(F.transform(F.sequence(F.lit(2), F.length("code") - 2), lambda i: F.substr("code", i, F.length("code")))).alias("key"))
+    found = keys.join(products.filter(F.col("key").rlike("[0-9]")).select("id", "key"), "key")
+    return found.withColumn("at", F.rank().over(Window.partitionBy("request").orderBy(F.desc(F.length("key"))))).filter("at = 1").select("request", "id")
+
+
 def resolve(requests: DataFrame, products: DataFrame, k: int = 15, ranking: Ranking | None = None) -> DataFrame:
-    """Candidates of each request by shared words, scored by tiers, cut off and ranked: request, id, tier, score, rank.
+    """Candidates of each request, scored by tiers, cut off and ranked: request, id, tier, score, rank.
 
+    Request words are repaired against the words of the products; candidates share a covered or glued word, an equal code or,
+    without one, the longest model that ends the code. Glued candidates stay below the cutoff as variants.
     Requests without a candidate keep one row with null id (a placeholder, never dropped).
     """
     r = ranking or Ranking()
-    req = requests.select("request", X.norm_phrase(F.col("phrase")).alias("phrase"), X.sig_words(F.col("phrase")).alias("asked"), X.norm_model(F.col("phrase")).alias("code"))
-    prod = products.select("id", "price", X.norm_phrase(F.col("product")).alias("name"), X.sig_words(F.col("product")).alias("words"), X.norm_model(F.col("model")).alias("key"))
-    by_word = req.select("request", F.explode("asked").alias("w")).join(prod.select("id", F.explode("words").alias("w")), "w")
-    hits = by_word.groupBy("request", "id").agg(F.count("*").alias("hits"))
-    by_code = req.join(prod, req["code"] == prod["key"]).select("request", "id", F.lit(0).cast("long").alias("hits"))
-    cand = hits.unionByName(by_code).groupBy("request", "id").agg(F.max("hits").alias("hits"))
-    rows = cand.join(req, "request").join(prod, "id")
-    n = F.size("asked")
+    req = requests.select("request", X.norm_phrase(F.col("phrase")).alias("phrase"), X.norm_model(F.col("phrase")).alias("code"))
+    prod = products.select("id", "product", "price", X.norm_phrase(F.col("product")).alias("name"), X.norm_model(F.col("model")).alias("key"))
+    typed = requests.select("request", F.posexplode(F.regexp_extract_all(F.lower("phrase"), F.lit("[a-z]{2,}"), F.lit(0))).alias("at", "word"))
+    vocabulary = products.select(F.explode(F.regexp_extract_all(F.lower("product"), F.lit("[a-z]{3,}"), F.lit(0))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    vocabulary = materialize(vocabulary, "resolve-vocabulary")
+    asked = typed.join(repairs(typed, vocabulary), "word", "left").select("request", F.coalesce("near", "word").alias("word"))
+    # Written once: the repairs have many branches, and all sources below start from these words.
+    asked = materialize(asked.filter((F.length("word") >= 3) & ~F.col("word").isin(X.UNIT_WORDS)).distinct(), "resolve-words")
+    words = asked.select("word").distinct()
+    sources = covering(words, prod).withColumn("hit", F.lit(1)).unionByName(glued(words, prod).withColumn("hit", F.lit(0)))
+    hits = asked.join(sources.groupBy("word", "id").agg(F.max("hit").alias("hit")), "word")
+    hits = hits.groupBy("request", "id").agg(F.sum("hit").alias("hits"), F.count("*").alias("wide")).withColumn("ends", F.lit(0))
+    by_code = req.join(prod, req["code"] == prod["key"]).select("request", "id")
+    by_suffix = suffix_codes(req.join(by_code, "request", "left_anti"), prod)
+    none = [F.lit(0).cast("long").alias("hits"), F.lit(0).cast("long").alias("wide")]
+    cand = hits.unionByName(by_code.select("*", *none, F.lit(0).alias("ends"))).unionByName(by_suffix.select("*", *none, F.lit(1).alias("ends")))
+    cand = cand.groupBy("request", "id").agg(F.max("hits").alias("hits"), F.max("wide").alias("wide"), F.max("ends").alias("ends"))
+    sizes = asked.groupBy("request").agg(F.count("*").alias("n"))
+    rows = cand.join(req, "request").join(sizes, "request", "left").join(prod, "id")
+    n = F.coalesce("n", F.lit(0))
     tier = (
-        F.when(F.col("phrase") == F.col("name"), "exact").when(F.col("code") == F.col("key"), "code")
-        .when(F.col("hits") == n, "name").when(F.col("hits") >= n * r.part_share, "part")
+        F.when(F.col("phrase") == F.col("name"), "exact").when(F.col("code") == F.col("key"), "code").when(F.col("ends") == 1, "suffix")
+        .when(F.col("hits") == n, "name").when((F.col("hits") > 0) & (F.col("hits") >= n * r.part_share), "part").when(F.col("wide") >= n * r.part_share, "glued")
     )
     score = (
-        F.when(F.col("tier") == "exact", r.exact).when(F.col("tier") == "code", r.code)
-        .when(F.col("tier") == "name", F.lit(r.name) - F.least(F.length("name"), F.lit(120))).otherwise(F.lit(r.part) + 10 * F.col("hits"))
+        F.when(F.col("tier") == "exact", r.exact).when(F.col("tier") == "code", r.code).when(F.col("tier") == "suffix", r.suffix)
+        .when(F.col("tier") == "name", F.lit(r.name) - F.least(F.length("name"), F.lit(120))).when(F.col("tier") == "glued", r.glued)
+        .otherwise(F.lit(r.part) + 10 * F.col("hits"))
     ) + F.when(F.col("price") > 0, 30).otherwise(0)
     rows = rows.withColumn("tier", tier).filter("tier is not null").withColumn("score", score)
     top = F.max("score").over(Window.partitionBy("request"))
-    rows = rows.withColumn("top", top).filter(F.col("score") >= F.least(F.col("top") * r.cutoff_share, F.lit(float(r.cutoff_most))))
+    enough = F.col("score") >= F.least(F.col("top") * r.cutoff_share, F.lit(float(r.cutoff_most)))
+    rows = rows.withColumn("top", top).filter(enough | (F.col("tier") == "glued"))
     order = Window.partitionBy("request").orderBy(F.desc("score"), "price", "id")
     rows = rows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     found = rows.select("request", "id", "tier", F.col("score").cast("long").alias("score"), "rank")

@@ -49,6 +49,24 @@ def test_resolve(spark):
     assert [tuple(r) for r in match.glued(words, products).collect()] == [("dustbin", 8)]
 
 
+C1 = [
+    *CATALOGUE, (4, "BOLT-B201-Ice Box", "B201", 11000.0), (5, "BOLT-B202-Ice Box Lid", "B202", 60.0), (9, "CORE-C401-Dustbin", "C401", 250.0),
+    (10, "CORE-C500-Popcorn Machine", "C500", 900.0), (11, "CORE-C501-Popcorn Cart", "C501", 700.0), (12, "ACME-D600-Six Part Holder", "PT 600 - Tray", 500.0),
+]
+
+
+def test_resolve_repairs(spark):
+    products = spark.createDataFrame([*C1, (20, "Wooden Bed Sheet", "W1", 5.0)], "id long, product string, model string, price double")
+    phrases = ["tray", "ice box", "tabel frok", "A101", "dustbin", "kettle", "trays", "tray's table", "KMW-B201", "popcorn machin", "bedsheet", "wood bed", "tbl fork", "popcrn cart", "liter", ""]
+    got = match.resolve(spark.createDataFrame(list(enumerate(phrases)), "request int, phrase string"), products).collect()
+    best = {phrases[r["request"]]: r["id"] for r in got if r["rank"] in (1, None)}
+    want = {"tray": 2, "ice box": 3, "tabel frok": 6, "A101": 2, "dustbin": 9, "kettle": None, "trays": 2, "KMW-B201": 4, "popcorn machin": 10}
+    want |= {"bedsheet": 20, "wood bed": 20, "tbl fork": 6, "popcrn cart": 11, "liter": None, "": None}
+    assert {k: best[k] for k in want} == want
+    assert [r["id"] for r in sorted(got, key=lambda r: r["rank"] or 0) if phrases[r["request"]] == "dustbin"] == [9, 8]
+    assert {r["id"] for r in got if phrases[r["request"]] == "tray"} == {1, 2}
+
+
 def test_streams_equal_batch(spark, tmp_path):
     events = spark.read.parquet("/root/testdata/sf0.001/events.parquet").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type", "value")
     folder = str(tmp_path / "in")
