@@ -277,10 +277,12 @@ def near_classes(docs: DataFrame, text: str = "text", id_col: str = "doc_id") ->
         if not found.isEmpty():
             comps = _components(comps.toDF("a", "b").unionByName(found), f"near-comp-{best}")
     # Rows that repeat an id with several texts are one document for reachability.
-    ids = rows.filter("n_shingles > 0 and doc_id is not null").groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b"))
-    ids = materialize(ids.filter("a <> b").select("a", "b"), "near-ids")
+    named = rows.filter("n_shingles > 0 and doc_id is not null")
+    ids = named.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b"))
+    ids = materialize(ids.filter("a <> b").select("doc_id", "a"), "near-ids")
     if not ids.isEmpty():
-        comps = _components(comps.toDF("a", "b").unionByName(ids), "near-comp-ids")
+        same = named.join(ids, "doc_id").filter("a <> node").select("a", F.col("node").alias("b")).distinct()
+        comps = _components(comps.toDF("a", "b").unionByName(same), "near-comp-ids")
     # Groups combine by key first; the smallest id of a component comes back to its rows by a join.
     placed = rows.select("doc_id", "node", "n_shingles").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     low = placed.filter("n_shingles > 0").groupBy("comp").agg(F.min("doc_id").alias("low"))

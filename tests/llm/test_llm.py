@@ -153,6 +153,14 @@ def test_near_group_of_variants(spark):
     assert {x["doc_id"]: x["component_id"] for x in got} == want
 
 
+def test_near_id_with_three_texts(spark):
+    r = random.Random(8)
+    texts = [data.prose(r, 40) for _ in range(5)]
+    rows = [(9, t) for t in texts] + [(i + 1, t) for i, t in enumerate(texts)] + [(20, data.prose(r, 40))]
+    got = near_dedup.near_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(x["doc_id"], x["component_id"]) for x in got} == {(i, 1) for i in (1, 2, 3, 4, 5, 9)} | {(20, 20)}
+
+
 def test_sketch_estimates():
     r = np.random.default_rng(1)
     for share in (0.2, 0.75, 0.95):
