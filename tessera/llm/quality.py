@@ -7,9 +7,9 @@ and a logistic output on the weighted representation gives the score. The parame
 learned by full-batch Adam from document labels.
 
 The model is fitted on at most TRAIN_DOCS labelled documents (those with the smallest
-hash of their id), encoded on the executors; encodings of this bounded sample reach the
-driver, at most BAG_FIT passages a document, spread evenly over it. Scoring reads every
-passage of every whole text, in one projection without a shuffle.
+hash of their id), encoded on the executors; encodings of all passages of this bounded
+sample reach the driver. Scoring reads every passage of every whole text, in one projection
+without a shuffle.
 
 Defined results: null or empty text is one empty passage and gets a score as any other;
 rows with null doc_id count as training side (crc32 of the empty text) but have no label;
@@ -32,7 +32,6 @@ by_value(__name__)
 
 PASSAGE_WORDS = 96
 TRAIN_DOCS = 4000
-BAG_FIT = 24
 CUT = 0.3
 PAIRS = 32
 FEATURES = 24 + PAIRS
@@ -181,8 +180,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, text: str = "text", train_do
             for first, x, p_at in passages(b.column("text")):
                 for i in range(len(p_at) - 1):
                     own = x[p_at[i] : p_at[i + 1]]
-                    at = np.unique(np.linspace(0, len(own) - 1, min(len(own), BAG_FIT)).astype(int))
-                    yield pa.RecordBatch.from_pydict({"doc_id": [ids[first + i]], "x": [own[at].astype("<f4").tobytes()]})
+                    yield pa.RecordBatch.from_pydict({"doc_id": [ids[first + i]], "x": [own.astype("<f4").tobytes()]})
 
     bags = chosen.mapInArrow(encode, "doc_id long, x binary").collect()
     bags = sorted((int(r[0]), bytes(r[1])) for r in bags)

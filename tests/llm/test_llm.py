@@ -384,6 +384,16 @@ def test_quality(spark, docs):
     assert quality.fit_quality(docs, labels.limit(0)) == {"prior": 0.5}
 
 
+def test_quality_fits_on_all_passages(spark, monkeypatch):
+    r, seen = random.Random(9), []
+    rows = [(i, data.prose(r, 96 * n - 5)) for i, n in enumerate((60, 1, 25, 40, 3, 30))]
+    monkeypatch.setattr(quality, "fit_attention", lambda x, bags, y: seen.append(np.bincount(bags).tolist()))
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, quality int")
+    quality.fit_quality(spark.createDataFrame(rows, "doc_id long, text string"), labels)
+    fitted = [i for i, _ in rows if zlib.crc32(str(i).encode()) % 5]
+    assert seen == [[(60, 1, 25, 40, 3, 30)[i] for i in fitted]] and max(seen[0]) > 24
+
+
 def test_passages_cover_the_text():
     first, x, at = next(quality.passages(pa.array(["", None, "a " * 200])))
     assert first == 0 and at.tolist() == [0, 1, 2, 5] and x.shape == (5, quality.FEATURES)
