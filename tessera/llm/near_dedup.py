@@ -7,18 +7,21 @@ for large sets. The share of equal coordinates is concentrated around the Jaccar
 similarity as with independent permutations.
 
 Candidates. BANDS bands of ROWS coordinates; equal band keys make a bucket. Identical
-texts are one node before anything is compared. Work inside a bucket stays linear:
-round 1 compares each node with the bucket's leader (its smallest node), verified links
-are merged into components, and only where a bucket still holds several components
-round 2 compares nodes across components: blocks of the bucket's nodes against blocks of
-those outside its main component, by sketch alone, keeping pairs whose estimate is not
-far below the threshold; first each node's likeliest few, and all that are left after
-these have merged. Pairs that remain are verified on full shingle sets. Components
-need one spanning link per merge, so no link between different components is lost
-(up to the chance that banding or the estimate misses a pair: below 1e-4 at the threshold).
-
-Heavy buckets and leaders are dealt out by salt; the joins carry keys, and texts move
-only for nodes that have a candidate.
+texts are one node before anything is compared (told apart by 128 bits of hash).
+
+Round 1 compares each node with the bucket's leader (its smallest node): one candidate a
+node and band. Verified links are merged into components. Round 2 looks only at buckets that
+still hold several components. Their nodes meet in tiles (a block of the bucket's nodes, and
+a block of those outside its main component) that carry sketches and full shingle sets, so a
+tile verifies at once: a node skips every component it is already linked to, and only links
+that merge two components leave the tile. A tile therefore emits fewer links than it has
+nodes, however alike they are; a pair is examined in the first band that its nodes share.
+What stays quadratic at worst is comparing sketches of nodes that no link reaches with the
+rest of their bucket, dealt over tiles of bounded size. No link between different components
+is lost (up to the chance that banding or the estimate misses a pair: below 1e-4 at the
+threshold, and a component is wrong only if that pair was its only link).
+
+Leaders and heavy buckets are dealt out by salt; texts move only for nodes with a candidate.
 
 Defined results: words are runs without ASCII white space after lower-casing A-Z; fewer
 words than a shingle: the whole sequence is one shingle; null, empty or blank text has an
@@ -45,10 +48,11 @@ COORDS = 512
 #: Similarity threshold in hundredths, and the lowest estimate that is still verified (4 sigma below).
 PERCENT = 75
 ESTIMATE = 0.675
-#: Partners of a node and tile in the rounds before the exhaustive one.
-ROUNDS = (2, 4)
-#: Members of one leader, or of one bucket block, that a task compares at once.
+#: Members of one leader, or nodes (and bytes of their shingle sets) of one block of a bucket, that a task compares at once.
 BLOCK = 2000
+BLOCK_BYTES = 16 << 20
+#: Stands for a null id in join keys.
+NO_ID = -(1 << 63)
 
 
 def shingle_hashes(column: pa.Array, width: int = SHINGLE):
@@ -107,7 +111,7 @@ def band_keys(sk: np.ndarray) -> np.ndarray:
 
 def _sketch_rows(batches):
     for b in batches:
-        ids, nodes = b.column("doc_id"), b.column("node")
+        ids, k1, k2 = (b.column(c) for c in ("doc_id", "k1", "k2"))
         for first, s, at in shingle_hashes(b.column("text")):
             n = len(at) - 1
             full = np.flatnonzero(np.diff(at))
@@ -118,8 +122,8 @@ def _sketch_rows(batches):
             for k, low, own in zip(full.tolist(), sk.astype(np.uint8), band_keys(sk).view(np.int64), strict=True):
                 small[k], keys[k] = low.tobytes(), own
             yield pa.RecordBatch.from_arrays(
-                [ids.slice(first, n), nodes.slice(first, n), pa.array(np.diff(at)), pa.array(small, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
-                names=["doc_id", "node", "n_shingles", "sk", "bands"],
+                [ids.slice(first, n), k1.slice(first, n), k2.slice(first, n), pa.array(np.diff(at)), pa.array(small, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
+                names=["doc_id", "k1", "k2", "n_shingles", "sk", "bands"],
             )
 
 
@@ -187,117 +191,162 @@ def _components(edges: DataFrame, name: str) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("comp"))
 
 
+def _sets(batches):
+    for b in batches:
+        for first, s, at in shingle_hashes(b.column("text")):
+            n = len(at) - 1
+            yield pa.RecordBatch.from_arrays([b.column("node").slice(first, n), pa.array([s[at[i] : at[i + 1]].tobytes() for i in range(n)], pa.binary())], names=["node", "full"])
+
+
 def _mixed(keys: DataFrame, comps: DataFrame) -> DataFrame:
-    """Bucket rows (band, node, comp) of the buckets that hold several components."""
+    """Bucket rows (band, node, comp) of the buckets that hold several components; round 1 has compared all of a pair's bucket."""
     rows = keys.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    split = rows.groupBy("band").agg((F.min("comp") < F.max("comp")).alias("mixed")).filter("mixed").select("band")
+    split = rows.groupBy("band").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("n")).filter("x < y and n > 2").select("band")
     return rows.join(split, "band", "left_semi")
 
 
-def _across(rows: DataFrame, sk: DataFrame, best: int) -> DataFrame:
-    """Candidates of round 2: pairs of a bucket's nodes in different components whose sketches look alike.
-
-    ``best``: only so many partners of a node in a tile, the likeliest ones; 0: all.
-    """
-    per = rows.groupBy("band", "comp").agg(F.count("*").alias("n"))
-    buckets = per.groupBy("band").agg(F.sum("n").alias("size"), F.max_by("comp", F.struct("n", "comp")).alias("main"), F.max("n").alias("most"))
-    rows = rows.join(buckets.withColumn("rest", F.col("size") - F.col("most")), "band")
-    blocks, others = F.ceil(F.col("size") / BLOCK).cast("int"), F.ceil(F.col("rest") / BLOCK).cast("int")
+def _across(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Links (a, b) that merge components within buckets: ``rows`` (band, node, comp) and ``nodes`` (node, sk, bands, full)."""
+    rows = rows.join(nodes.select("node", F.octet_length("full").alias("bytes")), "node")
+    per = rows.groupBy("band", "comp").agg(F.count("*").alias("n"), F.sum("bytes").alias("m"))
+    buckets = per.groupBy("band").agg(
+        F.sum("n").alias("size"), F.sum("m").alias("bytes"), F.max_by(F.struct("comp", "n", "m"), F.struct("n", "comp")).alias("main")
+    )
+    blocks = F.ceil(F.greatest(F.col("size") / BLOCK, F.col("bytes") / BLOCK_BYTES)).cast("int")
+    others = F.ceil(F.greatest((F.col("size") - F.col("main.n")) / BLOCK, (F.col("bytes") - F.col("main.m")) / BLOCK_BYTES)).cast("int")
+    buckets = buckets.select("band", blocks.alias("blocks"), others.alias("others"), F.col("main.comp").alias("main"))
+    rows = rows.drop("bytes").join(buckets, "band")
     spread = F.pmod(F.xxhash64("node"), F.lit(1 << 30))
-    all_ = rows.select("band", (spread % blocks).alias("i"), F.explode(F.sequence(F.lit(0), others - 1)).alias("j"), "node", "comp", F.lit(0).alias("side"))
-    out_ = rows.filter("comp <> main").select("band", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("i"), (spread % others).alias("j"), "node", "comp", F.lit(1).alias("side"))
-    tiles = all_.unionByName(out_.select(all_.columns)).join(sk.hint("merge"), "node")
+    i, j = (spread % F.col("blocks")).cast("int"), (spread % F.col("others")).cast("int")
+    all_ = rows.select("band", i.alias("i"), F.explode(F.sequence(F.lit(0), F.col("others") - 1)).alias("j"), "node", "comp", F.lit(0).alias("side"))
+    out_ = rows.filter("comp <> main").select("band", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i"), j.alias("j"), "node", "comp", F.lit(1).alias("side"))
+    tiles = all_.unionByName(out_).join(nodes.hint("merge"), "node")
     lanes = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     tiles = tiles.repartition(lanes, "band", "i", "j").sortWithinPartitions("band", "i", "j", "side", "node")
-    return tiles.select("band", "i", "j", "side", "node", "comp", "sk").mapInArrow(_tiles(best), "a long, b long").distinct()
-
-
-def _tiles(best: int):
+    return tiles.select("band", "i", "j", "side", "node", "comp", "sk", "bands", "full").mapInArrow(_tiles, "a long, b long").distinct()
+
+
+class _Block:
+    """Nodes of one tile's block, and the components that are merged so far (by label)."""
+
+    def __init__(self, rows: list[tuple]):
+        self.node = np.array([r[0] for r in rows], np.int64)
+        self.comp = np.array([r[1] for r in rows], np.int64)
+        self.sk = np.frombuffer(b"".join(r[2] for r in rows), np.uint8).reshape(-1, COORDS)
+        self.bands = np.array([r[3] for r in rows], np.int64).reshape(-1, BANDS)
+        self.full = [r[4] for r in rows]
+        self.size = np.array([len(r[4]) // 8 for r in rows], np.int64)
+        self.label: dict[int, int] = {}
+
+    def links(self, band: int, node: int, comp: int, sk: bytes, bands: list[int], full: bytes):
+        """Partners of a node, at most one of each component that it isn't yet merged with."""
+        own = self.label.get(comp, comp)
+        open_ = np.flatnonzero((self.comp != own) & (4 * np.minimum(self.size, len(full) // 8) >= 3 * np.maximum(self.size, len(full) // 8)))
+        if not len(open_):
+            return
+        earlier = bands.index(band)
+        open_ = open_[~(self.bands[open_, :earlier] == np.array(bands[:earlier], np.int64)).any(1)]
+        like = _similar(self.sk[open_], np.frombuffer(sk, np.uint8))
+        near = like >= ESTIMATE
+        base = np.frombuffer(full, np.uint64)
+        for k in open_[near][np.argsort(-like[near], kind="stable")].tolist():
+            if self.comp[k] == own:
+                continue
+            other = np.frombuffer(self.full[k], np.uint64)
+            both = len(np.intersect1d(base, other, assume_unique=True))
+            if 100 * both >= PERCENT * (len(base) + len(other) - both):
+                gone = self.comp[k]
+                self.comp[self.comp == gone] = own
+                for c, to in self.label.items():
+                    if to == gone:
+                        self.label[c] = own
+                self.label[int(gone)] = own
+                yield int(self.node[k])
+
+
+def _tiles(batches):
     """Streams tiles: the nodes of a block, then those outside the main component, which are compared with it."""
-
-    def run(batches):
-        tile, ids, cs, sks = None, [], [], []
-        block = None
-        for b in batches:
-            cols = [b.column(c).to_pylist() for c in ("band", "i", "j", "side", "node", "comp", "sk")]
-            left, right = [], []
-            for band, i, j, side, node, comp, sk in zip(*cols, strict=True):
-                if tile != (band, i, j):
-                    tile, ids, cs, sks, block = (band, i, j), [], [], [], None
-                if side == 0:
-                    ids.append(node), cs.append(comp), sks.append(sk)
-                    continue
-                if block is None:
-                    block = (np.array(ids, np.int64), np.array(cs, np.int64), np.frombuffer(b"".join(sks), np.uint8).reshape(-1, COORDS))
-                if len(block[0]):
-                    like = _similar(block[2], np.frombuffer(sk, np.uint8))
-                    near = np.flatnonzero((like >= ESTIMATE) & (block[1] != comp))
-                    if best and len(near) > best:
-                        near = near[np.lexsort((block[0][near], -like[near]))[:best]]
-                    for x in block[0][near].tolist():
-                        left.append(min(x, node)), right.append(max(x, node))
-            yield pa.RecordBatch.from_pydict({"a": pa.array(left, pa.int64()), "b": pa.array(right, pa.int64())})
-
-    return run
+    tile, held, block = None, [], None
+    for b in batches:
+        left, right = [], []
+        for band, i, j, side, *row in zip(*(b.column(c).to_pylist() for c in ("band", "i", "j", "side", "node", "comp", "sk", "bands", "full")), strict=True):
+            if tile != (band, i, j):
+                tile, held, block = (band, i, j), [], None
+            if side == 0:
+                held.append(row)
+                continue
+            if block is None:
+                block, held = _Block(held), []
+            for x in block.links(band, *row):
+                left.append(min(x, row[0])), right.append(max(x, row[0]))
+        yield pa.RecordBatch.from_pydict({"a": pa.array(left, pa.int64()), "b": pa.array(right, pa.int64())})
+
+
+def _keyed(docs: DataFrame, text: str, id_col: str) -> DataFrame:
+    """doc_id, text (null: empty), and 128 bits of hash that stand for the text."""
+    slim = docs.select(docs[id_col].cast("long").alias("doc_id"), F.coalesce(docs[text], F.lit("")).alias("text"))
+    size = F.octet_length("text")
+    return slim.withColumns({"k1": F.xxhash64("text", size), "k2": F.xxhash64(size, F.lit(1), "text")})
 
 
 def near_classes(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """(doc_id, node, n_shingles, component_id): node is the hash of the text, so repeated texts share one."""
+    """(doc_id, k1, k2, n_shingles, component_id), a row for each of ``docs``; k1 and k2 stand for the text."""
     spark = docs.sparkSession
     arrow_batches(spark)
-    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    slim = slim.withColumn("node", F.xxhash64("text", F.octet_length("text")))
-    rows = materialize(slim.mapInArrow(_sketch_rows, "doc_id long, node long, n_shingles long, sk binary, bands array<long>"), "near-sketch")
-    nodes = rows.filter("n_shingles > 0").groupBy("node").agg(F.first("sk").alias("sk"), F.first("bands").alias("bands"))
-    nodes = materialize(nodes, "near-nodes")
+    slim = _keyed(docs, text, id_col)
+    rows = materialize(slim.mapInArrow(_sketch_rows, "doc_id long, k1 long, k2 long, n_shingles long, sk binary, bands array<long>"), "near-sketch")
+    nodes = rows.filter("n_shingles > 0").groupBy("k1", "k2").agg(F.first("sk").alias("sk"), F.first("bands").alias("bands"), F.min("doc_id").alias("low"))
+    nodes = materialize(nodes.withColumn("node", F.monotonically_increasing_id()), "near-nodes")
     keys = nodes.select("node", F.explode("bands").alias("band"))
     leaders = keys.groupBy("band").agg(F.min("node").alias("a"), F.count("*").alias("n")).filter("n > 1").select("band", "a")
+    # Written first: a join straight from a shuffle lets Spark split a hot bucket.
+    leaders = materialize(leaders, "near-leaders")
     pairs = keys.join(leaders, "band").filter("a <> node").select("a", F.col("node").alias("b")).distinct()
     sk = nodes.select("node", "sk")
     pairs = pairs.join(sk.toDF("a", "sk_a"), "a").join(sk.toDF("b", "sk_b"), "b").select("a", "b", "sk_a", "sk_b")
-    pairs = materialize(pairs.mapInArrow(_estimate, "a long, b long"), "near-pairs1")
+    pairs = materialize(pairs.mapInArrow(_estimate, "a long, b long"), "near-pairs")
 
     def texts_of(need):
-        # A merge join at every size: texts move once, by key, however few candidates there are.
-        return slim.select("node", "text").join(need.distinct().hint("merge"), "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
-
-    links = materialize(_verified(pairs, texts_of(pairs.select(F.explode(F.array("a", "b")).alias("node")))), "near-links1")
-    comps = _components(links, "near-comp1")
-    bucket_rows = materialize(_mixed(keys, comps).select("band", "node"), "near-mixed")
-    texts = None
-    # A few rounds with each node's likeliest partners merge what belongs together; the last one takes all that is left.
-    for best in (*ROUNDS, 0):
-        more = materialize(_across(_mixed(bucket_rows, comps), sk, best), f"near-pairs-{best}")
-        if more.isEmpty():
-            break
-        # Only buckets that are mixed now are looked at later, so the texts of their nodes are cut out once.
-        if texts is None:
-            texts = materialize(texts_of(_mixed(bucket_rows, comps).select("node")), "near-texts")
-        found = materialize(_verified(more, texts), f"near-links-{best}")
+        # One row of each text, by its smallest id; a merge join at every size: texts move once, by key.
+        named = nodes.join(need.distinct(), "node").select("node", "k1", "k2", F.coalesce("low", F.lit(NO_ID)).alias("low"))
+        own = slim.select("k1", "k2", F.coalesce("doc_id", F.lit(NO_ID)).alias("low"), "text")
+        return own.join(named.hint("merge"), ["k1", "k2", "low"]).dropDuplicates(["node"]).select("node", "text")
+
+    links = materialize(_verified(pairs, texts_of(pairs.select(F.explode(F.array("a", "b")).alias("node")))), "near-links")
+    comps = _components(links, "near-comp")
+    mixed = materialize(_mixed(keys, comps), "near-mixed")
+    if not mixed.isEmpty():
+        full = texts_of(mixed.select("node")).mapInArrow(_sets, "node long, full binary")
+        full = materialize(full.join(nodes.select("node", "sk", "bands"), "node"), "near-sets")
+        found = materialize(_across(mixed, full), "near-links2")
         if not found.isEmpty():
-            comps = _components(comps.toDF("a", "b").unionByName(found), f"near-comp-{best}")
+            comps = _components(comps.toDF("a", "b").unionByName(found), "near-comp2")
     # Rows that repeat an id with several texts are one document for reachability.
-    named = rows.filter("n_shingles > 0 and doc_id is not null")
-    ids = named.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b"))
-    ids = materialize(ids.filter("a <> b").select("doc_id", "a"), "near-ids")
+    named = rows.filter("n_shingles > 0 and doc_id is not null").select("doc_id", "k1", "k2")
+    twice = named.groupBy("doc_id").agg(F.min(F.struct("k1", "k2")).alias("x"), F.max(F.struct("k1", "k2")).alias("y"))
+    ids = materialize(twice.filter("x <> y").select("doc_id"), "near-ids")
     if not ids.isEmpty():
-        same = named.join(ids, "doc_id").filter("a <> node").select("a", F.col("node").alias("b")).distinct()
-        comps = _components(comps.toDF("a", "b").unionByName(same), "near-comp-ids")
-    # Groups combine by key first; the smallest id of a component comes back to its rows by a join.
-    placed = rows.select("doc_id", "node", "n_shingles").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    low = placed.filter("n_shingles > 0").groupBy("comp").agg(F.min("doc_id").alias("low"))
-    out = placed.join(low, "comp", "left")
-    return out.select("doc_id", "node", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("low")).otherwise(F.col("doc_id")).alias("component_id"))
+        same = named.join(ids, "doc_id").join(nodes.select("k1", "k2", "node"), ["k1", "k2"]).select("doc_id", "node").distinct()
+        same = same.join(same.groupBy("doc_id").agg(F.min("node").alias("a")), "doc_id").filter("a <> node")
+        comps = _components(comps.toDF("a", "b").unionByName(same.select("a", F.col("node").alias("b"))), "near-comp-ids")
+    # Ids combine by text, then by component; they come back to the rows by one join.
+    placed = nodes.select("node", "k1", "k2", "low").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    placed = placed.join(placed.groupBy("comp").agg(F.min("low").alias("component_id")), "comp").select("k1", "k2", "component_id")
+    placed = materialize(placed, "near-classes")
+    out = rows.select("doc_id", "k1", "k2", "n_shingles").join(placed, ["k1", "k2"], "left")
+    return out.select("doc_id", "k1", "k2", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def near_dedup(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """``docs`` plus n_shingles, component_id and kept (the row whose id is its component's)."""
     new = ["n_shingles", "component_id", "kept"]
     docs = docs.select([c for c in docs.columns if c.lower() not in new])
-    d, n = fresh(docs, "_near_id", "_near_node")
-    classes = near_classes(docs, text, id_col).distinct().withColumnsRenamed({"doc_id": d, "node": n})
+    d, x, y = fresh(docs, "_near_id", "_near_k1", "_near_k2")
+    classes = near_classes(docs, text, id_col).distinct().withColumnsRenamed({"doc_id": d, "k1": x, "k2": y})
     body = F.coalesce(docs[text], F.lit(""))
-    out = docs.join(classes, docs[id_col].cast("long").eqNullSafe(F.col(d)) & (F.xxhash64(body, F.octet_length(body)) == F.col(n)), "left")
+    size = F.octet_length(body)
+    same = (F.xxhash64(body, size) == F.col(x)) & (F.xxhash64(size, F.lit(1), body) == F.col(y))
+    out = docs.join(classes, docs[id_col].cast("long").eqNullSafe(F.col(d)) & same, "left")
     return out.select(*[docs[c] for c in docs.columns], "n_shingles", "component_id", docs[id_col].cast("long").eqNullSafe(F.col("component_id")).alias("kept"))
 
 

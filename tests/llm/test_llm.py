@@ -414,3 +414,36 @@ def test_pipeline(spark):
             sets = {i: shingles(t) for i, t in kept.items()}
             assert all(v == k for k, v in components(sets).items())
     assert p.STAGES[-1][1](spark, left, sf).count() > 0
+
+
+def test_near_large_group(spark):
+    """A group of 2000 near copies around the threshold: classes equal those of all pairs compared."""
+    r = random.Random(12)
+    base = data.prose(r, 150).split()
+    texts = []
+    for _ in range(2000):
+        w = list(base)
+        for _ in range(r.randint(0, 9)):
+            w[r.randrange(len(w))] = data.prose(r, 1) + str(r.randint(0, 99))
+        texts.append(" ".join(w))
+    sets = [shingles(t) for t in texts]
+    col = {}
+    for s in sets:
+        for x in s:
+            col.setdefault(x, len(col))
+    m = np.zeros((len(texts), len(col)), np.float32)
+    for i, s in enumerate(sets):
+        m[i, [col[x] for x in s]] = 1
+    both, size = m @ m.T, m.sum(1)
+    linked = 100 * both >= 75 * (size[:, None] + size[None, :] - both)
+    want = np.full(len(texts), -1)
+    for i in range(len(texts)):
+        open_ = [i] if want[i] < 0 else []
+        while open_:
+            a = open_.pop()
+            want[a] = i
+            open_ += np.flatnonzero(linked[a] & (want < 0)).tolist()
+            want[open_] = i
+    got = near_dedup.near_classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    right = np.mean([x["component_id"] == want[x["doc_id"]] for x in got])
+    assert 5 < len(set(want.tolist())) < 1900 and right >= 0.99
