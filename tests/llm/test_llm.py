@@ -296,7 +296,6 @@ def test_packing(spark, docs):
     from tokenizers import Tokenizer
 
     coder = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    coder.encode_special_tokens = True
     want = Counter()
     ids = {}
     for i, t, *_ in data.rows():
@@ -334,6 +333,39 @@ def test_packing_added_token(spark):
     assert {t.content: i for i, t in coder.get_added_tokens_decoder().items()} == packing.ADDED
 
 
+def test_packing_every_character():
+    """Both libraries split alike after, before and between any character, with the added token around."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    coder, encode = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), packing._encoder(None)
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for i in range(0, len(points), 4096):
+        s = "".join(f"a{chr(c)}1 {chr(c)}" for c in points[i : i + 4096]) + "<|endoftext|>"
+        assert coder.encode(s, add_special_tokens=False).ids == encode(s).tolist()
+
+
+def test_packing_layout_is_fixed(spark):
+    r = random.Random(3)
+    rows = [(i, data.prose(r, r.randint(1, 300))) for i in range(300)] + [(1000 + i, data.prose(random.Random(1), 200)) for i in range(200)]
+    base = spark.createDataFrame(rows, "doc_id long, text string")
+    key, own, out = "spark.sql.shuffle.partitions", spark.conf.get("spark.sql.shuffle.partitions"), []
+    try:
+        for n in (4, 13):
+            spark.conf.set(key, str(n))
+            out.append(sorted(map(tuple, packing.pack(base.repartition(n), partition_bytes=1 << 15).collect())))
+    finally:
+        spark.conf.set(key, own)
+    assert out[0] == out[1]
+    used = Counter()
+    for x in out[0]:
+        used[x[5]] += x[2]
+    ranges = {k >> 32 for k in used}
+    assert len(ranges) > 8 and sum(n < 1024 for n in used.values()) <= len(ranges)
+    copies = {x[5] >> 32 for x in out[0] if x[0] >= 1000}
+    assert len(copies) > 2  # one point of the curve is more than a range
+
+
 def test_hilbert_neighbours():
     n = 8
     grid = np.array([(x, y, z) for x in range(n) for y in range(n) for z in range(n)])
