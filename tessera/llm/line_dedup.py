@@ -202,14 +202,16 @@ def dedup_lines(docs: DataFrame, text: str = "text", id_col: str = "doc_id") ->
     dropped = places.join(repeated, ["k1", "k2"]).filter(~F.col("at").eqNullSafe(F.col("keep"))).select("at.*")
     lists = dropped.groupBy("doc_id", "h").agg(F.sort_array(F.collect_set("pos")).alias("dropped")).withColumnsRenamed({"doc_id": d, "h": hh})
     out = keyed.join(lists, keyed[id_col].eqNullSafe(F.col(d)) & (keyed[h] == F.col(hh)), "left")
-    gone = F.coalesce("dropped", F.array().cast("array<int>"))
-    all_ = F.when(body.isNull(), F.array().cast("array<string>")).otherwise(F.split(body, "\n", -1))
+    gone, all_, bounds = fresh(docs, "_gone", "_lines", "_bounds")
+    out = out.select(*[keyed[c] for c in docs.columns], F.coalesce("dropped", F.array().cast("array<int>")).alias(gone))
+    out = out.withColumn(all_, F.when(body.isNull(), F.array().cast("array<string>")).otherwise(F.split(body, "\n", -1)))
     # Ranges of kept lines between dropped ones, so that no line is searched for in the list.
-    bounds = F.concat(F.array(F.lit(-1)), gone, F.array(F.size(all_)))
-    kept = F.flatten(F.transform(F.sequence(F.lit(1), F.size(bounds) - 1), lambda i: F.slice(all_, F.element_at(bounds, i) + 2, F.element_at(bounds, i + 1) - F.element_at(bounds, i) - 1)))
+    out = out.withColumn(bounds, F.concat(F.array(F.lit(-1)), gone, F.array(F.size(all_))))
+    place = lambda i: F.element_at(bounds, i)
+    kept = F.flatten(F.transform(F.sequence(F.lit(1), F.size(bounds) - 1), lambda i: F.slice(all_, place(i) + 2, place(i + 1) - place(i) - 1)))
     return out.select(
-        *[keyed[c] for c in docs.columns], F.size(all_).cast("long").alias("n_lines"), F.size(gone).cast("long").alias("n_dropped"), gone.alias("dropped"),
-        F.array_join(kept, "\n").alias("kept_text"),
+        *docs.columns, F.size(all_).cast("long").alias("n_lines"), F.size(gone).cast("long").alias("n_dropped"), F.col(gone).alias("dropped"),
+        F.when(F.size(gone) > 0, F.array_join(kept, "\n")).otherwise(F.coalesce(body, F.lit(""))).alias("kept_text"),
     )
 
 
