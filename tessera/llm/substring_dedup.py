@@ -7,13 +7,16 @@ anchor does. The windows of one anchor form a block (at most 2 * LENGTH bytes):
 1. Blocks are counted by anchor. An anchor seen once: nothing repeats. Seen several times,
    always in the same block: all its windows repeat.
 2. An anchor with several different blocks: equal blocks repeat as a whole; one copy of each
-   different block goes to the index of its anchor. There the blocks' suffixes are sorted, the
-   Burrows-Wheeler transform is cut into runs, and the longest common prefix with the
-   neighbour is computed at run ends only; streaming through the text from these samples
-   (each step loses one byte) gives every position's matching statistic, and statistics of
-   LENGTH or more mark a window.
-3. Anchors with more different blocks than INDEX_BLOCKS do not fit one task: their windows
-   are counted by digest instead, dealt out over all tasks; this is exact as well.
+   different block, with its count, goes to the run index of its anchor. There the blocks'
+   suffixes are sorted, and of the Burrows-Wheeler transform only run heads, run lengths and
+   samples at run ends are kept: text positions, and their longest common prefix across the
+   end. Matching statistics are streamed from these samples (each step through the text loses
+   one byte until the next sample), and statistics of LENGTH or more mark a window.
+3. An index takes at most INDEX_BLOCKS different blocks. Where an anchor has more, its index
+   is cut into shards: a window reaches over the anchor to the left or to the right by at least
+   half of what it is longer, so windows that reach left meet others with the same bytes
+   there, and windows that reach right likewise. Blocks become two smaller ones each, and
+   steps 2 and 3 are repeated with the longer anchors (eight times at most).
 
 Covered bytes are removed. Only hashes are shuffled in step 1; texts move by key in the two
 joins that cut out candidate blocks and apply the spans, and Spark can split a hot key there.
@@ -45,6 +48,9 @@ POSITION_BITS = 24
 #: Window starts that are worked on at once; a longer text is cut between windows.
 STRIDE = 1 << 22
 BLOCK = "tid long, fp long, bkey long, lo int, len int"
+SPAN = "tid long, lo int, len int"
+#: A block's bytes; left and right: place of the anchor in it (-1: not known yet).
+CUT = "fp long, tid long, lo int, n long, body binary, left int, right int"
 
 
 def block_spans(data: np.ndarray, offsets: np.ndarray):
@@ -103,19 +109,45 @@ def _block_rows(batches):
 def _cut(batches):
     """Bytes of the wanted blocks of each text."""
     for b in batches:
-        out = [[], [], [], [], [], []]
+        out = []
         for tid, text, wanted in zip(b.column("tid").to_pylist(), b.column("text").cast(pa.binary()).to_pylist(), b.column("wanted").to_pylist(), strict=True):
-            for x in wanted:
-                for column, v in zip(out, (tid, x["fp"], x["lo"], x["n"], x["many"], text[x["lo"] : x["lo"] + x["len"]]), strict=True):
-                    column.append(v)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.int64()), pa.array(out[4], pa.bool_()), pa.array(out[5], pa.binary())],
-            names=["tid", "fp", "lo", "n", "many", "body"],
-        )
+            out += [(x["fp"], tid, x["lo"], x["n"], text[x["lo"] : x["lo"] + x["len"]], -1, -1, x["many"]) for x in wanted]
+        yield _record(out, f"{CUT}, many boolean")
 
 
-def suffix_order(symbols: np.ndarray, ends: np.ndarray):
-    """Suffix array of concatenated blocks, and ranks by prefix length 7, 14, ...
+def _record(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "boolean": pa.bool_()}
+    fields = [x.split() for x in schema.split(", ")]
+    columns = zip(*rows, strict=True) if rows else [()] * len(fields)
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[t]) for c, (_, t) in zip(columns, fields, strict=True)], names=[n for n, _ in fields])
+
+
+def _shards(batches):
+    """Two smaller blocks of each: its windows that reach left of the anchor by half of what they are longer, and the others."""
+    for b in batches:
+        out = []
+        for fp, tid, lo, n, body, left, right in zip(*(b.column(c).to_pylist() for c in ("fp", "tid", "lo", "n", "body", "left", "right")), strict=True):
+            if left < 0:  # the anchor lies in all windows; its leftmost place there was taken
+                h = prefix_hash(np.frombuffer(body, np.uint8))
+                at = np.arange(len(body) - LENGTH, LENGTH - ANCHOR + 1)
+                left = int(at[np.flatnonzero(span_hash(h, at, at + ANCHOR).view(np.int64) == fp)[0]])
+                right = left + ANCHOR
+            slack = LENGTH - (right - left)
+            half = -(-slack // 2)
+            first, last = 0, len(body) - LENGTH  # window starts
+            cut = min(last, left - half)
+            for s, e, x, y in ((first, cut, left - half, right), (max(first, cut + 1), last, left, right + slack - half + 1)):
+                if s <= e and slack:
+                    part = body[s : e + LENGTH]
+                    key = hashlib.blake2b(body[x:y] + fp.to_bytes(8, "little", signed=True) + bytes([x == left]), digest_size=8)
+                    kind = hashlib.blake2b(part, digest_size=8)
+                    to_long = lambda d: int.from_bytes(d.digest(), "little", signed=True)
+                    out.append((to_long(key), tid, lo + s, n, part, x - s, y - s, to_long(kind)))
+        yield _record(out, f"{CUT}, bkey long")
+
+
+def suffix_order(symbols: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Suffix array of concatenated blocks by prefix doubling from 7 symbols on.
 
     symbols: byte + 1; ends: end of the block that holds each position. A suffix stops at its block's end.
     """
@@ -125,58 +157,68 @@ def suffix_order(symbols: np.ndarray, ends: np.ndarray):
     key = np.zeros(n, np.uint64)
     for i in range(7):
         key = (key << U64(9)) | np.where(at + i < ends, padded[i : n + i], U64(0))
-    ranks, width = [], 7
+    width = 7
     while True:
         order = np.argsort(key)
         sorted_ = key[order]
         rank = np.zeros(n, np.int64)
         rank[order] = np.cumsum(np.concatenate([[1], sorted_[1:] != sorted_[:-1]]))
-        ranks.append(rank)
         if width >= 2 * LENGTH or int(rank.max()) == n:
-            return order, ranks
+            return order
         ahead = np.minimum(at + width, n - 1)
         second = np.where(at + width < ends, rank[ahead], 0)
         key = (rank.astype(np.uint64) << U64(32)) | second.astype(np.uint64)
         width *= 2
 
 
-def common_prefix(a: np.ndarray, b: np.ndarray, ranks: list[np.ndarray], symbols: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Longest common prefixes of suffixes a and b, by descending through the ranks."""
-    total = np.zeros(len(a), np.int64)
-    n = len(symbols)
-    for level in range(len(ranks) - 1, -1, -1):
-        width = 7 << level
-        for _ in range(2 if level == len(ranks) - 1 else 1):
-            x, y = a + total, b + total
-            ok = (x + width <= ends[a]) & (y + width <= ends[b])
-            total += width * (ok & (ranks[level][np.minimum(x, n - 1)] == ranks[level][np.minimum(y, n - 1)]))
-    for _ in range(7):
-        x, y = a + total, b + total
-        ok = (x < ends[a]) & (y < ends[b])
-        total += ok & (symbols[np.minimum(x, n - 1)] == symbols[np.minimum(y, n - 1)])
+def common_prefix(a: np.ndarray, b: np.ndarray, data: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Longest common prefixes of suffixes a and b within their blocks, by eight bytes and then one at a time."""
+    wide = np.lib.stride_tricks.sliding_window_view(np.concatenate([data, np.zeros(8, np.uint8)]), 8)
+    room = np.minimum(ends[a] - a, ends[b] - b)
+    total, open_ = np.zeros(len(a), np.int64), np.arange(len(a))
+    for step in (8, 1):
+        open_ = np.arange(len(a))
+        while len(open_ := open_[total[open_] + step <= room[open_]]):
+            same = (wide[a[open_] + total[open_], :step] == wide[b[open_] + total[open_], :step]).all(1)
+            open_ = open_[same]
+            total[open_] += step
     return total
 
 
-def matching_statistics(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """For each position of the concatenated blocks: length of its longest match that starts anywhere else."""
-    n = len(data)
-    symbols = data.astype(np.int64) + 1
-    size = np.diff(offsets)
-    ends = np.repeat(offsets[1:], size)
-    order, ranks = suffix_order(symbols, ends)
-    # Burrows-Wheeler transform; block starts get symbols of their own, so that they end runs.
-    before = np.where(order > 0, symbols[np.maximum(order - 1, 0)], 0)
-    start = np.zeros(n, bool)
-    start[offsets[:-1][size > 0]] = True
-    first = start[order]
-    before[first] = -1 - order[first]
-    run = np.flatnonzero(before[1:] != before[:-1])  # run ends k, whose next run starts at k + 1
-    lcp = common_prefix(order[run], order[run + 1], ranks, symbols, ends)
-    sampled = np.zeros(n, np.int64)
-    np.maximum.at(sampled, order[run], lcp)
-    np.maximum.at(sampled, order[run + 1], lcp)
-    at = np.arange(n)
-    return np.maximum(np.maximum.accumulate(sampled + at) - at, 0)
+class RunIndex:
+    """Run-compressed Burrows-Wheeler transform of concatenated blocks; what is kept is linear in the runs.
+
+    heads, lengths: symbol and length of each run (a block's start is a run of its own).
+    at, reach: sampled text positions beside run ends, in order, and how far a match that
+    starts at one of them or before reaches.
+    """
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray):
+        symbols, size = data.astype(np.int64) + 1, np.diff(offsets)
+        ends = np.repeat(offsets[1:], size)
+        order = suffix_order(symbols, ends)
+        before = np.where(order > 0, symbols[np.maximum(order - 1, 0)], 0)
+        start = np.zeros(len(data), bool)
+        start[offsets[:-1][size > 0]] = True
+        first = start[order]
+        before[first] = -1 - order[first]
+        last = np.flatnonzero(before[1:] != before[:-1])  # ends of runs but for the last one
+        self.heads = before[np.concatenate([[0], last + 1])] if len(data) else before
+        self.lengths = np.diff(np.concatenate([[0], last + 1, [len(data)]]))
+        lcp = common_prefix(order[last], order[last + 1], data, ends)
+        at, reach = np.concatenate([order[last], order[last + 1]]), np.tile(lcp, 2)
+        self.at, where = np.unique(at, return_inverse=True)
+        self.reach = np.zeros(len(self.at), np.int64)
+        np.maximum.at(self.reach, where, reach + at)
+        self.reach = np.maximum.accumulate(self.reach)
+
+    def statistics(self, lo: int, hi: int) -> np.ndarray:
+        """For each position from lo to hi: length of its longest match that starts anywhere else."""
+        place = np.arange(lo, hi)
+        if not len(self.at):
+            return np.zeros(hi - lo, np.int64)
+        k = np.searchsorted(self.at, place, side="right") - 1
+        return np.where(k >= 0, np.maximum(self.reach[np.maximum(k, 0)] - place, 0), 0)
 
 
 def _index(batches):
@@ -187,45 +229,23 @@ def _index(batches):
         if len(held) < 2:
             return
         offsets = np.concatenate([[0], np.cumsum([len(x[2]) for x in held])])
-        ms = matching_statistics(np.frombuffer(b"".join(x[2] for x in held), np.uint8), offsets)
+        index = RunIndex(np.frombuffer(b"".join(x[2] for x in held), np.uint8), offsets)
         for i, (tid, lo, _, n) in enumerate(held):
-            hit = ms[offsets[i] : offsets[i + 1]] >= LENGTH
+            hit = index.statistics(offsets[i], offsets[i + 1]) >= LENGTH
             if n == 1 and hit.any():
                 edge = np.diff(np.concatenate([[0], hit.astype(np.int8), [0]]))
                 for s, e in zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist(), strict=True):
                     yield tid, lo + s, e - s - 1 + LENGTH
 
-    def batch(rows):
-        rows = list(rows)
-        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.int32())], names=["tid", "lo", "len"])
-
     for b in batches:
         for fp, tid, lo, n, body in zip(*(b.column(c).to_pylist() for c in ("fp", "tid", "lo", "n", "body")), strict=True):
             if fp != last and size >= INDEX_BYTES:
-                yield batch(flush())
+                yield _record(list(flush()), SPAN)
                 held, size = [], 0
             last = fp
             held.append((tid, lo, body, n))
             size += len(body)
-    yield batch(flush())
-
-
-def _windows(batches):
-    """Digests of every window of blocks whose anchor has too many of them for one index."""
-    for b in batches:
-        for first, data, offsets in slices(b.column("body")):
-            h, size = prefix_hash(data), np.diff(offsets)
-            row = np.repeat(np.arange(len(size)), size)
-            at = np.arange(len(data))
-            at = at[at + LENGTH <= np.repeat(offsets[1:], size)]
-            row = row[at]
-            half = LENGTH // 2
-            take = pa.array(row + first)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(span_hash(h, at, at + LENGTH).view(np.int64)), pa.array(span_hash(h, at + half, at + LENGTH).view(np.int64)), b.column("tid").take(take),
-                 pa.array((b.column("lo").to_numpy()[row + first] + at - offsets[row]).astype(np.int32)), b.column("n").take(take)],
-                names=["w1", "w2", "tid", "lo", "n"],
-            )
+    yield _record(list(flush()), SPAN)
 
 
 def repeated_spans(texts: DataFrame) -> DataFrame:
@@ -248,13 +268,30 @@ def repeated_spans(texts: DataFrame) -> DataFrame:
     wanted = wanted.select("one.tid", F.struct("fp", "one.lo", "one.len", "n", "many").alias("w"))
     wanted = wanted.groupBy("tid").agg(F.collect_list("w").alias("wanted"))  # at most a text's own blocks
     once = texts.join(wanted, "tid").dropDuplicates(["tid"])
-    bodies = materialize(once.select("tid", "text", "wanted").mapInArrow(_cut, "tid long, fp long, lo int, n long, many boolean, body binary"), "sub-bodies")
-    few = bodies.filter("not many").repartition(lanes, "fp").sortWithinPartitions("fp", "tid", "lo")
-    part = few.select("fp", "tid", "lo", "n", "body").mapInArrow(_index, "tid long, lo int, len int")
-    digests = bodies.filter("many").select("tid", "lo", "n", "body").mapInArrow(_windows, "w1 long, w2 long, tid long, lo int, n long")
-    twice = digests.groupBy("w1", "w2").agg(F.sum("n").alias("n")).filter("n > 1").select("w1", "w2")
-    hot = digests.filter("n = 1").join(twice, ["w1", "w2"]).select("tid", "lo", F.lit(LENGTH).alias("len"))
-    return materialize(whole.unionByName(part).unionByName(hot).distinct(), "sub-spans")
+    bodies = materialize(once.select("tid", "text", "wanted").mapInArrow(_cut, f"{CUT}, many boolean"), "sub-bodies")
+
+    def indexed(blocks):
+        rows = blocks.select("fp", "tid", "lo", "n", "body").repartition(lanes, "fp").sortWithinPartitions("fp", "tid", "lo")
+        return rows.mapInArrow(_index, SPAN)
+
+    found, level = [whole, indexed(bodies.filter("not many"))], 0
+    many = bodies.filter("many")
+    while not many.isEmpty():
+        level += 1
+        parts = materialize(many.select(*[x.split()[0] for x in CUT.split(", ")]).mapInArrow(_shards, f"{CUT}, bkey long"), f"sub-shards{level}")
+        kinds = parts.groupBy("fp", "bkey").agg(F.sum("n").alias("all"), F.min(F.struct("tid", "lo")).alias("one"))
+        kinds = materialize(kinds.withColumnsRenamed({"fp": "f", "bkey": "k"}), f"sub-kinds{level}")
+        per = materialize(kinds.groupBy(F.col("f").alias("g")).agg(F.count("*").alias("blocks")).filter("blocks > 1"), f"sub-many{level}")
+        parts = parts.join(kinds, (F.col("fp") == F.col("f")) & (F.col("bkey") == F.col("k")))
+        found.append(parts.filter("n = 1 and all > 1").select("tid", "lo", F.octet_length("body").alias("len")))
+        left = parts.filter(F.struct("tid", "lo") == F.col("one")).withColumn("n", F.col("all")).join(per, F.col("fp") == F.col("g"))
+        left = materialize(left.select(*many.columns[:-1], "blocks"), f"sub-left{level}")
+        found.append(indexed(left.filter(F.col("blocks") <= INDEX_BLOCKS)))
+        many = left.filter(F.col("blocks") > INDEX_BLOCKS)
+    spans = found[0]
+    for x in found[1:]:
+        spans = spans.unionByName(x)
+    return materialize(spans.distinct(), "sub-spans")
 
 
 def _apply(text: bytes, spans: list | None) -> tuple[bytes, list[tuple[int, int]]]:

@@ -83,9 +83,9 @@ def test_substrings(spark, docs):
     assert substring_dedup.remove_repeats(data.empty(spark)).count() == 0
 
 
-def test_substrings_by_digest(spark, docs, monkeypatch):
+def test_substrings_by_shards(spark, docs, monkeypatch):
     want = by_text(substring_dedup.remove_repeats(docs), "n_removed", "kept_sha256")
-    monkeypatch.setattr(substring_dedup, "INDEX_BLOCKS", 1)  # every mixed anchor takes the way of the hot ones
+    monkeypatch.setattr(substring_dedup, "INDEX_BLOCKS", 1)  # every mixed anchor is cut into shards, down to whole windows
     assert by_text(substring_dedup.remove_repeats(docs), "n_removed", "kept_sha256") == want
 
 
@@ -94,7 +94,9 @@ def test_matching_statistics():
     for _ in range(30):
         blocks = [bytes(r.choice(b"ab") for _ in range(r.randint(1, 40))) for _ in range(r.randint(1, 6))]
         offsets = np.concatenate([[0], np.cumsum([len(b) for b in blocks])])
-        got = substring_dedup.matching_statistics(np.frombuffer(b"".join(blocks), np.uint8), offsets)
+        index = substring_dedup.RunIndex(np.frombuffer(b"".join(blocks), np.uint8), offsets)
+        got = index.statistics(0, int(offsets[-1]))
+        assert index.lengths.sum() == offsets[-1] and len(index.heads) == len(index.lengths) and len(index.at) <= 2 * len(index.heads)
         starts = [(k, i) for k, b in enumerate(blocks) for i in range(len(b))]
         for p, (k, i) in enumerate(starts):
             best = 0
