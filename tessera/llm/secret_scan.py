@@ -3,7 +3,10 @@
 ``base`` spans come from three patterns. Further spans (kind ``markov``) are runs of
 token characters whose bigram log-likelihood ratio between a model of random strings
 and a model of ordinary identifiers exceeds a threshold. Both models are first-order
-Markov chains over 64 token characters (and "other"), counted from labelled samples.
+Markov chains over 64 token characters (and "other"), counted from labelled samples: digests
+and keys in several alphabets and lengths against words of the corpus, identifiers made of them
+(snake, kebab and camel case, paths, capitals, numbered names) and strings of digits (card and
+phone numbers, dates). Half of the samples train; the threshold comes from the other half.
 
 Positions: a text is split by a pattern, and the lengths of pieces and matches add up
 to code point offsets, so no row function is needed. Everything is a projection: no
@@ -38,11 +41,11 @@ KINDS = {"assign": ASSIGN, "access": ACCESS, "hex": HEX}
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_="
 STATES = len(ALPHABET) + 1
 TOKEN = r"[A-Za-z0-9+/_=-]{16,}"
-#: Mean log-likelihood ratio per bigram above which a token is reported.
-THRESHOLD = 0.5
+#: Shares of the held-out samples that set the threshold on the mean log-likelihood ratio per bigram.
+ORDINARY_BELOW, RANDOM_ABOVE = 0.998, 0.02
 #: Weight of a character's own frequency against its frequency after the one before.
 BACK_OFF = 5.0
-#: Bound on the documents that give ordinary identifiers, and on the random strings.
+#: Bounds of the labelled samples: documents whose words make ordinary identifiers, and strings of each label that are made up.
 SAMPLE_DOCS = 100
 SAMPLE_STRINGS = 3000
 
@@ -79,26 +82,35 @@ def _bigrams(states: Column) -> Column:
 
 
 def default_samples(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """(text, label): label 1 random strings (hex and base64 digests), 0 identifiers from corpus words.
+    """(text, label, part): label 1 random strings, 0 ordinary ones; part 0 trains, 1 is held out.
 
-    At most SAMPLE_DOCS documents, chosen by hash of their ids, and SAMPLE_STRINGS random strings.
+    At most SAMPLE_DOCS documents, chosen by hash of their ids, whose words are all used, and
+    SAMPLE_STRINGS made-up strings of each label.
     """
     spark = docs.sparkSession
     ids = [r[0] for r in docs.select(id_col).filter(F.col(id_col).isNotNull()).orderBy(F.xxhash64(id_col), id_col).limit(SAMPLE_DOCS).collect()]
-    words = F.filter(F.split(F.col(text), r"[^A-Za-z_]+"), lambda w: F.length(w) >= 3)
-    rows = docs.filter(F.col(id_col).isin(ids)).select(F.slice(words, 1, 4000).alias("w")) if ids else None
-    strings = spark.range(SAMPLE_STRINGS).select(
-        F.when(F.col("id") % 3 == 0, F.md5(F.col("id").cast("string")))
-        .when(F.col("id") % 3 == 1, F.base64(F.unhex(F.sha2(F.col("id").cast("string"), 256))))
-        .otherwise(F.regexp_replace(F.base64(F.unhex(F.sha2((-F.col("id")).cast("string"), 512))), "[+/=]", ""))
-        .alias("text"),
-        F.lit(1).alias("label"),
-    )
-    if rows is None:
-        return strings
-    pair = F.zip_with("w", F.slice(F.col("w"), 2, 4000), lambda a, b: F.concat(a, F.coalesce(F.concat(F.lit("_"), b), F.lit(""))))
-    plain = rows.filter(F.size("w") > 1).select(F.explode(F.concat(pair, F.col("w"), F.transform("w", F.upper))).alias("text"), F.lit(0).alias("label"))
-    return strings.unionByName(plain)
+    i = F.col("id")
+    key, long = F.sha2(i.cast("string"), 256), F.sha2((-i - 1).cast("string"), 512)
+    plain64 = F.regexp_replace(F.base64(F.unhex(long)), "[+/=]", "")
+    size = (F.lit(16) + i % 29).cast("int")
+    forms = [F.md5(i.cast("string")), F.substring(long, F.lit(1), size), F.base64(F.unhex(key)), F.substring(plain64, F.lit(1), size), F.substring(F.upper(plain64), F.lit(1), size)]
+    pick = lambda of, n: F.element_at(F.array(*of), (n % len(of) + 1).cast("int"))
+    digits = F.substring(F.regexp_replace(long, "[a-f]", ""), F.lit(1), (F.lit(12) + i % 11).cast("int"))
+    made = spark.range(SAMPLE_STRINGS)
+    samples = made.select(pick(forms, i).alias("text"), F.lit(1).alias("label"), (i / len(forms) % 2).cast("int").alias("part"))
+    samples = samples.unionByName(made.select(digits.alias("text"), F.lit(0).alias("label"), (i % 2).cast("int").alias("part")))
+    if not ids:
+        return samples
+    rows = docs.filter(F.col(id_col).isin(ids)).select(F.filter(F.split(F.col(text), r"[^A-Za-z]+"), lambda w: F.length(w) >= 3).alias("w"))
+
+    def identifier(n):
+        a, b, c = (F.element_at("w", n + k) for k in range(3))
+        camel = F.concat(a, F.initcap(b), F.initcap(c))
+        number = F.pmod(F.xxhash64(a, n), F.lit(10000)).cast("string")
+        return pick([a, F.concat_ws("_", a, b, c), F.concat_ws("-", a, b, c), camel, F.concat_ws("/", a, b, c), F.upper(F.concat_ws("_", a, b, c)), F.concat_ws("_", a, b, number), F.upper(a)], n)
+
+    names = F.transform(F.sequence(F.lit(1), F.size("w") - 2), lambda n: F.struct(identifier(n).alias("text"), F.lit(0).alias("label"), (F.floor(n / 8) % 2).cast("int").alias("part")))
+    return samples.unionByName(rows.filter(F.size("w") > 2).select(F.inline(names)))
 
 
 def train_markov(samples: DataFrame) -> list[float]:
@@ -132,7 +144,19 @@ def token_score(token: Column, model: list[float]) -> Column:
     return F.when(F.length(token) > 1, total / (F.length(token) - 1))
 
 
-def scan_secrets(docs: DataFrame, model: list[float], text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+def held_out(samples: DataFrame, model: list[float]) -> tuple[float, float, float]:
+    """Threshold from held-out samples that are long enough to be tokens, and precision and recall of those at it."""
+    rows = samples.filter(F.col("text").rlike(f"^{TOKEN}$")).select("label", token_score(F.col("text"), model).alias("s"))
+    s = lambda label, q: F.percentile(F.when(F.col("label") == label, F.col("s")), F.lit(q))
+    low, high = rows.agg(s(0, ORDINARY_BELOW), s(1, RANDOM_ABOVE)).first()
+    if low is None or high is None:
+        return math.inf, 0.0, 0.0
+    cut = max(low, (low + high) / 2)
+    right, found, all_ = rows.agg(F.count_if((F.col("label") == 1) & (F.col("s") > cut)), F.count_if(F.col("s") > cut), F.count_if(F.col("label") == 1)).first()
+    return cut, right / max(1, found), right / max(1, all_)
+
+
+def scan_secrets(docs: DataFrame, model: list[float], text: str = "text", threshold: float = 0.0) -> DataFrame:
     """``docs`` plus n_assign, n_access, n_hex, base_sha256 and spans (clashing names are replaced)."""
     new = ["n_assign", "n_access", "n_hex", "base_sha256", "spans"]
     docs = docs.select([c for c in docs.columns if c.lower() not in new])
@@ -160,7 +184,7 @@ def scan_secrets(docs: DataFrame, model: list[float], text: str = "text", thresh
     rows = rows.withColumns({at[k]: tagged(kept[k], k, i) for i, k in enumerate(KINDS)})
     rows = rows.withColumn(base, F.concat(*[at[k] for k in KINDS]))
     apart = F.filter(at["token"], lambda t: ~F.exists(base, lambda b: (b["s"] < t["e"]) & (t["s"] < b["e"])))
-    random = F.filter(apart, lambda t: token_score(t["m"], model) >= threshold)
+    random = F.filter(apart, lambda t: token_score(t["m"], model) > threshold)
     rows = rows.withColumn(inner, F.concat(base, tagged(random, "markov", len(KINDS))))
     return rows.select(
         *docs.columns,
@@ -172,4 +196,6 @@ def scan_secrets(docs: DataFrame, model: list[float], text: str = "text", thresh
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return scan_secrets(docs, train_markov(default_samples(docs))).drop("text")
+    samples = default_samples(docs)
+    model = train_markov(samples.filter("part = 0"))
+    return scan_secrets(docs, model, threshold=held_out(samples.filter("part = 1"), model)[0]).drop("text")
