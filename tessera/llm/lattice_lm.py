@@ -9,7 +9,8 @@ over its words plus the end. Each distinct word is evaluated once.
 The vocabulary on hand carries merge ranks, not probabilities, so the unigram probabilities
 of its pieces are learned from the training side: counts of one segmentation to begin with,
 then ROUNDS rounds of expected counts over all segmentations (forward-backward on distinct
-words). The whole-word edge takes count / words of the mass that is left by the share of
+words). A distinct word weighs 1 / its count there, for the pieces are to spell new words, and
+rare words are most like those. The whole-word edge takes count / words of the mass that is left by the share of
 words that occur once, which is what new words have had so far.
 
 Plan. Rows are dealt into blocks of a file, by rows and, for long texts, fewer rows (TIERS), so
@@ -89,7 +90,7 @@ class Lattice:
         return out / np.log(10)
 
     def expected(self, words: list[bytes], counts: np.ndarray) -> np.ndarray:
-        """Expected number of uses of each piece over all segmentations of words that occur ``counts`` times."""
+        """Expected number of uses of each piece over all segmentations of words that weigh ``counts``."""
         out = np.zeros(self.size)
         for part in self._parts(words):
             total, alpha, ends, levels = self._forward([MARK + words[i] for i in part])
@@ -220,12 +221,12 @@ def lattice_scores(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
             c = b.column("c").to_numpy()
             got = sp.encode([x.decode("utf-8", "replace") for x in b.column("word").to_pylist()], num_threads=1)
             flat = np.fromiter((i for g in got for i in g), np.int64)
-            total += np.bincount(flat, weights=np.repeat(c, [len(g) for g in got]), minlength=len(pieces))
+            total += np.bincount(flat, weights=np.repeat(1 / c, [len(g) for g in got]), minlength=len(pieces))
         at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at].astype(np.int64))], names=["piece", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["piece", "n"])
 
-    used = words.filter("c > 0").mapInArrow(piece_counts, "piece long, n long").groupBy("piece").agg(F.sum("n")).collect()
-    counts = {int(i): float(n) for i, n in used}
+    used = words.filter("c > 0").mapInArrow(piece_counts, "piece long, n double").groupBy("piece").agg(F.sum("n")).collect()
+    counts = {int(i): round(float(n), 6) for i, n in used}  # sums of tasks come in any order
     ends = located.agg(F.count(F.when(train, 1))).first()[0]
     kinds, tokens, once = words.filter("c > 0").agg(F.count("*"), F.coalesce(F.sum("c"), F.lit(0)), F.count(F.when(F.col("c") == 1, 1))).first()
     n_all, n_kinds = int(tokens) + int(ends), int(kinds) + (ends > 0)
@@ -235,7 +236,7 @@ def lattice_scores(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
         def run(batches):
             lattice, total = Lattice(_vocabulary(vocabulary)[1], now), 0.0
             for b in batches:
-                total = total + lattice.expected(b.column("word").to_pylist(), b.column("c").to_numpy())
+                total = total + lattice.expected(b.column("word").to_pylist(), 1 / b.column("c").to_numpy())
             at = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(np.atleast_1d(total)[at])], names=["piece", "n"])
 
@@ -243,7 +244,7 @@ def lattice_scores(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
 
     for _ in range(ROUNDS if counts else 0):
         used = words.filter("c > 0").mapInArrow(expected(counts), "piece long, n double").groupBy("piece").agg(F.sum("n")).collect()
-        counts = {int(i): round(float(n), 6) for i, n in used}  # sums of tasks come in any order
+        counts = {int(i): round(float(n), 6) for i, n in used}
     # Words that occur once tell how much mass is left for new ones.
     new = (int(once) + 1) / (int(tokens) + 1)
     more = (int(tokens) + SMOOTH) / (n_all + 2 * SMOOTH)
