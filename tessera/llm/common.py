@@ -18,8 +18,9 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that a kernel holds at once (a longer text is a slice alone).
 CHUNK = 1 << 20
-#: Rows of text sent to a Python worker at once.
+#: Rows and bytes of text sent to a Python worker at once.
 BATCH_ROWS = 2000
+BATCH_BYTES = 32 << 20
 
 U64 = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -51,13 +52,15 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    spark.sparkContext._jvm.System.gc()  # lets Spark's cleaner drop the shuffle files of what is written now
+    if (jvm := getattr(spark, "_jvm", None)) is not None:
+        jvm.System.gc()  # lets Spark's cleaner drop the shuffle files of what is written now
     return spark.read.schema(df.schema).parquet(path)
 
 
-def arrow_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Bound the rows per Arrow batch: texts are long."""
+def arrow_batches(spark: SparkSession, rows: int = BATCH_ROWS, size: int = BATCH_BYTES) -> None:
+    """Bound the rows and bytes per Arrow batch for this session: texts are long."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:

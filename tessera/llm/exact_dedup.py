@@ -4,9 +4,10 @@
 2. Prefix hashes: of the others, rows whose (length, hash of the first characters) is unique leave.
 3. Full hash: the content of the surviving groups alone is hashed in full and grouped.
 
-Every grouping combines before its shuffle and carries keys, not texts. The text
-moves once, in the join that marks the survivors; Spark can split a hot key there,
-for it is a left join of two shuffled sides.
+Every grouping combines before its shuffle and carries keys, not texts. Texts move in two
+joins: the one that tells which of them are hashed in full, and the one that brings the
+decision back, where they only move if the result has them. Both are left joins of shuffled
+sides, in which Spark can split a hot key.
 
 Defined results: null text counts as empty; texts are equal when identical after
 lower-casing A-Z only; the largest doc_id of a group stays (nulls are smaller than

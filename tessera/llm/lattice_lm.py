@@ -292,4 +292,5 @@ def lattice_scores(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
 
 
 def op9_lattice_lm(spark, sf_dir: str) -> DataFrame:
-    return lattice_scores(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    scores = lattice_scores(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return scores.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")

@@ -12,8 +12,9 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import exact_dedup, lattice_lm, line_dedup, mixing, near_dedup, packing, quality, secret_scan, substring_dedup
+from tessera.llm import exact_dedup, lattice_lm, line_dedup, mixing, near_dedup, packing, quality, registry, secret_scan, substring_dedup
 from tessera.llm import webp_lossless as webp
+from tessera.llm.common import materialize
 from tests.llm import data
 
 
@@ -557,3 +558,74 @@ def test_near_large_group(spark):
     got = near_dedup.near_classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
     right = np.mean([x["component_id"] == want[x["doc_id"]] for x in got])
     assert 5 < len(set(want.tolist())) < 1900 and right >= 0.99
+
+
+CONTRACT = {
+    "op1": "doc_id n_assign n_access n_hex base_sha256 spans", "op2": "doc_id n_bytes n_removed n_spans kept_sha256",
+    "op3": "doc_id keep_id group_size kept text_sha256", "op4": "doc_id n_bytes payload_bytes payload_sha256 tail_crc32 media_bytes media_sha256 feature",
+    "op5": "doc_id held_out score predicted", "op6": "doc_id size source_size target taken", "op7": "doc_id n_shingles component_id kept",
+    "op8": "doc_id n_lines n_dropped dropped kept_sha256", "op9": "doc_id held_out n_tokens n_known train_tokens base_score score",
+    "op10": "doc_id start length ids_crc32 doc_tokens sequence_id offset",
+}
+
+
+@pytest.fixture(scope="module")
+def folders(spark, tmp_path_factory):
+    """Folders of tables with null, empty, long, tied and repeated rows and extra columns, and with none."""
+    out = []
+    for rows in (data.rows(), []):
+        path = str(tmp_path_factory.mktemp("sf"))
+        docs_ = spark.createDataFrame([(i, t, s, "en", len(t or ""), 7) for i, t, s, *_ in rows], "doc_id long, text string, source string, lang string, n_chars long, Kept int")
+        docs_.write.parquet(f"{path}/documents.parquet")
+        labels = [(i, (i or 0) % 2, 0) for i, *_ in rows] + [(i, None, 1) for i, *_ in rows[:3]]
+        spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+        out.append(path)
+    return out
+
+
+@pytest.mark.parametrize("name", list(registry.QUERIES))
+def test_query(spark, folders, name):
+    full, none = folders
+    got = registry.QUERIES[name](spark, full)
+    n = name.split("_")[0]
+    assert got.columns[: len(CONTRACT[n].split())] == CONTRACT[n].split()
+    rows = got.collect()
+    ids = Counter(i for i, *_ in data.rows())
+    if n == "op10":
+        whole = Counter((x["doc_id"], x["doc_tokens"]) for x in rows if x["start"] == 0)
+        assert Counter(i for i, _ in whole.elements()) == ids
+        assert sum(x["length"] for x in rows) == sum(k[1] * c for k, c in whole.items())
+    else:
+        assert Counter(x["doc_id"] for x in rows) == ids
+    again = registry.QUERIES[name](spark, full).collect()
+    assert sorted(map(str, rows)) == sorted(map(str, again))
+    assert registry.QUERIES[name](spark, none).count() == 0
+
+
+def test_pipeline_run(spark, folders, monkeypatch):
+    import corpus_pipeline as p
+
+    full, none = folders
+    stages = {}
+    monkeypatch.setattr(p, "materialize", lambda df, name: stages.setdefault(name.removeprefix("pipeline-"), materialize(df, name)))
+    pieces = p.run(spark, full).collect()
+    docs_ = spark.read.parquet(f"{full}/documents.parquet")
+    rows = {k: [tuple(x) for x in v.collect()] for k, v in stages.items()}
+    assert all(stages[k].columns == docs_.columns for k in list(stages)[:-1])
+    before = Counter(map(tuple, docs_.collect()))
+    model = quality.fit_quality(docs_, spark.read.parquet(f"{full}/labels.parquet"))
+    good = Counter(tuple(x)[:-1] for x in quality.score_quality(docs_, model, name="_score").collect() if x["_score"] >= quality.CUT)
+    assert Counter(rows["quality"]) == good and not good - before
+    low = lambda x: (x[1] or "").translate(data.LOWER)
+    best = {}
+    for x in rows["quality"]:
+        best[low(x)] = max(best.get(low(x), -1), -1 if x[0] is None else x[0])
+    assert Counter(rows["exact_dedup"]) == Counter(x for x in rows["quality"] if (-1 if x[0] is None else x[0]) == best[low(x)])
+    known = {x[0]: shingles(x[1]) for x in rows["exact_dedup"] if x[0] is not None}
+    if len(known) == sum(x[0] is not None for x in rows["exact_dedup"]):  # no id with two texts
+        groups = components(known)
+        assert {x[0] for x in rows["near_dedup"] if x[0] is not None} == {i for i in known if groups[i] == i}
+    assert set(rows["mixing"]) <= set(rows["near_dedup"]) and max(Counter(rows["mixing"]).values()) <= 2 * max(Counter(rows["near_dedup"]).values())
+    assert Counter(x["doc_id"] for x in pieces if x["start"] == 0) == Counter(x[0] for x in rows["mixing"])
+    stages.clear()
+    assert p.run(spark, none).count() == 0
