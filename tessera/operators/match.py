@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as X
-from tessera.llm.common import materialize
+from tessera.scratch import materialize
 
 
 @dataclass(frozen=True)
