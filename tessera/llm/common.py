@@ -8,7 +8,6 @@ its partition.
 from __future__ import annotations
 
 import sys
-import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +15,8 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.scratch import materialize, scratch_dir  # noqa: F401  used by the operators
+
 #: Bytes of text that a kernel holds at once (a longer text is a slice alone).
 CHUNK = 1 << 20
 #: Rows and bytes of text sent to a Python worker at once.
@@ -35,28 +36,6 @@ def by_value(name: str) -> None:
 by_value(__name__)
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; set to a local one only where unset (tests)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        made = spark.sparkContext._jsc.sc().getCheckpointDir()
-        folder = made.get() if made.isDefined() else None
-    if not folder:
-        folder = "/tmp/checkpoints"
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder.rstrip("/")
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet into the shared scratch folder and read it back (cuts lineage)."""
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    if (jvm := getattr(spark, "_jvm", None)) is not None:
-        jvm.System.gc()  # lets Spark's cleaner drop the shuffle files of what is written now
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def arrow_batches(spark: SparkSession, rows: int = BATCH_ROWS, size: int = BATCH_BYTES) -> None:
     """Bound the rows and bytes per Arrow batch for this session: texts are long."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
