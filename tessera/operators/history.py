@@ -14,10 +14,10 @@ def phrase_history(log: DataFrame, k: int = 6) -> DataFrame:
 
 
 def latest_upsert(log: DataFrame, keys: list[str]) -> DataFrame:
-    """Last writer of each key, with the number of writes."""
-    order = Window.partitionBy(*keys).orderBy(F.desc("ts"), F.desc("event_id"))
-    count = F.count("*").over(Window.partitionBy(*keys))
-    return log.withColumn("times", count).withColumn("k", F.row_number().over(order)).filter("k = 1").drop("k")
+    """Last writer of each key, with the number of writes; rows combine before they are shuffled."""
+    rest = [c for c in log.columns if c not in keys]
+    last = log.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct("ts", "event_id")).alias("row"), F.count("*").alias("times"))
+    return last.select(*keys, "row.*", "times")
 
 
 def confirm(corrections: DataFrame, seen: DataFrame) -> DataFrame:

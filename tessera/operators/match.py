@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,12 +34,19 @@ def postings(docs: DataFrame, id_col: str, text: str) -> DataFrame:
     return words.select("id", F.size("w").alias("length"), F.explode("w").alias("term")).groupBy("term", "id").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
 
 
-def bm25(index: DataFrame, terms: DataFrame, n_docs: int, mean_length: float, k: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """Top ``k`` documents for each request of ``terms`` (request, term): request, id, score, rank."""
-    df = index.groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.greatest(F.lit(0.0), F.log((F.lit(float(n_docs)) - F.col("df") + 0.5) / (F.col("df") + 0.5)))
-    weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / mean_length))
-    scored = terms.distinct().join(df, "term").join(index, "term").groupBy("request", "id").agg(F.round(F.sum(weight), 6).alias("score"))
+def bm25(docs: DataFrame, id_col: str, text: str, terms: DataFrame, k: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """Top ``k`` documents for each request of ``terms`` (request, term): request, id, score, rank. Only asked terms are grouped."""
+    words = docs.select(F.col(id_col).alias("id"), F.regexp_extract_all(F.lower(F.col(text)), F.lit("[a-z0-9]{2,}"), F.lit(0)).alias("w"))
+    words = words.withColumn("length", F.size("w")).filter("length > 0")
+    stats = words.agg(F.count("*").cast("double").alias("n"), F.avg("length").alias("mean"))
+    asked = terms.distinct()
+    hits = words.select("id", "length", F.explode("w").alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
+    tf = hits.groupBy("term", "id").agg(F.count("*").alias("tf"), F.max("length").alias("length"))
+    df = tf.groupBy("term").agg(F.count("*").alias("df"))
+    idf = F.greatest(F.lit(0.0), F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
+    weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean")))
+    scored = tf.join(asked.join(df, "term").join(F.broadcast(stats), F.lit(True)), "term")
+    scored = scored.groupBy("request", "id").agg(F.round(F.sum(weight), 6).alias("score"))
     order = Window.partitionBy("request").orderBy(F.desc("score"), "id")
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
@@ -203,14 +212,38 @@ def cheapest_band(rows: DataFrame, band: int = 120) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(final)).drop("ok")
 
 
-def nearest(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
-    """Top ``k`` by cosine: queries (q, v) against vectors (id, v). The queries are few and stated; vectors are read once."""
+#: Vectors and queries that meet in one task of ``nearest``.
+VECTOR_BLOCK, QUERY_BLOCK = 50_000, 2_000
 
-    def norm(v):
-        return F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
 
-    dot = F.aggregate(F.zip_with("v", "qv", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    pairs = vectors.join(queries.withColumnRenamed("v", "qv"), F.col("q") != F.col("id"))
-    pairs = pairs.select("q", "id", F.round(dot / (norm(F.col("v")) * norm(F.col("qv"))), 6).alias("cosine"))
+def nearest(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
+    """Top ``k`` by cosine: queries (q, v), a stated set, against all vectors (id, v), in blocks; a block pair keeps its own top ``k``."""
+
+    def blocks(df, size):
+        return F.broadcast(df.agg(F.greatest(F.lit(1), F.ceil(F.count("*") / size)).cast("int").alias("n")))
+
+    nv, nq = blocks(vectors, VECTOR_BLOCK).withColumnRenamed("n", "nv"), blocks(queries, QUERY_BLOCK).withColumnRenamed("n", "nq")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    own = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
+    a = vectors.join(nv, F.lit(True)).join(nq, F.lit(True)).select(F.col("id").alias("id"), F.col("v").alias("x"), own("id", "nv").alias("i"), each("nq").alias("j"))
+    b = queries.join(nv, F.lit(True)).join(nq, F.lit(True)).select(F.col("q").alias("q"), F.col("v").alias("y"), own("q", "nq").alias("j"), each("nv").alias("i"))
+
+    def unit(v):
+        x = np.stack(v.to_numpy()).astype(np.float64)
+        return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+
+    def top(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(left) and len(right):
+            ids, x = left["id"].to_numpy(), unit(left["x"])
+            for q, row in zip(right["q"].to_numpy(), unit(right["y"]), strict=True):
+                score = np.round(x @ row, 6)
+                score[ids == q] = -np.inf
+                some = np.flatnonzero(score >= np.partition(score, -min(k, len(score)))[-min(k, len(score))])  # ties stay
+                best = some[np.lexsort((ids[some], -score[some]))][:k]
+                out += [(q, ids[i], score[i]) for i in best if np.isfinite(score[i])]
+        return pd.DataFrame(out, columns=["q", "id", "cosine"]).astype({"q": "int64", "id": "int64", "cosine": "float64"})
+
+    pairs = a.groupBy("i", "j").cogroup(b.groupBy("i", "j")).applyInPandas(top, "q long, id long, cosine double")
     order = Window.partitionBy("q").orderBy(F.desc("cosine"), "id")
     return pairs.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)

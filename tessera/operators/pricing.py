@@ -51,12 +51,17 @@ def bulk_tier(products: DataFrame, percent: int) -> DataFrame:
     return products.withColumn("snapshot", base).withColumn("price", M.tier_price(base, F.lit(percent)))
 
 
+def reset_tier(products: DataFrame) -> DataFrame:
+    """Prices back from the snapshot, which is cleared."""
+    return products.withColumn("price", F.coalesce("snapshot", "price")).withColumn("snapshot", F.lit(None).cast("decimal(18,2)"))
+
+
 def refresh_prices(lines: DataFrame, products: DataFrame) -> DataFrame:
-    """Lines with the live price of their product; the first previous price is kept."""
+    """Lines (with previous, null at first) with the live price of their product; the first previous price is kept."""
     live = products.select(F.col("id").alias("part"), F.col("price").alias("live"))
     rows = lines.join(live, "part", "left")
     changed = F.col("live").isNotNull() & (F.col("live") != F.col("price"))
-    new = {"changed": changed, "previous": F.when(changed, F.col("price")), "price": F.coalesce("live", "price")}
+    new = {"changed": changed, "previous": F.coalesce("previous", F.when(changed, F.col("price"))), "price": F.coalesce("live", "price")}
     return rows.withColumns(new).drop("live")
 
 

@@ -118,10 +118,11 @@ def bulk_tier_pricing(spark, sf):
     return doubles(twice.select("id", "snapshot", "price"), "snapshot", "price")
 
 
-@query(f"WITH {CATALOGUE_SQL} SELECT id, CAST(price AS DOUBLE) AS price FROM cat")
+@query(f"""WITH {CATALOGUE_SQL} SELECT id, CAST(CASE WHEN price > 0 THEN round(price * CAST(0.60 AS DECIMAL(12,4)), 2) ELSE price END AS DOUBLE) AS reduced,
+CAST(price AS DOUBLE) AS price, CAST(NULL AS DOUBLE) AS snapshot FROM cat""")
 def tier_reset(spark, sf):
     c = pricing.bulk_tier(catalogue(spark, sf).withColumn("snapshot", F.lit(None).cast("decimal(18,2)")), 40)
-    return doubles(c.select("id", F.coalesce("snapshot", "price").alias("price")), "price")
+    return doubles(pricing.reset_tier(c.withColumn("reduced", F.col("price"))).select("id", "reduced", "price", "snapshot"), "reduced", "price", "snapshot")
 
 
 @query(f"WITH {CATALOGUE_SQL} SELECT id, CASE WHEN id % 50 = 0 THEN 'moved' ELSE file_name END AS file_name, CASE WHEN id % 50 = 0 THEN NULL ELSE category END AS category FROM cat WHERE id % 77 <> 0")
@@ -198,10 +199,11 @@ def avg_margin_by_file(spark, sf):
     return catalogue(spark, sf).filter("cost > 0 and price > cost").groupBy("file_name").agg(F.round(F.avg(pc), 1).alias("margin"), F.count("*").alias("n"))
 
 
-@query(f"""WITH {CATALOGUE_SQL}, {LINES_SQL} SELECT quote, part, pos, supplier, CAST(coalesce(c.price, l.price) AS DOUBLE) AS price,
-CAST(CASE WHEN c.price <> l.price THEN l.price END AS DOUBLE) AS previous, coalesce(c.price <> l.price, false) AS changed FROM lines l LEFT JOIN cat c ON c.id = l.part""")
+@query(f"""WITH {CATALOGUE_SQL}, {LINES_SQL}, l AS (SELECT *, CASE WHEN quote % 4 = 0 THEN CAST(1.5 AS DECIMAL(18,2)) END AS before FROM lines) SELECT quote, part, pos, supplier, CAST(coalesce(c.price, l.price) AS DOUBLE) AS price,
+CAST(CASE WHEN c.price <> l.price THEN coalesce(l.before, l.price) ELSE l.before END AS DOUBLE) AS previous, coalesce(c.price <> l.price, false) AS changed FROM l LEFT JOIN cat c ON c.id = l.part""")
 def price_refresh(spark, sf):
-    rows = pricing.refresh_prices(quote_lines(spark, sf), catalogue(spark, sf))
+    lines = quote_lines(spark, sf).withColumn("previous", F.when(F.col("quote") % 4 == 0, F.lit("1.5").cast("decimal(18,2)")))
+    rows = pricing.refresh_prices(lines, catalogue(spark, sf))
     return doubles(rows.select("quote", "part", "pos", "supplier", "price", "previous", "changed"), "price", "previous")
 
 
@@ -240,9 +242,9 @@ def overlapping_imports(spark, sf):
     return hygiene.overlapping_files(catalogue(spark, sf))
 
 
-@query(f"WITH {CATALOGUE_SQL} SELECT lower(a.model) AS model, a.id AS a, b.id AS b FROM cat a JOIN cat b ON lower(a.model) = lower(b.model) WHERE a.file_name = 'file0' AND b.file_name = 'file4' AND length(a.model) >= 3 ORDER BY model, a, b LIMIT 30")
+@query(f"WITH {CATALOGUE_SQL}, m AS (SELECT id, file_name, 'ab' || lower(model) AS model FROM cat) SELECT a.model, a.id AS a, b.id AS b FROM m a JOIN m b ON a.model = b.model WHERE a.file_name = 'file0' AND b.file_name = 'file4' AND length(a.model) >= 5 ORDER BY model, a, b LIMIT 30")
 def overlap_preview(spark, sf):
-    c = catalogue(spark, sf).select("id", F.lower("model").alias("model"), "file_name").filter(F.length("model") >= 3)
+    c = catalogue(spark, sf).select("id", F.concat(F.lit("ab"), F.lower("model")).alias("model"), "file_name").filter(F.length("model") >= 5)
     a, b = c.filter("file_name = 'file0'").select("model", F.col("id").alias("a")), c.filter("file_name = 'file4'").select("model", F.col("id").alias("b"))
     return a.join(b, "model").orderBy("model", "a", "b").limit(30)
 
@@ -267,12 +269,16 @@ def skeleton_map(spark, sf):
     return v.select("skeleton", "word", "n", F.row_number().over(order).alias("rank")).filter("rank <= 2")
 
 
-@query("""WITH w AS (SELECT DISTINCT p_brand AS brand, unnest(regexp_extract_all(lower(p_name), '[a-z]{3,}')) AS word FROM part)
-SELECT word, count(*) AS brands, min(brand) AS first_brand FROM w GROUP BY word HAVING count(*) <= 25""")
+@query(f"""WITH {CATALOGUE_SQL}, w AS (SELECT DISTINCT id, brand, unnest(regexp_extract_all(lower(product || ' ' || model), '[a-z0-9]{{2,}}')) AS word FROM cat),
+own AS (SELECT brand, word, count(*) AS own FROM w GROUP BY ALL), total AS (SELECT word, count(*) AS n FROM w GROUP BY word)
+SELECT brand, word, own, n - own AS elsewhere FROM own JOIN total USING (word) WHERE n - own < 25""")
 def brand_generic(spark, sf):
-    p = table(spark, sf, "part")
-    w = p.select(F.col("p_brand").alias("brand"), F.explode(F.regexp_extract_all(F.lower("p_name"), F.lit("[a-z]{3,}"), F.lit(0))).alias("word")).distinct()
-    return w.groupBy("word").agg(F.count("*").alias("brands"), F.min("brand").alias("first_brand")).filter("brands <= 25")
+    """Words that name a brand: fewer than 25 rows of other brands have them."""
+    c = catalogue(spark, sf)
+    w = c.select("id", "brand", F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.concat_ws(" ", "product", "model")), F.lit("[a-z0-9]{2,}"), F.lit(0)))).alias("word"))
+    own = w.groupBy("brand", "word").agg(F.count("*").alias("own"))
+    total = own.groupBy("word").agg(F.sum("own").alias("n"))
+    return own.join(total, "word").select("brand", "word", "own", (F.col("n") - F.col("own")).alias("elsewhere")).filter("elsewhere < 25")
 
 
 @query("""WITH t AS (SELECT DISTINCT p_partkey % 7 AS f, unnest(regexp_extract_all(lower(p_name || ' ' || p_type), '[a-z]{3,}')) AS token FROM part)
@@ -439,11 +445,9 @@ s AS (SELECT request, tf.id, round(sum(greatest(0.0, ln((docs - df + 0.5) / (df
 FROM q JOIN df USING (term) JOIN tf USING (term) JOIN len ON len.id = tf.id, n GROUP BY ALL)
 SELECT request, id, score, row_number() OVER (PARTITION BY request ORDER BY score DESC, id) AS rank FROM s QUALIFY rank <= 50""")
 def bm25_top50(spark, sf):
-    index = match.postings(table(spark, sf, "documents"), "doc_id", "text")
-    n, mean = index.select("id", "length").distinct().agg(F.count("*"), F.avg("length")).first()
     words = F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]{2,}"), F.lit(0))))
     terms = table(spark, sf, "benchmark").select(F.col("item_id").alias("request"), words.alias("term"))
-    return match.bm25(index, terms, n, mean, 50)
+    return match.bm25(table(spark, sf, "documents"), "doc_id", "text", terms, 50)
 
 
 @query("""WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(lower(p_name || ' ' || p_type), '[a-z]{4,}')) AS near FROM part),

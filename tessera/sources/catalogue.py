@@ -81,3 +81,46 @@ ALIASES_SQL = """SELECT * FROM (VALUES
   ('PRODUCT NAME','product',1),('DESCRIPTION','product',2),('MODEL NO','model',1),('QTY','qty',1),('UNIT PRICE','price',1),
   ('PRICE','price',2),('GST %','gst',1),('BRAND','brand',1),('HSN CODE','hsn',1),('SL. NO.','serial',1)
 ) AS t(label, field, priority)"""
+
+#: Labels of the sheets' headers by kind of sheet; kind 3 has none that is known.
+LABELS_SQL = """SELECT * FROM (VALUES
+  (0,1,'Product Name'),(0,2,'Model No'),(0,3,'Qty'),(0,4,'Unit Price'),(0,5,'GST %'),
+  (1,1,'DESCRIPTION'),(1,2,'Item Code'),(1,3,'Quantity'),(1,4,'Rate'),(1,5,'Tax'),
+  (2,1,'Item'),(2,2,'Model'),(2,3,'Qty'),(2,4,'Price USD'),(2,5,'GST'),
+  (3,1,'Remarks'),(3,2,'Ref'),(3,3,'Nos'),(3,4,'Value'),(3,5,'Slab')
+) AS t(kind, c, label)"""
+
+#: Headers that were taught.
+LEARNED_SQL = "SELECT * FROM (VALUES ('TAX','gst'),('RATE','price'),('ITEM','product')) AS t(label, field)"
+
+
+def sheet_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sheet for each supplier (sheet, r, c, v): titles, header in row 5, its lines as rows, and a footer."""
+    s = table(spark, sf_dir, "supplier").withColumn("sheet", F.concat(F.lit("S"), F.col("s_suppkey").cast("string")))
+    cell = lambda r, c, v: F.struct(F.lit(r).cast("long").alias("r"), F.lit(c).alias("c"), v.alias("v"))
+    titles = [cell(1, 1, F.lit("Offer for kitchen")), cell(2, 1, F.lit("To")), cell(3, 1, F.col("s_name")), cell(4, 1, F.lit("Date")), cell(10**12, 1, F.lit("Grand Total"))]
+    top = s.select("sheet", F.inline(F.array(*titles)))
+    head = s.join(F.broadcast(spark.sql(LABELS_SQL)), F.col("s_suppkey") % 4 == F.col("kind")).select("sheet", F.lit(5).cast("long").alias("r"), "c", F.col("label").alias("v"))
+    k = F.col("l_partkey")
+    price = F.when(F.col("l_linenumber") == 7, "n/a").otherwise(F.col("l_extendedprice").cast(MONEY).cast("string"))
+    values = [
+        F.when(k % 17 == 0, " ").otherwise(F.concat(F.lit("part "), k.cast("string"))), F.concat(F.lit("C"), (k % 900).cast("string")),
+        F.col("l_quantity").cast("int").cast("string"), price, F.col("l_tax").cast("decimal(4,2)").cast("string"),
+    ]
+    at = F.col("l_orderkey") * 10 + F.col("l_linenumber") + 6
+    body = table(spark, sf_dir, "lineitem").select(
+        F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("sheet"), at.alias("r"),
+        F.inline(F.array(*[F.struct(F.lit(i).alias("c"), v.alias("v")) for i, v in enumerate(values, 1)])),
+    )
+    return top.unionByName(head).unionByName(body)
+
+
+SHEETS_SQL = f"""labels_ AS ({LABELS_SQL}), cells AS (
+  SELECT 'S' || s_suppkey AS sheet, CAST(t.r AS BIGINT) AS r, 1 AS c, coalesce(t.v, s_name) AS v
+  FROM supplier, (VALUES (1, 'Offer for kitchen'), (2, 'To'), (3, NULL), (4, 'Date'), (1000000000000, 'Grand Total')) AS t(r, v)
+  UNION ALL SELECT 'S' || s_suppkey, 5, c, label FROM supplier JOIN labels_ ON s_suppkey % 4 = kind
+  UNION ALL SELECT 'S' || l_suppkey, l_orderkey * 10 + l_linenumber + 6, t.c,
+    CASE t.c WHEN 1 THEN CASE WHEN l_partkey % 17 = 0 THEN ' ' ELSE 'part ' || l_partkey END WHEN 2 THEN 'C' || (l_partkey % 900)
+      WHEN 3 THEN CAST(CAST(l_quantity AS INT) AS VARCHAR) WHEN 4 THEN CASE WHEN l_linenumber = 7 THEN 'n/a' ELSE CAST(CAST(l_extendedprice AS DECIMAL(18,2)) AS VARCHAR) END
+      ELSE CAST(CAST(l_tax AS DECIMAL(4,2)) AS VARCHAR) END
+  FROM lineitem, (VALUES (1), (2), (3), (4), (5)) AS t(c))"""

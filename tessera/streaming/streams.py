@@ -39,3 +39,26 @@ def progressive(requests: DataFrame, resolve: Callable[[DataFrame], DataFrame],
         resolve(batch).write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     requests.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def upserts(changes: DataFrame, keys: list[str], out: str, checkpoint: str) -> None:
+    """Keeps the last writer of each key of a change stream: state ``n`` in ``out/version=n``, each batch from the one before.
+
+    A batch that is repeated after a failure writes the same version again.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        new = batch.groupBy(*keys).agg(F.max_by(F.struct(*batch.columns), F.struct("ts", "event_id")).alias("row"), F.count("*").alias("times"))
+        new = new.select("row.*", "times")
+        if number:
+            old = batch.sparkSession.read.parquet(f"{out}/version={number - 1}")
+            both = old.unionByName(new).groupBy(*keys)
+            new = both.agg(F.max_by(F.struct(*batch.columns), F.struct("ts", "event_id")).alias("row"), F.sum("times").alias("times")).select("row.*", "times")
+        new.write.mode("overwrite").parquet(f"{out}/version={number}")
+
+    changes.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def content_mark(rows: DataFrame) -> int:
+    """A number that changes with any row of a table, whatever their order: tells when an index must be built again."""
+    return rows.agg(F.sum(F.xxhash64(*rows.columns).cast("decimal(38,0)")), F.count("*")).select(F.xxhash64("*")).first()[0]
