@@ -151,11 +151,12 @@ def line_components(lines: DataFrame) -> DataFrame:
     shared = keys.groupBy("key").agg(F.min(F.when(F.col("own"), F.col("k1"))).alias("a"), F.min("k1").alias("low"), F.max("k1").alias("high"))
     # Written first: a join straight from a shuffle lets Spark split a hot key.
     shared = materialize(shared.filter("a is not null and low < high").select("key", "a"), "line-keys")
-    rows = materialize(keys.join(shared, "key").groupBy("key", F.col("k1").alias("id"), "a").agg(F.max("own").alias("own")), "line-shared")
+    # Merge joins at every size, so that what moves grows with the input and with nothing else.
+    rows = materialize(keys.join(shared.hint("merge"), "key").groupBy("key", F.col("k1").alias("id"), "a").agg(F.max("own").alias("own")), "line-shared")
     pairs = rows.filter("id <> a").select(F.least("id", "a").alias("a"), F.greatest("id", "a").alias("b")).distinct()
     pairs = materialize(pairs, "line-pairs")
     need = materialize(pairs.select(F.explode(F.array("a", "b")).alias("k1")).distinct(), "line-need")
-    texts = lines.join(need, "k1").groupBy(F.col("k1").alias("id")).agg(F.min(F.struct("k2", "line")).alias("m"))
+    texts = lines.join(need.hint("merge"), "k1").groupBy(F.col("k1").alias("id")).agg(F.min(F.struct("k2", "line")).alias("m"))
     texts = materialize(texts.select("id", "m.k2", "m.line"), "line-texts")
     links = materialize(_verified(pairs, texts), "line-links")
     comps = _components(links, "line-comp")
@@ -194,14 +195,14 @@ def dedup_lines(docs: DataFrame, text: str = "text", id_col: str = "doc_id") ->
     seen = seen.filter(F.trim("line") != "").withColumns({"k1": F.xxhash64("line", size), "k2": F.xxhash64(size, F.lit(1), "line")})
     comps = materialize(line_components(seen.select("k1", "k2", "line")), "line-classes")
     places = seen.select("k1", "k2", F.struct("doc_id", "h", "pos").alias("at"))
-    first = places.groupBy("k1", "k2").agg(F.min("at").alias("keep"), F.count("*").alias("n")).join(comps, ["k1", "k2"], "left")
+    first = places.groupBy("k1", "k2").agg(F.min("at").alias("keep"), F.count("*").alias("n")).join(comps.hint("merge"), ["k1", "k2"], "left")
     first = first.filter("n > 1 or c1 is not null").select("k1", "k2", "keep", F.coalesce("c1", "k1").alias("c1"), F.coalesce("c2", "k2").alias("c2"))
     first = materialize(first, "line-first")
     stays = first.groupBy("c1", "c2").agg(F.min("keep").alias("keep"))
     repeated = materialize(first.drop("keep").join(stays, ["c1", "c2"]).select("k1", "k2", "keep"), "line-repeated")
-    dropped = places.join(repeated, ["k1", "k2"]).filter(~F.col("at").eqNullSafe(F.col("keep"))).select("at.*")
+    dropped = places.join(repeated.hint("merge"), ["k1", "k2"]).filter(~F.col("at").eqNullSafe(F.col("keep"))).select("at.*")
     lists = dropped.groupBy("doc_id", "h").agg(F.sort_array(F.collect_set("pos")).alias("dropped")).withColumnsRenamed({"doc_id": d, "h": hh})
-    out = keyed.join(lists, keyed[id_col].eqNullSafe(F.col(d)) & (keyed[h] == F.col(hh)), "left")
+    out = keyed.join(lists.hint("merge"), keyed[id_col].eqNullSafe(F.col(d)) & (keyed[h] == F.col(hh)), "left")
     gone, all_, bounds = fresh(docs, "_gone", "_lines", "_bounds")
     out = out.select(*[keyed[c] for c in docs.columns], F.coalesce("dropped", F.array().cast("array<int>")).alias(gone))
     out = out.withColumn(all_, F.when(body.isNull(), F.array().cast("array<string>")).otherwise(F.split(body, "\n", -1)))
