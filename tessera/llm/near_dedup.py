@@ -301,7 +301,7 @@ def near_classes(docs: DataFrame, text: str = "text", id_col: str = "doc_id") ->
     leaders = keys.groupBy("band").agg(F.min("node").alias("a"), F.count("*").alias("n")).filter("n > 1").select("band", "a")
     # Written first: a join straight from a shuffle lets Spark split a hot bucket.
     leaders = materialize(leaders, "near-leaders")
-    pairs = keys.join(leaders, "band").filter("a <> node").select("a", F.col("node").alias("b")).distinct()
+    pairs = keys.join(leaders.hint("merge"), "band").filter("a <> node").select("a", F.col("node").alias("b")).distinct()
     sk = nodes.select("node", "sk")
     pairs = pairs.join(sk.toDF("a", "sk_a"), "a").join(sk.toDF("b", "sk_b"), "b").select("a", "b", "sk_a", "sk_b")
     pairs = materialize(pairs.mapInArrow(_estimate, "a long, b long"), "near-pairs")
