@@ -40,7 +40,7 @@ from tessera.llm.quality import fold
 by_value(__name__)
 
 #: Longest text (bytes) and rows of a block, from short texts to long ones.
-TIERS = ((1 << 12, 4096), (1 << 16, 256), (1 << 62, 1))
+TIERS = ((1 << 16, 4096), (1 << 20, 64), (1 << 62, 1))
 #: Rounds of expected piece counts.
 ROUNDS = 2
 SMOOTH = 0.1
