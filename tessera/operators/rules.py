@@ -142,6 +142,48 @@ def merge_compounds(requests: DataFrame, names: DataFrame) -> DataFrame:
     return rows.select("request", F.trim(F.aggregate(F.sequence(F.lit(1), F.size("w")), free, step, lambda a: a["text"])).alias("phrase"))
 
 
+# Units of a qualifier, and the spellings of one unit.
+UNIT_VALUE = r"[0-9]+(?:\.[0-9]+)?\s*(?:litres?|liters?|ltrs?|lt|grams?|gms?|quarts?|qts?|oz|kw|kg|g|w|ml|l|v|hz|mm|cm)\b"
+SPELLINGS = {"l": "l litre liter ltr lt".split(), "g": "g gram grams gm gms".split(), "qt": ["qt"]}
+SAME_UNIT = {u: k for k, us in (("l", "litre litres liter liters ltr ltrs lt l"), ("g", "gram grams gm gms g"), ("qt", "qts quart quarts qt")) for u in us.split()}
+
+
+def qualifier_groups(phrase: Column) -> Column:
+    """array<array<string>>: what a product must carry, a group for each size, dimension, the largest inch size, fraction and
+    code of a request; the spellings of a group are alternatives."""
+    t = F.lower(phrase)
+    bare = F.regexp_replace(t, DIMENSIONS, " ")
+    sizes = F.regexp_extract_all(bare, F.lit(UNIT_VALUE), F.lit(0))
+    family = F.create_map(*[F.lit(x) for pair in SAME_UNIT.items() for x in pair])
+    spelled = F.create_map(*[x for k, v in SPELLINGS.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
+
+    def group(x):
+        value, unit = F.regexp_extract(x, r"^[0-9.]+", 0), F.regexp_extract(x, "[a-z]+$", 0)
+        unit = F.coalesce(F.try_element_at(family, unit), unit)
+        units = F.coalesce(F.try_element_at(spelled, unit), F.array(unit))
+        values = F.array(value, F.when(value.endswith(".0"), F.regexp_replace(value, r"\.0$", "")).otherwise(F.concat(value, F.lit(".0"))))
+        return F.flatten(F.transform(values, lambda v: F.transform(units, lambda u: F.concat(v, u))))
+
+    taken = F.transform(sizes, lambda x: F.regexp_extract(x, r"^[0-9.]+", 0))
+    decimals = F.filter(F.regexp_extract_all(bare, F.lit(r"\b[0-9]+\.[0-9]+\b"), F.lit(0)), lambda d: ~F.array_contains(taken, d))
+    dims = F.transform(F.regexp_extract_all(t, F.lit(DIMENSIONS), F.lit(0)), lambda d: F.array(F.regexp_replace(d, r"\s*[x*]\s*", "x")))
+    inches = F.regexp_extract_all(t, F.lit("([0-9]+(?:\\.[0-9]+)?)\\s*(?:\"|''|inch)"), F.lit(1))
+    most = F.array_max(F.transform(inches, lambda x: F.struct(x.cast("double").alias("n"), x.alias("x"))))["x"]
+    inch = F.when(F.size(inches) > 0, F.array(F.array(F.concat(most, F.lit('"'))))).otherwise(F.array().cast("array<array<string>>"))
+    parts = F.transform(F.regexp_extract_all(t, F.lit(r"\b[1-9]\s*/\s*[1-9]\b"), F.lit(0)), lambda f: F.array(F.regexp_replace(f, r"\s", "")))
+    one = lambda xs: F.transform(xs, lambda x: F.array(x))
+    models = F.filter(code_tokens(t)[0], lambda w: ~w.rlike(r"^[1-9]/[1-9]$"))
+    return F.concat(F.transform(sizes, group), one(decimals), dims, inch, parts, one(models))
+
+
+def qualified(groups: Column, text: Column) -> Column:
+    """Whether a text carries one spelling of every group; a number must not continue digits to its left."""
+    hay = F.regexp_replace(F.regexp_replace(F.lower(text), " ", ""), r"[*\u00d7]", "x")
+    safe = lambda q: F.regexp_replace(q, r"([.+?()])", r"\\$1")
+    hit = lambda q: F.when(q.rlike("^[0-9]"), F.regexp_like(hay, F.concat(F.lit("(^|[^0-9.])"), safe(q)))).otherwise(F.contains(hay, q))
+    return F.forall(groups, lambda g: F.exists(g, hit))
+
+
 def soft_narrow(rows: DataFrame, hit: Column) -> DataFrame:
     """Of each request the rows that hit, or all where none does."""
     some = F.max(hit.cast("int")).over(Window.partitionBy("request"))

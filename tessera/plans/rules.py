@@ -189,6 +189,19 @@ def compound_words(spark, sf):
     return R.merge_compounds(asks, names)
 
 
+@query(f"""WITH {CATALOGUE_SQL}, p AS (SELECT id, split_part(product, ' ', 2) AS head, product || ' ' || size || CASE WHEN id % 2 = 0 THEN ' CM' ELSE '.0cm' END AS name, size FROM cat),
+r AS (SELECT id AS request, head, size FROM p WHERE id % 7 = 1)
+SELECT r.request, p.id FROM r JOIN p USING (head) WHERE regexp_matches(replace(lower(name), ' ', ''), '(^|[^0-9.])' || r.size || '(\\.0)?cm')""")
+def hard_qualifiers(spark, sf):
+    """Candidates that carry every size and code that a request names."""
+    c = catalogue(spark, sf)
+    size = F.col("size").cast("string")
+    p = c.select("id", F.split_part("product", F.lit(" "), F.lit(2)).alias("head"), F.concat("product", F.lit(" "), size, F.when(F.col("id") % 2 == 0, " CM").otherwise(".0cm")).alias("name"))
+    r = c.filter("file_name = 'file1'").select(F.col("id").alias("request"), F.split_part("product", F.lit(" "), F.lit(2)).alias("head"), F.concat_ws(" ", "product", F.concat(size, F.lit("cm"))).alias("phrase"))
+    r = r.withColumn("groups", R.qualifier_groups(F.col("phrase")))
+    return r.join(p, "head").filter(R.qualified(F.col("groups"), F.col("name"))).select("request", "id")
+
+
 @query(f"""WITH {CATALOGUE_SQL}, r AS (SELECT brand AS request, id, product || ' ' || size || 'cm' AS name, min(size) OVER (PARTITION BY brand) AS n FROM cat),
 h AS (SELECT *, brand_hit FROM (SELECT request, id, regexp_matches(name, '(^|[^0-9.])' || (n + 1) || 'cm') AS brand_hit FROM r))
 SELECT request, id FROM h QUALIFY brand_hit OR NOT bool_or(brand_hit) OVER (PARTITION BY request)""")

@@ -55,6 +55,17 @@ def test_tokens_covered(spark):
     assert want <= got and all(w[:3] in names[i].replace(" ", "") for w, i in got if len(w) > 3)
 
 
+def test_qualifiers(spark):
+    rows = [
+        ("ice box 25 ltr", "RIC125LTRWT", False), ("ice box 25 ltr", "Ice Box 25 Litre", True), ("kettle 1.0 l", "kettle 1ltr", True), ("kettle 1 litre", "kettle 1.0l", True),
+        ("gn pan 1/3 150mm", "gn pan 1/9-150mm", False), ("gn pan 1/3 150mm", "gn pan 1/3-150 mm", True), ("crate 300 x 200", "crate 300*200", True), ("crate 300 x 200", "crate 300x250", False),
+        ('scraper 4.5" dia x 1.25" ht', 'scraper 4.5"-1.25" ht', True), ('scraper 5"', 'scraper 15"', False), ("chiller wcce001-ss", "x wcce001-ss y", True), ("chiller wcce001-ss", "x wcce002-ss", False), ("plain tray", "any", True),
+    ]
+    got = spark.createDataFrame(rows, "phrase string, name string, want boolean")
+    got = got.withColumn("g", rules.qualifier_groups(F.col("phrase"))).withColumn("hit", rules.qualified(F.col("g"), F.col("name"))).collect()
+    assert [(x["phrase"], x["name"], x["g"]) for x in got if x["hit"] != x["want"]] == []
+
+
 def test_amounts(spark):
     rows = [(0,), (7,), (21,), (100,), (115,), (1000,), (100000,), (12345678,), (9999999999,)]
     got = [x["w"] for x in spark.createDataFrame(rows, "v long").select(rules.amount_words(F.col("v")).alias("w")).collect()]
