@@ -3,9 +3,9 @@
 The words of a document are hashed into a signed vector, projected to three dimensions, and
 the quantised point gives a Hilbert index; a hash of id and text follows it, so that copies,
 which share one point, can be split too. Bytes are summed first; they give the number of
-ranges, about PARTITION_BYTES each. The keys of a sample (chosen by hash, about SAMPLE
-documents a range) give the bounds of the ranges, and texts go to their range, one range a
-task, sorted by key. There they are tokenised and packed as a stream: documents are cut at
+ranges, about PARTITION_BYTES each. The keys of a sample (chosen by hash with a chance in
+proportion to bytes, about SAMPLE documents a range) give the bounds of the ranges, and texts
+go to their range, one range a task, sorted by key. There they are tokenised and packed as a stream: documents are cut at
 sequence ends, so each range leaves one partial sequence and all others are full. Neither
 partitions nor order of the input nor Spark's settings change the layout.
 
@@ -97,7 +97,7 @@ def pack(docs: DataFrame, text: str = "text", id_col: str = "doc_id", tokenizer:
     arrow_batches(docs.sparkSession)
     slim = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text].alias("text"))
     slim = slim.withColumns({"bytes": F.coalesce(F.octet_length("text"), F.lit(0)) + 1, "h": F.xxhash64("doc_id", "text")})
-    total, count = slim.agg(F.coalesce(F.sum("bytes"), F.lit(0)), F.count("*")).first()
+    total = slim.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
     parts = max(1, -(-total // max(partition_bytes or PARTITION_BYTES, -(-total // RANGES))))
 
     def located(batches):
@@ -110,8 +110,9 @@ def pack(docs: DataFrame, text: str = "text", id_col: str = "doc_id", tokenizer:
     schema = "part int, key long, doc_id long, text string, bytes int, h long"
     bounds = np.zeros(0, np.int64)
     if parts > 1:
-        share = int(min(1.0, SAMPLE * parts / count) * (1 << 30))
-        picked = slim.filter(F.pmod(F.xxhash64("h"), F.lit(1 << 30)) < share)
+        # A document of `step` bytes or more is always picked and stands for itself, a shorter one for `step` bytes.
+        step = max(1, total // (SAMPLE * parts))
+        picked = slim.filter(F.pmod(F.xxhash64("h"), F.lit(step)) < F.col("bytes")).withColumn("bytes", F.greatest("bytes", F.lit(min(step, (1 << 31) - 1))))
         bounds = _bounds([(r[0], r[1]) for r in picked.mapInArrow(located, schema).select("key", "bytes").collect()], parts)
     placed = slim.mapInArrow(located, schema).select("part", "key", "doc_id", "h", "text")
     placed = placed.repartitionById(len(bounds) + 1, F.col("part")).sortWithinPartitions("part", "key", "doc_id", "h", "text")
