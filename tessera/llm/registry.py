@@ -3,6 +3,7 @@
 from tessera.llm.exact_dedup import OP3_SQL, op3_exact_dedup
 from tessera.llm.lattice_lm import op9_lattice_lm
 from tessera.llm.line_dedup import op8_line_dedup
+from tessera.llm.merkle import OP11_SQL, op11_merkle_manifest
 from tessera.llm.mixing import op6_mixing
 from tessera.llm.near_dedup import op7_near_dedup
 from tessera.llm.packing import op10_packing
@@ -22,6 +23,7 @@ QUERIES = {
     "op8_line_dedup": op8_line_dedup,
     "op9_lattice_lm": op9_lattice_lm,
     "op10_packing": op10_packing,
+    "op11_merkle_manifest": op11_merkle_manifest,
 }
 
-ORACLE_SQL = {"op3_exact_dedup": OP3_SQL}
+ORACLE_SQL = {"op3_exact_dedup": OP3_SQL, "op11_merkle_manifest": OP11_SQL}
