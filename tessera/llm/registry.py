@@ -1,6 +1,7 @@
 """Queries of this subpackage, and SQL for those that SQL can express."""
 
 from tessera.llm.exact_dedup import OP3_SQL, op3_exact_dedup
+from tessera.llm.hard_negatives import OP13_SQL, op13_hard_negatives
 from tessera.llm.lattice_lm import op9_lattice_lm
 from tessera.llm.line_dedup import op8_line_dedup
 from tessera.llm.merkle import OP11_SQL, op11_merkle_manifest
@@ -24,6 +25,7 @@ QUERIES = {
     "op9_lattice_lm": op9_lattice_lm,
     "op10_packing": op10_packing,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
-ORACLE_SQL = {"op3_exact_dedup": OP3_SQL, "op11_merkle_manifest": OP11_SQL}
+ORACLE_SQL = {"op3_exact_dedup": OP3_SQL, "op11_merkle_manifest": OP11_SQL, "op13_hard_negatives": OP13_SQL}

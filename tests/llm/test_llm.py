@@ -584,7 +584,7 @@ def folders(spark, tmp_path_factory):
     return out
 
 
-@pytest.mark.parametrize("name", list(registry.QUERIES))
+@pytest.mark.parametrize("name", [q for q in registry.QUERIES if not q.startswith("op13_")])  # reads vectors: test_hard_negatives
 def test_query(spark, folders, name):
     full, none = folders
     got = registry.QUERIES[name](spark, full)
