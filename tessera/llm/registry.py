@@ -11,6 +11,7 @@ from tessera.llm.packing import op10_packing
 from tessera.llm.quality import op5_quality
 from tessera.llm.secret_scan import op1_secret_scan
 from tessera.llm.substring_dedup import op2_substring_dedup
+from tessera.llm.toxicity import op12_toxicity
 from tessera.llm.webp_lossless import op4_media_columns
 
 QUERIES = {
@@ -25,6 +26,7 @@ QUERIES = {
     "op9_lattice_lm": op9_lattice_lm,
     "op10_packing": op10_packing,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_toxicity": op12_toxicity,
     "op13_hard_negatives": op13_hard_negatives,
 }
 

@@ -567,6 +567,7 @@ CONTRACT = {
     "op8": "doc_id n_lines n_dropped dropped kept_sha256", "op9": "doc_id held_out n_tokens n_known train_tokens base_score score",
     "op10": "doc_id start length ids_crc32 doc_tokens sequence_id offset",
     "op11": "doc_id leaf subroot root proof_sha256 folded_root verified",
+    "op12": "doc_id held_out score predicted",
 }
 
 
