@@ -2,8 +2,9 @@
 
 A word is a run of letters (A-Z lower-cased). Its features are the hashes of its first 4 to 8 bytes
 and of the whole word, so stems count as well as words. Executors count, over the labelled
-documents of the training side, in how many of each label a feature occurs; the FEATURES that exceed their
-expected share of label 1 most, and those of the identity terms, make up the model. The value of a
+documents of the training side, in how many of label 1 a feature occurs, and, for the CANDIDATES that
+occur in most, in how many of label 0; the FEATURES that exceed their expected share of label 1 most,
+and those of the identity terms, make up the model. The value of a
 feature that occurs c times among n words is log(1 + 200 c / (200 + n)): presence in short texts, density in
 long ones. A logistic output is fitted by full-batch Adam.
 
@@ -37,7 +38,7 @@ from tessera.llm.common import CHUNK, LOWER, U64, arrow_batches, by_value, mater
 by_value(__name__)
 
 CUT = 0.5
-TRAIN_DOCS, PAIRS, FEATURES, LEAST_DOCS = 8000, 4000, 2048, 3
+TRAIN_DOCS, PAIRS, CANDIDATES, FEATURES, LEAST_DOCS = 8000, 4000, 1 << 16, 2048, 3
 PREFIXES = (4, 5, 6, 7, 8)
 LENGTH = 200.0
 COUNTERFACTUAL = 1000.0
@@ -218,28 +219,40 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, text: str = "text", train_d
 
     def occurring(batches):
         for b in batches:
-            label = b.column("toxic").to_numpy(zero_copy_only=False)
-            found = {0: [np.zeros(0, np.uint64)], 1: [np.zeros(0, np.uint64)]}
+            found = [np.zeros(0, np.uint64)]
             for i in range(b.num_rows):
                 each = [np.zeros(0, np.uint64)]
                 for _, data, offsets in parts(b.column("text").slice(i, 1)):
                     low = _SPACED[data]
                     starts, ends, _ = word_spans(low, offsets)
                     each += [np.unique(h) for h, _ in features(prefix_hash(low), starts, ends)]
-                found[int(label[i] > 0)].append(np.unique(np.concatenate(each)))
-            for y, arrays in found.items():
-                f, n = np.unique(np.concatenate(arrays), return_counts=True)
-                for at in range(0, len(f), 100_000):
-                    part = slice(at, at + 100_000)
-                    n1, n0 = (n[part], 0 * n[part]) if y else (0 * n[part], n[part])
-                    yield pa.RecordBatch.from_arrays([pa.array(f[part].view(np.int64)), pa.array(n1), pa.array(n0)], names=["f", "n1", "n0"])
-
-    found = chosen.select("text", "toxic").mapInArrow(occurring, "f long, n1 long, n0 long").groupBy("f").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
-    expected = (F.col("n1") + F.col("n0")) * (toxic / total)
-    best = found.filter(F.col("n1") >= LEAST_DOCS).orderBy(((F.col("n1") - expected) / F.sqrt(expected)).desc(), "f").limit(FEATURES).select("f").collect()
+                found.append(np.unique(np.concatenate(each)))
+            f, n = np.unique(np.concatenate(found), return_counts=True)
+            for at in range(0, len(f), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(f[at : at + 100_000].view(np.int64)), pa.array(n[at : at + 100_000])], names=["f", "n"])
+
+    found = chosen.filter("toxic > 0").select("text").mapInArrow(occurring, "f long, n long").groupBy("f").agg(F.sum("n").alias("n"))
+    found = found.filter(F.col("n") >= LEAST_DOCS).orderBy(F.desc("n"), "f").limit(CANDIDATES).collect()
+    found = sorted((r[0] & ((1 << 64) - 1), r[1]) for r in found)
+    candidates, ones = np.array([f for f, _ in found], np.uint64), np.array([n for _, n in found], np.float64)
+
+    def beside(batches):
+        n = np.zeros(len(candidates), np.int64)
+        for b in batches:
+            for at in range(0, b.num_rows, 64):
+                n += np.bincount(gathered(b.column("text").slice(at, 64), candidates)[2], minlength=len(n))
+        own = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), pa.array(n[own])], names=["i", "n"])
+
+    zeros = np.zeros(len(candidates))
+    if len(candidates):
+        for r in chosen.filter("toxic <= 0").select("text").mapInArrow(beside, "i int, n long").groupBy("i").agg(F.sum("n")).collect():
+            zeros[r[0]] = r[1]
+    expected = (ones + zeros) * (toxic / total)
+    best = candidates[np.lexsort((candidates, -(ones - expected) / np.sqrt(expected)))[:FEATURES]]
     terms, hashes = _terms(identity)
     special = np.unique(np.concatenate([np.zeros(0, np.uint64), *hashes]))
-    model = np.union1d(np.array([r[0] for r in best], np.int64).view(np.uint64), special)
+    model = np.union1d(best, special)
     words_of: dict[int, list[int]] = {}
     for i, h in enumerate(hashes):
         words_of.setdefault(int(h[-1]), []).append(i)
