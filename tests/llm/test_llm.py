@@ -389,6 +389,27 @@ def test_packing_every_character():
         assert coder.encode(s, add_special_tokens=False).ids == encode(s).tolist()
 
 
+def test_packing_long_texts(spark):
+    """Runs of a million signs and texts of megabytes get the ids of the vocabulary's own library."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    coder, n, r = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), 1_000_000, random.Random(1)
+    texts = [x * n for x in (" ", "\n", "\u00a0", "a", "!", "\u00e9", "7", "ab1!")] + [" \t\n" * 400_000, "word" + " " * n + "<|endoftext|>  x", data.prose(r, 300_000)]
+    texts += ["x" * 50 + " " * (packing.LONG_RUN + k) + "y" for k in (-1, 0, 1)]
+    texts.append("".join(r.choice("abcdefghijklmnop0123456789+/") for _ in range(2_000_000)))
+    got = defaultdict(list)
+    for x in packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect():
+        got[x["doc_id"]].append((x["start"], x["length"], x["ids_crc32"], x["doc_tokens"]))
+    for i, t in enumerate(texts):
+        own = np.array([*coder.encode(t, add_special_tokens=False).ids, 0], "<u4")
+        at = 0
+        for start, length, crc, tokens in sorted(got[i]):
+            assert start == at and tokens == len(own) and zlib.crc32(own[start : start + length].tobytes()) == crc
+            at += length
+        assert at == len(own)
+
+
 def test_packing_layout_is_fixed(spark):
     r = random.Random(3)
     rows = [(i, data.prose(r, r.randint(1, 300))) for i in range(300)] + [(1000 + i, data.prose(random.Random(1), 200)) for i in range(200)]
