@@ -90,7 +90,14 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> U64(33))
 
 
-_POWERS: dict[str, np.ndarray] = {}
+class _Local(dict):
+    """A table of this process: it is shipped empty with a closure."""
+
+    def __reduce__(self):
+        return dict, ()
+
+
+_POWERS: dict[str, np.ndarray] = _Local()
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
