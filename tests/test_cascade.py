@@ -54,7 +54,7 @@ def test_tiers(spark):
 
 
 def test_sizes(spark):
-    rows = [("Ice Box", "BX", "25 litre", 90.0), ("Ice Box", "RIC125LTRWT", "", 50.0), ('Scraper 3"', "S3", "", 5.0), ('Scraper 5"', "S5", "", 6.0), ("Crate", "LID5436000", "", 3.0), ("Crate", "K1", "540x360 mm", 30.0)]
+    rows = [("Ice Box", "BX", "25 litre", 90.0), ("Ice Box", "RIC125LTRWT", "", 50.0), ('Scraper 3"', "S3", "", 5.0), ('Scraper 5"', "S5", "", 6.0), ("Crate", "LID5436000", "", 3.0), ("Crate", "KX", "540x360 mm", 30.0)]
     a, b, c, d = ask(spark, goods(spark, rows), "ice box 25 ltr", "ice box 40 ltr", "scraper 5", "crate 540 x 360")
     assert a == [(0, "name")] and b == [(None, "not_found")] and c == [(3, "exact")] and d == [(5, "name")]
 
