@@ -27,7 +27,7 @@ def sheet_rows(cells: DataFrame, aliases: DataFrame) -> DataFrame:
     """Data rows with fields as columns: totals and section labels go, blank and OPTION products inherit the last one."""
     heads = header_rows(cells, aliases).select("sheet", F.col("r").alias("head"))
     own = cells.join(heads, "sheet").filter("r > head").join(column_map(cells, aliases), ["sheet", "c"])
-    rows = own.groupBy("sheet", "r").pivot("field", ["product", "model", "qty", "price", "gst", "brand", "hsn"]).agg(F.first("v"))
+    rows = own.groupBy("sheet", "r").pivot("field", ["product", "model", "qty", "price", "gst", "brand", "hsn"]).agg(F.max("v"))
     label = F.coalesce(F.trim("product"), F.lit(""))
     rows = rows.filter(~F.lower(label).rlike("^(grand |sub)?total|^summary") & ~label.rlike(":-?$"))
     named = F.when((label != "") & (F.upper(label) != "OPTION"), label)

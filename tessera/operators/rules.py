@@ -8,11 +8,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions import text as X
+
 # Sizes in a text, unit words, boosts, weak tiers and their score, suggestion weights, lookahead.
 SIZES = r"[0-9]+(?:\.[0-9]+)? *(?:litres?|liters?|ltrs?|lt|ml|cl|oz|qt|l|cm|mm)\b|[0-9]{2,4} *[x*] *[0-9]{2,4}"
 DIMENSIONS = r"[0-9]{2,4} *[x*] *[0-9]{2,4}(?: *[x*] *[0-9]{2,4})?"
 SIZE_TOKEN = r"^([0-9]+(\.[0-9]+)?(l|ml|kw|w|v|hz|mm|cm|kg|qt|ltrs?|lt|in|inch)|[0-9]{2,4}(x[0-9]{2,4}){1,2}(mm|cm)?)$"
-UNITS = "inch inches cm mm mtr mtrs meter metre meters kg kgs ltr litre liter size set nos pcs pc".split()
+UNITS = X.UNIT_WORDS
 RECURRING, ONCE, BOOST_BELOW = 1650, 400, 1500
 WEAK_TIERS, WEAK_BELOW = ["name", "name+spec", "rname", "part", "spec", "sem"], 1000
 PER_WORD, NAME_CAP, PRICED = 1000, 120, 50
@@ -52,11 +54,20 @@ def covers_all(requests: DataFrame, names: DataFrame) -> DataFrame:
 
 
 def shortlist(requests: DataFrame, names: DataFrame) -> DataFrame:
-    """(request, name, rank): names with any word of the request, most words first, then the tighter name; PER_TERM each."""
+    """(request, name, rank): names with any word of the request, most words first, then the tighter name; PER_TERM each.
+
+    Where requests come in groups (column ``grp``), a group's names count once, by request and rank, up to SHORTLIST of them.
+    """
     words = requests.select("request", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("phrase"), F.lit("[a-z]{3,}"), F.lit(0)))).alias("word"))
     hits = words.join(contained(words, names, forms=False), "word").groupBy("request", "name").agg(F.count("*").alias("hits"))
     order = Window.partitionBy("request").orderBy(F.desc("hits"), F.length("name"), F.desc("name"))
-    return hits.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= PER_TERM)
+    ranked = hits.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= PER_TERM)
+    if "grp" not in requests.columns:
+        return ranked
+    ranked = ranked.join(requests.select("request", "grp"), "request")
+    first = ranked.withColumn("seen", F.row_number().over(Window.partitionBy("grp", "name").orderBy("request", "rank"))).filter("seen = 1")
+    place = Window.partitionBy("grp").orderBy("request", "rank")
+    return first.withColumn("place", F.row_number().over(place)).filter(F.col("place") <= SHORTLIST).drop("seen")
 
 
 def suggestions(requests: DataFrame, products: DataFrame, k: int = 6) -> DataFrame:
@@ -195,9 +206,10 @@ _TENS = ["", "", *"twenty thirty forty fifty sixty seventy eighty ninety".split(
 
 
 def amount_words(v: Column) -> Column:
-    """An amount, rounded to a whole number, in words by crore, lakh, thousand and hundred."""
+    """An amount, rounded to a whole number, in words by crore, lakh, thousand and hundred; crores are spelled alike. Negative: null."""
     n = F.round(v).cast("long")
     ones, tens = F.array(*map(F.lit, _ONES)), F.array(*map(F.lit, _TENS))
+    div = lambda x, d: ((x - x % d) / d).cast("long")
 
     def two(x):
         x = x.cast("int")
@@ -208,10 +220,15 @@ def amount_words(v: Column) -> Column:
         return F.concat_ws(" ", F.when(high > 0, F.concat(F.element_at(ones, high % 10 + 1), F.lit(" hundred"))), F.nullif(two(x % 100), F.lit("")))
 
     part = lambda x, name, how: F.when(x > 0, F.concat(how(x), F.lit(f" {name}")))
-    div = lambda x, d: F.floor(x / d)
-    return F.when(n == 0, "zero").otherwise(F.concat_ws(
-        " ", part(div(n, 10_000_000), "crore", three), part(div(n % 10_000_000, 100_000), "lakh", two), part(div(n % 100_000, 1000), "thousand", two), F.nullif(three(n % 1000), F.lit("")),
-    ))
+
+    def below(x):
+        return F.concat_ws(" ", part(div(x, 100_000), "lakh", two), part(div(x % 100_000, 1000), "thousand", two), F.nullif(three(x % 1000), F.lit("")))
+
+    crore = 10_000_000
+    w = F.transform(F.array(div(div(n, crore), crore), div(n, crore) % crore, n % crore), below)
+    named = lambda x: F.when(x != "", F.concat(x, F.lit(" crore")))
+    crores = F.concat_ws(" ", named(w[0]), F.nullif(w[1], F.lit("")))
+    return F.when(n == 0, "zero").when(n > 0, F.concat_ws(" ", named(crores), F.nullif(w[2], F.lit(""))))
 
 
 def bump_version(name: Column) -> Column:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tessera.functions import money as M
 from tessera.functions import text as X
 from tessera.operators import history, hygiene, ingest, match, pricing
-from tessera.sources.catalogue import ALIASES_SQL, CATALOGUE_SQL, CELLS_SQL, EVIDENCE_SQL, LINES_SQL, catalogue, evidence, quote_lines, table
+from tessera.sources.catalogue import ALIASES_SQL, CATALOGUE_SQL, EVIDENCE_SQL, LINES_SQL, SHEETS_SQL, catalogue, evidence, quote_lines, sheet_cells, table
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -242,10 +242,13 @@ def overlapping_imports(spark, sf):
     return hygiene.overlapping_files(catalogue(spark, sf))
 
 
-@query(f"WITH {CATALOGUE_SQL}, m AS (SELECT id, file_name, 'ab' || lower(model) AS model FROM cat) SELECT a.model, a.id AS a, b.id AS b FROM m a JOIN m b ON a.model = b.model WHERE a.file_name = 'file0' AND b.file_name = 'file4' AND length(a.model) >= 5 ORDER BY model, a, b LIMIT 30")
+@query("""WITH m AS (SELECT p_partkey AS id, p_partkey % 7 AS f, lower('M' || (1000 + p_partkey % 2900)) AS model FROM part)
+SELECT a.model, a.id AS a, b.id AS b FROM m a JOIN m b ON a.model = b.model WHERE a.f = 0 AND b.f = 4 AND length(a.model) >= 5 ORDER BY model, a, b LIMIT 30""")
 def overlap_preview(spark, sf):
-    c = catalogue(spark, sf).select("id", F.concat(F.lit("ab"), F.lower("model")).alias("model"), "file_name").filter(F.length("model") >= 5)
-    a, b = c.filter("file_name = 'file0'").select("model", F.col("id").alias("a")), c.filter("file_name = 'file4'").select("model", F.col("id").alias("b"))
+    """The first pairs of two files that share a code of five characters or more."""
+    k = F.col("p_partkey")
+    c = table(spark, sf, "part").select(k.alias("id"), F.lower(F.concat(F.lit("M"), (1000 + k % 2900).cast("string"))).alias("model"), (k % 7).alias("f")).filter(F.length("model") >= 5)
+    a, b = c.filter("f = 0").select("model", F.col("id").alias("a")), c.filter("f = 4").select("model", F.col("id").alias("b"))
     return a.join(b, "model").orderBy("model", "a", "b").limit(30)
 
 
@@ -405,39 +408,6 @@ def sig_words(spark, sf):
     return w.select("id", F.size("w").cast("long").alias("n"), F.array_join(F.sort_array("w"), " ").alias("words"))
 
 
-_LITERALS = """SELECT * FROM (VALUES (1,'2 Kettle 1.50 Litres'),(2,'ice box 25.0 ltr'),(3,'jug 750 ml'),(4,'urn between 1,000 and 2k'),(5,'tray under 500'),(6,'tray above 3k'),
-(7,'pan 2 litre 500 ml'),(8,'box 300 x 200'),(9,'plain'),(10,'crate 12 lt')) AS t(id, s)"""
-
-
-@query(rf"""SELECT id, trim(regexp_replace(regexp_replace(regexp_replace(lower(s), '(\d+)\.0+([^0-9]|$)', '\1\2', 'g'), '(\d) *(litres|litre|liters|liter|ltrs|ltr|lt)( |$)', '\1 l\3', 'g'), ' +', ' ', 'g')) AS s FROM ({_LITERALS})""")
-def unit_normalise(spark, sf):
-    return spark.sql(_LITERALS).select("id", X.norm_units(F.col("s")).alias("s"))
-
-
-@query(f"""WITH t AS (SELECT id, replace(lower(s), ',', '') AS s FROM ({_LITERALS})), x AS (SELECT id, regexp_extract(s, 'between ([0-9]+)(k?) (?:and|to) ([0-9]+)(k?)', ['a','b','c','d']) AS m,
-regexp_extract(s, '(?:above|over|more than) ([0-9]+)(k?)', ['a','b']) AS lo, regexp_extract(s, '(?:under|below|upto|less than) ([0-9]+)(k?)', ['a','b']) AS hi FROM t)
-SELECT id, coalesce(TRY_CAST(m.a AS DOUBLE) * CASE WHEN m.b = 'k' THEN 1000 ELSE 1 END, TRY_CAST(lo.a AS DOUBLE) * CASE WHEN lo.b = 'k' THEN 1000 ELSE 1 END) AS low,
-coalesce(TRY_CAST(m.c AS DOUBLE) * CASE WHEN m.d = 'k' THEN 1000 ELSE 1 END, TRY_CAST(hi.a AS DOUBLE) * CASE WHEN hi.b = 'k' THEN 1000 ELSE 1 END) AS high FROM x""")
-def price_constraint(spark, sf):
-    low, high = X.price_limits(F.col("s"))
-    return spark.sql(_LITERALS).select("id", low.alias("low"), high.alias("high"))
-
-
-_CAPACITY_SQL = r"""list_concat(list_transform(regexp_extract_all(lower(s), '([0-9]+(?:\.[0-9]+)?) *(?:ltr|litre|liter|l)(?:[^a-z]|$)', 1), lambda x: CAST(x AS DOUBLE) * 1000.0), list_transform(regexp_extract_all(lower(s), '([0-9]+(?:\.[0-9]+)?) *ml(?:[^a-z]|$)', 1), lambda x: CAST(x AS DOUBLE)))"""
-
-
-@query(f"SELECT id, len({_CAPACITY_SQL}) AS n, coalesce(list_sum({_CAPACITY_SQL}), 0) AS ml FROM ({_LITERALS})")
-def size_facts(spark, sf):
-    ml = X.capacities_ml(F.col("s"))
-    return spark.sql(_LITERALS).select("id", F.size(ml).cast("long").alias("n"), F.aggregate(ml, F.lit(0.0), lambda a, x: a + x).alias("ml"))
-
-
-@query("""WITH p AS (SELECT p_partkey AS id, p_size * 1.0 AS asked, ((p_size * 7) % 50 + 1) * 1.0 AS got FROM part) SELECT id, abs(asked - got) > asked * 0.12 AS conflict FROM p""")
-def size_tolerance(spark, sf):
-    asked, got = F.array(F.col("p_size").cast("double")), F.array((F.col("p_size") * 7 % 50 + 1).cast("double"))
-    return table(spark, sf, "part").select(F.col("p_partkey").alias("id"), X.size_conflict(asked, got).alias("conflict"))
-
-
 @query("""WITH w AS (SELECT doc_id AS id, unnest(regexp_extract_all(lower(text), '[a-z0-9]{2,}')) AS term FROM documents), tf AS (SELECT id, term, count(*) AS tf FROM w GROUP BY ALL), len AS (SELECT id, count(*) AS length FROM w GROUP BY id),
 n AS (SELECT count(*) AS docs, avg(length) AS mean FROM len), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
 q AS (SELECT DISTINCT item_id AS request, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]{2,}'))) AS term FROM benchmark),
@@ -509,19 +479,19 @@ def resolve_requests(spark, sf):
 
 # ---------------------------------------------------------------- sheets and requests
 
-_SHEET = f"cells AS ({CELLS_SQL}), al AS ({ALIASES_SQL}), named AS (SELECT c.*, field, priority FROM cells c JOIN al ON upper(trim(v)) = label WHERE r <= 25)"
+_SHEET = f"{SHEETS_SQL}, al AS ({ALIASES_SQL}), named AS (SELECT c.*, field, priority FROM cells c JOIN al ON upper(trim(v)) = label WHERE r <= 25)"
 _HEADS = "heads AS (SELECT sheet, r, count(DISTINCT field) AS fields FROM named GROUP BY sheet, r HAVING max(CASE WHEN field = 'product' THEN 1 ELSE 0 END) = 1 QUALIFY row_number() OVER (PARTITION BY sheet ORDER BY count(DISTINCT field) DESC, r) = 1)"
 _MAP = "cmap AS (SELECT n.sheet, field, c FROM named n JOIN heads h ON n.sheet = h.sheet AND n.r = h.r QUALIFY row_number() OVER (PARTITION BY n.sheet, field ORDER BY priority, c) = 1)"
 
 
 @query(f"WITH {_SHEET}, {_HEADS} SELECT * FROM heads")
 def header_score(spark, sf):
-    return ingest.header_rows(spark.sql(CELLS_SQL), spark.sql(ALIASES_SQL))
+    return ingest.header_rows(sheet_cells(spark, sf), spark.sql(ALIASES_SQL))
 
 
 @query(f"WITH {_SHEET}, {_HEADS}, {_MAP} SELECT * FROM cmap")
 def column_map(spark, sf):
-    return ingest.column_map(spark.sql(CELLS_SQL), spark.sql(ALIASES_SQL))
+    return ingest.column_map(sheet_cells(spark, sf), spark.sql(ALIASES_SQL))
 
 
 @query(f"""WITH {_SHEET}, {_HEADS}, {_MAP}, x AS (SELECT c.sheet, c.r, max(v) FILTER (WHERE field = 'product') AS product, max(v) FILTER (WHERE field = 'model') AS model, max(v) FILTER (WHERE field = 'qty') AS qty,
@@ -531,23 +501,13 @@ SELECT sheet, r, last_value(CASE WHEN label <> '' AND upper(label) <> 'OPTION' T
 CASE WHEN coalesce(TRY_CAST(qty AS DOUBLE), 0) = 0 THEN 1.0 ELSE TRY_CAST(qty AS DOUBLE) END AS qty, coalesce(TRY_CAST(price AS DOUBLE), 0.0) AS price,
 coalesce(CASE WHEN TRY_CAST(gst AS DOUBLE) > 0 AND TRY_CAST(gst AS DOUBLE) <= 1 THEN TRY_CAST(gst AS DOUBLE) * 100 ELSE TRY_CAST(gst AS DOUBLE) END, 18.0) AS gst FROM f""")
 def sheet_rows(spark, sf):
-    return ingest.sheet_rows(spark.sql(CELLS_SQL), spark.sql(ALIASES_SQL))
+    return ingest.sheet_rows(sheet_cells(spark, sf), spark.sql(ALIASES_SQL))
 
 
-@query(f"""WITH p AS (SELECT sheet, sum(CASE WHEN upper(trim(v)) IN ('HSN CODE','BRAND','UNIT PRICE','PRICE') THEN 1 ELSE 0 END) AS a, sum(CASE WHEN upper(trim(v)) IN ('QTY','SL. NO.','MODEL NO') THEN 1 ELSE 0 END) AS b FROM ({CELLS_SQL}) GROUP BY sheet)
+@query(f"""WITH {SHEETS_SQL}, p AS (SELECT sheet, sum(CASE WHEN upper(trim(v)) IN ('HSN CODE','BRAND','UNIT PRICE','PRICE') THEN 1 ELSE 0 END) AS a, sum(CASE WHEN upper(trim(v)) IN ('QTY','SL. NO.','MODEL NO') THEN 1 ELSE 0 END) AS b FROM cells GROUP BY sheet)
 SELECT sheet, CASE WHEN a + b = 0 THEN 'other' WHEN a >= b THEN 'catalogue' ELSE 'requirement' END AS kind, CASE WHEN a + b > 0 THEN round(greatest(a, b) / (a + b), 4) ELSE 0.0 END AS confidence FROM p""")
 def file_type(spark, sf):
-    return ingest.file_kind(spark.sql(CELLS_SQL))
-
-
-_PROMPTS = """SELECT * FROM (VALUES (1,'100 soup bowl'),(2,'kettle 1000 qty'),(3,'kettle x 50'),(4,'kettle /50 qty'),(5,'1000 kettle'),(6,'crate 300 x 200'),(7,'ABC [X-1] 4'),(8,'2 kettle under 1000'),(9,'kettle under 1000'),(10,'kettle')) AS t(id, s)"""
-_PARSED = "(1,'soup bowl',100,NULL),(2,'kettle',1000,NULL),(3,'kettle',50,NULL),(4,'kettle',50,NULL),(5,'kettle',1000,NULL),(6,'crate 300 x 200',1,NULL),(7,'ABC [X-1]',4,NULL),(8,'kettle',2,1000.0),(9,'kettle',1,1000.0),(10,'kettle',1,NULL)"
-
-
-@query(f"SELECT CAST(id AS INT) AS id, product, CAST(qty AS INT) AS qty, CAST(cap AS DOUBLE) AS cap FROM (VALUES {_PARSED}) AS t(id, product, qty, cap)")
-def prompt_lines(spark, sf):
-    product, qty, cap = X.request_line(F.col("s"))
-    return spark.sql(_PROMPTS).select("id", product.alias("product"), qty.alias("qty"), cap.alias("cap"))
+    return ingest.file_kind(sheet_cells(spark, sf))
 
 
 @query(f"""WITH {PRICED_SQL} SELECT quote, count(*) AS n, count(*) FILTER (WHERE known) AS found, round(count(*) FILTER (WHERE known) * 100.0 / count(*), 1) AS percent FROM priced GROUP BY quote""".replace("ON c.id = l.part", "ON c.id = l.part AND c.id % 9 <> 0"))
