@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -210,40 +208,3 @@ def cheapest_band(rows: DataFrame, band: int = 120) -> DataFrame:
     rows = rows.withColumn("ok", ok).withColumn("in_band", F.min(F.col("ok").cast("int")).over(first))
     final = Window.partitionBy("request").orderBy(F.desc("in_band"), F.when(F.col("in_band") == 1, F.col("price")), F.desc("score"), "id")
     return rows.withColumn("rank", F.row_number().over(final)).drop("ok")
-
-
-#: Vectors and queries that meet in one task of ``nearest``.
-VECTOR_BLOCK, QUERY_BLOCK = 50_000, 2_000
-
-
-def nearest(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
-    """Top ``k`` by cosine: queries (q, v), a stated set, against all vectors (id, v), in blocks; a block pair keeps its own top ``k``."""
-
-    def blocks(df, size):
-        return F.broadcast(df.agg(F.greatest(F.lit(1), F.ceil(F.count("*") / size)).cast("int").alias("n")))
-
-    nv, nq = blocks(vectors, VECTOR_BLOCK).withColumnRenamed("n", "nv"), blocks(queries, QUERY_BLOCK).withColumnRenamed("n", "nq")
-    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    own = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
-    a = vectors.join(nv, F.lit(True)).join(nq, F.lit(True)).select(F.col("id").alias("id"), F.col("v").alias("x"), own("id", "nv").alias("i"), each("nq").alias("j"))
-    b = queries.join(nv, F.lit(True)).join(nq, F.lit(True)).select(F.col("q").alias("q"), F.col("v").alias("y"), own("q", "nq").alias("j"), each("nv").alias("i"))
-
-    def unit(v):
-        x = np.stack(v.to_numpy()).astype(np.float64)
-        return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
-
-    def top(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(left) and len(right):
-            ids, x = left["id"].to_numpy(), unit(left["x"])
-            for q, row in zip(right["q"].to_numpy(), unit(right["y"]), strict=True):
-                score = np.round(x @ row, 6)
-                score[ids == q] = -np.inf
-                some = np.flatnonzero(score >= np.partition(score, -min(k, len(score)))[-min(k, len(score))])  # ties stay
-                best = some[np.lexsort((ids[some], -score[some]))][:k]
-                out += [(q, ids[i], score[i]) for i in best if np.isfinite(score[i])]
-        return pd.DataFrame(out, columns=["q", "id", "cosine"]).astype({"q": "int64", "id": "int64", "cosine": "float64"})
-
-    pairs = a.groupBy("i", "j").cogroup(b.groupBy("i", "j")).applyInPandas(top, "q long, id long, cosine double")
-    order = Window.partitionBy("q").orderBy(F.desc("cosine"), "id")
-    return pairs.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)

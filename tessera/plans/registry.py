@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import money as M
 from tessera.functions import text as X
-from tessera.operators import history, hygiene, ingest, match, pricing
+from tessera.operators import history, hygiene, ingest, match, pricing, vectors
 from tessera.sources.catalogue import ALIASES_SQL, CATALOGUE_SQL, EVIDENCE_SQL, LINES_SQL, SHEETS_SQL, catalogue, evidence, quote_lines, sheet_cells, table
 
 QUERIES: dict = {}
@@ -449,7 +449,19 @@ def code_suffix_lookup(spark, sf):
 SELECT q, id, cosine, row_number() OVER (PARTITION BY q ORDER BY cosine DESC, id) AS rank FROM s QUALIFY rank <= 5""")
 def knn_top5(spark, sf):
     e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
-    return match.nearest(e.filter("id % 100 = 0").withColumnRenamed("id", "q"), e, 5)
+    return vectors.nearest(e.filter("id % 100 = 0").withColumnRenamed("id", "q"), e, 5)
+
+
+@query("""WITH q AS (SELECT vec_id AS q, embedding AS e, label FROM embeddings WHERE vec_id % 100 = 0), s AS (SELECT q, v.vec_id AS id, round(list_cosine_similarity(q.e::DOUBLE[], v.embedding::DOUBLE[]), 6) AS cosine FROM q JOIN embeddings v ON v.vec_id <> q.q),
+near AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY q ORDER BY cosine DESC, id) <= 40), words AS (SELECT q, vec_id AS id FROM q JOIN embeddings v ON v.label = q.label AND v.vec_id <> q.q AND v.vec_id % 10 = q.q // 100 % 10)
+SELECT q, id, cosine, CASE WHEN words.id IS NOT NULL AND near.id IS NOT NULL THEN 'both' WHEN words.id IS NOT NULL THEN 'word' ELSE 'sem' END AS tier FROM words FULL JOIN near USING (q, id) WHERE words.id IS NOT NULL OR cosine >= 0.25""")
+def vector_candidates(spark, sf):
+    """The 40 nearest of each query beside those that share a word (here: label and last digit), in one table with tiers."""
+    e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"), "label")
+    q = e.filter("id % 100 = 0").withColumnRenamed("id", "q")
+    digit = F.floor(F.col("q") / 100) % 10
+    words = q.select("q", "label", digit.alias("d")).join(e.select("id", "label", (F.col("id") % 10).alias("d")), ["label", "d"]).filter("id <> q")
+    return vectors.united(words, vectors.nearest(q.select("q", "v"), e.select("id", "v"), 40), 0.25)
 
 
 @query(f"""WITH {CATALOGUE_SQL}, s AS (SELECT brand AS request, id, price, CASE WHEN id % 4 = 0 THEN 'name' ELSE 'part' END AS tier, (id * 37) % 1000 AS score FROM cat),

@@ -138,7 +138,8 @@ _TRIM = "' ' || chr(9) || chr(10) || chr(13) || chr(11) || chr(12)"
 _PROMPTS_SQL = f"""raw_ AS (SELECT {_LINES}, o_orderkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey), typed AS (
   SELECT 'order' AS kind, o_orderkey AS id, CASE WHEN style = 0 THEN string_agg(line, ', ' ORDER BY n, line) ELSE array_to_string(list(line ORDER BY n, line), chr(10)) END AS s FROM (SELECT o_orderkey, style, n, {_LINE} AS line FROM raw_) GROUP BY o_orderkey, style
   UNION ALL SELECT 'turn', conv_id * 1000 + turn, text FROM conversations)"""
-_GLUE = r"regexp_replace({0}, '(\d\d)\s*[x×*]\s*(\d{{2,4}})\b', '\1x\2', 'gi')"
+# A dimension that is already glued must not use up the number that the next one starts with.
+_GLUE = r"regexp_replace({0}, '(\d\d)(?:\s+[x×*]\s*|\s*[x×*]\s+|[×*])(\d{{2,4}})\b', '\1x\2', 'gi')"
 _LINE_SQL = X.LINE.removeprefix("(?i)")
 
 
