@@ -208,3 +208,43 @@ def cheapest_band(rows: DataFrame, band: int = 120) -> DataFrame:
     rows = rows.withColumn("ok", ok).withColumn("in_band", F.min(F.col("ok").cast("int")).over(first))
     final = Window.partitionBy("request").orderBy(F.desc("in_band"), F.when(F.col("in_band") == 1, F.col("price")), F.desc("score"), "id")
     return rows.withColumn("rank", F.row_number().over(final)).drop("ok")
+
+
+def prefix_pool(requests: DataFrame, docs: DataFrame, text: str = "text", most_words: int = 24, k: int = 220, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """The best ``k`` documents of each request by words that start with its words: request, id, score, rank.
+
+    A request's words (two letters or digits on, plurals also without their s; the first ``most_words`` in order)
+    are phrases of BM25: all words of the documents that start with one count as that one. Prefixes are taken of
+    the distinct words of the documents only; postings are read for the words that some request reaches.
+    """
+    w = F.array_distinct(F.regexp_extract_all(F.lower("phrase"), F.lit("[a-z0-9]{2,}"), F.lit(0)))
+    short = F.transform(F.filter(w, lambda x: x.endswith("s") & (F.length(x) > 3)), lambda x: F.substr(x, F.lit(1), F.length(x) - 1))
+    asked = requests.select("request", F.explode(F.slice(F.array_sort(F.array_distinct(F.concat(w, short))), 1, most_words)).alias("word"))
+    words = docs.select("id", F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0)).alias("w")).withColumn("length", F.size("w"))
+    stats = words.agg(F.count("*").cast("double").alias("n"), F.avg("length").alias("mean"))
+    terms = words.select("id", "length", F.explode("w").alias("term")).groupBy("term", "id").agg(F.count("*").alias("tf"), F.max("length").alias("length"))
+    vocabulary = terms.select("term").distinct()
+    edges = vocabulary.filter("length(term) >= 2").select("term", F.explode(F.transform(F.sequence(F.lit(2), F.length("term")), lambda i: F.substr("term", F.lit(1), i))).alias("word"))
+    reached = edges.join(asked.select("word").distinct(), "word")
+    hits = terms.join(reached, "term").groupBy("word", "id").agg(F.sum("tf").alias("tf"), F.max("length").alias("length"))
+    df = hits.groupBy("word").agg(F.count("*").alias("df"))
+    idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weight = F.when(idf > 0, idf).otherwise(1e-6) * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean")))
+    scored = asked.join(df, "word").join(hits, "word").join(F.broadcast(stats), F.lit(True))
+    scored = scored.groupBy("request", "id").agg(F.round(F.sum(weight), 6).alias("score"))
+    order = Window.partitionBy("request").orderBy(F.desc("score"), "id")
+    return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+
+
+def glued_rows(words: DataFrame, products: DataFrame, columns=("product", "spec", "model"), files: list[str] | None = None) -> DataFrame:
+    """(word, id) of the products that hold a word of four letters on anywhere in one of ``columns``, also within a longer token.
+
+    Equal trigrams of the distinct texts, then the exact test; ``files`` keeps the rows of these files.
+    """
+    w = words.select(F.lower("word").alias("word")).distinct().filter(F.col("word").rlike("^[a-z]{4,}$")).withColumn("gram", F.substring("word", 1, 3))
+    rows = products if files is None else products.filter(F.col("file_name").isin(files))
+    rows = rows.select("id", F.explode(F.array_distinct(F.array_compact(F.array(*[F.lower(F.col(c)) for c in columns])))).alias("text"))
+    texts = rows.select("text").distinct().filter("length(text) > 2")
+    grams = texts.select("text", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("text") - 2), lambda i: F.substr("text", i, F.lit(3))))).alias("gram"))
+    hits = w.join(grams, "gram").filter(F.contains("text", F.col("word"))).select("word", "text")
+    return hits.join(rows, "text").select("word", "id").distinct()

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.operators import cascade as C
+from tessera.operators import match
 from tessera.operators import rules as R
 from tessera.plans.registry import query
 from tessera.sources.catalogue import table
@@ -186,3 +187,44 @@ FROM wanted w JOIN req ON req.t = trim(lower(w.phrase)) LEFT JOIN ranked ON rank
 def resolve_full(spark, sf):
     """The whole cascade: candidates by equal keys, tiers, preferences, sizes and cheapest first."""
     return C.resolve(wanted(spark, sf), offers(spark, sf))
+
+
+@query(f"""WITH {OFFERS_SQL}, {WANTED_SQL}, d AS (SELECT id, regexp_extract_all(lower(concat_ws(' ', product, model, spec, brand)), '[a-z0-9]+') AS w FROM offers), s AS (SELECT count(*) AS docs, avg(len(w)) AS mean FROM d),
+tf AS (SELECT id, term, count(*) AS tf, any_value(n) AS length FROM (SELECT id, len(w) AS n, unnest(w) AS term FROM d) GROUP BY id, term),
+a AS (SELECT request, list_distinct(regexp_extract_all(lower(phrase), '[a-z0-9]{{2,}}')) AS w FROM wanted),
+asked AS (SELECT request, unnest(list_sort(list_distinct(list_concat(w, list_transform(list_filter(w, lambda x: x LIKE '%s' AND length(x) > 3), lambda x: x[:-2]))))[:24]) AS word FROM a),
+hits AS (SELECT word, id, sum(tf) AS tf, any_value(length) AS length FROM (SELECT DISTINCT word FROM asked) JOIN tf ON term LIKE word || '%' GROUP BY word, id), df AS (SELECT word, count(*) AS df FROM hits GROUP BY word),
+x AS (SELECT request, id, round(sum(CASE WHEN ln((docs - df + 0.5) / (df + 0.5)) > 0 THEN ln((docs - df + 0.5) / (df + 0.5)) ELSE 1e-6 END * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean))), 6) AS score FROM asked JOIN df USING (word) JOIN hits USING (word), s GROUP BY ALL)
+SELECT request, id, score, row_number() OVER (PARTITION BY request ORDER BY score DESC, id) AS rank FROM x QUALIFY rank <= 220""")
+def prefix_pool(spark, sf):
+    """The best 220 rows of each request by words that start with its words."""
+    docs = offers(spark, sf).select("id", F.concat_ws(" ", "product", "model", "spec", "brand").alias("text"))
+    return match.prefix_pool(wanted(spark, sf), docs)
+
+
+@query(f"""WITH {OFFERS_SQL}, {WANTED_SQL}, w AS (SELECT DISTINCT unnest(regexp_extract_all(lower(phrase), '[a-z]{{4,}}')) AS word FROM wanted), f AS (SELECT DISTINCT substr(word, 2) AS word FROM w WHERE length(word) >= 5 UNION SELECT word FROM w)
+SELECT DISTINCT word, id FROM f JOIN offers ON product ILIKE '%' || word || '%' OR spec ILIKE '%' || word || '%' OR model ILIKE '%' || word || '%'""")
+def glued_columns(spark, sf):
+    """Rows that hold a request's word anywhere in name, specification or model."""
+    w = wanted(spark, sf).select(F.explode(F.regexp_extract_all(F.lower("phrase"), F.lit("[a-z]{4,}"), F.lit(0))).alias("word"))
+    w = w.unionByName(w.filter("length(word) >= 5").select(F.substr("word", F.lit(2)).alias("word")))
+    return match.glued_rows(w, offers(spark, sf))
+
+
+# ---------------------------------------------------------------- preferences
+
+
+@query(f"""WITH {OFFERS_SQL}, {WANTED_SQL}, q AS (SELECT request, ' ' || trim(regexp_replace(lower(phrase), '[^a-z0-9]+', ' ', 'g')) || ' ' AS t FROM wanted), vocabulary AS (SELECT unnest(regexp_extract_all(lower(product), '[a-z]{{3,}}')) AS word, count(*) AS n FROM offers GROUP BY 1),
+rows_ AS (SELECT ' ' || trim(regexp_replace(lower(product), '[^a-z0-9]+', ' ', 'g')) || ' ' AS n, upper(trim(coalesce(brand, ''))) AS own FROM offers),
+b AS (SELECT DISTINCT upper(trim(brand)) AS brand, ' ' || trim(regexp_replace(lower(brand), '[^a-z0-9]+', ' ', 'g')) || ' ' AS key FROM offers WHERE regexp_matches(upper(trim(brand)), '^[A-Z][A-Z &.''-]+$') AND length(trim(brand)) >= 3),
+keep AS (SELECT * FROM b WHERE (SELECT count(*) FROM rows_ WHERE own <> '' AND NOT contains(own, b.brand) AND contains(n, b.key)) < {C.COMMON}),
+f AS (SELECT DISTINCT file_name, ' ' || word || ' ' AS key FROM (SELECT file_name, unnest(regexp_extract_all(lower(file_name), '[a-z]{{4,}}')) AS word FROM offers) WHERE word NOT IN ('{"','".join(C.GENERIC_FILE_WORDS)}') AND word NOT IN (SELECT word FROM vocabulary WHERE n >= {C.COMMON}))
+SELECT DISTINCT request, 'brand' AS kind, brand AS name FROM q JOIN keep ON contains(t, key) UNION ALL SELECT DISTINCT request, 'file', file_name FROM q JOIN f ON contains(t, key)""")
+def request_preferences(spark, sf):
+    """Brands and catalogue files that a request names."""
+    asks = wanted(spark, sf)
+    req = C.requests_of(asks)
+    rows = C.preferences(req, offers(spark, sf)).join(req.select("r", "t"), "r").join(asks.select("request", F.trim(F.lower("phrase")).alias("t")), "t")
+    return rows.select("request", F.explode(F.col("brands")).alias("name")).select("request", F.lit("brand").alias("kind"), "name").unionByName(
+        rows.select("request", F.lit("file").alias("kind"), F.explode("files").alias("name"))
+    )
