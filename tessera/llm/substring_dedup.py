@@ -43,6 +43,8 @@ by_value(__name__)
 LENGTH = 200
 ANCHOR = 32
 INDEX_BLOCKS = 8000
+#: Copies of a block from which it is joined apart, and how many such blocks there can be.
+HOT_ROWS, HOT_KEYS = 50_000, 10_000
 INDEX_BYTES = 1 << 20
 POSITION_BITS = 24
 #: Window starts that are worked on at once; a longer text is cut between windows.
@@ -261,7 +263,13 @@ def repeated_spans(texts: DataFrame) -> DataFrame:
     mixed = again.filter("not same")
     kinds = mixed.groupBy("fp", "bkey").agg(F.count("*").alias("n"), F.min(F.struct("tid", "lo", "len")).alias("one"))
     kinds = materialize(kinds, "sub-kinds")
-    whole = whole.unionByName(mixed.join(kinds.filter("n > 1").select("fp", "bkey"), ["fp", "bkey"]).select("tid", "lo", "len"))
+    twice = kinds.filter("n > 1")
+    # Blocks with very many copies would meet in one task: at most HOT_KEYS of them, which every task can hold.
+    most = kinds.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    hot = twice.filter(F.col("n") > max(HOT_ROWS, most // HOT_KEYS)).select("fp", "bkey")
+    cold = twice.filter(F.col("n") <= max(HOT_ROWS, most // HOT_KEYS)).select("fp", "bkey")
+    for rows_, keys in ((mixed, F.broadcast(hot)), (mixed.join(F.broadcast(hot), ["fp", "bkey"], "left_anti"), cold)):
+        whole = whole.unionByName(rows_.join(keys, ["fp", "bkey"]).select("tid", "lo", "len"))
     per = kinds.groupBy("fp").agg(F.count("*").alias("blocks")).filter(F.col("blocks") > INDEX_BLOCKS)
     per = materialize(per.select("fp", F.lit(True).alias("many")), "sub-many")
     wanted = kinds.join(per, "fp", "left").withColumn("many", F.coalesce("many", F.lit(False)))
