@@ -24,7 +24,7 @@ joins that cut out candidate blocks and apply the spans, and Spark can split a h
 Defined results: null counts as empty; texts shorter than LENGTH keep all bytes; rows that
 repeat a text repeat each other's bytes; matches never cross texts; an empty table gives an
 empty result; further columns pass through (clashing names are replaced). Texts are told
-apart by a 64-bit hash with length, anchors and blocks by 64 bits each.
+apart by 128 bits of hash, blocks of one anchor and anchors by 64 bits each.
 """
 
 from __future__ import annotations
@@ -33,7 +33,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import U64, arrow_batches, by_value, fresh, materialize, prefix_hash, slices, span_hash
@@ -317,13 +317,35 @@ def _apply(text: bytes, spans: list | None) -> tuple[bytes, list[tuple[int, int]
     return b"".join([*kept, text[at:]]), [tuple(r) for r in runs]
 
 
+def text_id(body: Column) -> Column:
+    """64 bits that stand for a text; texts that share them are told apart by ``second_id``."""
+    return F.xxhash64(body, F.octet_length(body))
+
+
+def second_id(body: Column) -> Column:
+    return F.xxhash64(F.octet_length(body), F.lit(1), body)
+
+
+def _told_apart(rows: DataFrame, tid: str, body: str) -> DataFrame:
+    """``rows`` with another ``tid`` for texts whose 64 bits stand for several texts, by 64 bits more."""
+    second = second_id(F.col(body))
+    both = rows.select(F.col(tid).alias("clash"), second.alias("h")).groupBy("clash").agg(F.min("h").alias("x"), F.max("h").alias("y"))
+    both = materialize(both.filter("x <> y").select("clash"), "sub-clashes")
+    if both.isEmpty():
+        return rows
+    clash, own = fresh(rows, "_clash", "_own")
+    met = rows.withColumn(own, second).join(both.withColumnRenamed("clash", clash), F.col(tid) == F.col(clash), "left")
+    return met.withColumn(tid, F.when(F.col(clash).isNull(), F.col(tid)).otherwise(F.xxhash64(tid, own))).drop(clash, own)
+
+
 def remove_repeats(docs: DataFrame, text: str = "text", with_bytes: bool = True) -> DataFrame:
     """``docs`` plus n_bytes, n_removed, n_spans, kept_sha256, and (with_bytes) kept_bytes and removed spans."""
     arrow_batches(docs.sparkSession)
     new = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_bytes", "removed"]
     docs = docs.select([c for c in docs.columns if c.lower() not in new])
     tid, body, lists = fresh(docs, "_tid", "_body", "_spans")
-    rows = docs.withColumn(body, F.coalesce(F.col(text), F.lit(""))).withColumn(tid, F.xxhash64(body, F.octet_length(body)))
+    rows = docs.withColumn(body, F.coalesce(F.col(text), F.lit(""))).withColumn(tid, text_id(F.col(body)))
+    rows = _told_apart(rows, tid, body)
     spans = repeated_spans(rows.select(F.col(tid).alias("tid"), F.col(body).alias("text")))
     spans = spans.groupBy("tid").agg(F.collect_list(F.struct("lo", "len")).alias(lists))  # at most a text's own blocks
     keep = [c for c in docs.columns if with_bytes or c != text]

@@ -103,6 +103,13 @@ def test_substrings_by_shards(spark, docs, monkeypatch):
     assert by_text(substring_dedup.remove_repeats(docs), "n_removed", "kept_sha256") == want
 
 
+def test_substrings_of_texts_that_share_an_id(spark, docs, monkeypatch):
+    want = by_text(substring_dedup.remove_repeats(docs), "n_removed", "kept_sha256")
+    monkeypatch.setattr(substring_dedup, "text_id", lambda body: F.octet_length(body).cast("long") % 5)
+    monkeypatch.setattr(substring_dedup, "HOT_ROWS", 1)  # and blocks with copies are joined apart
+    assert by_text(substring_dedup.remove_repeats(docs), "n_removed", "kept_sha256") == want
+
+
 def test_matching_statistics():
     r = random.Random(2)
     for _ in range(30):
