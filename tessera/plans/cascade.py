@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tessera.operators import cascade as C
-from tessera.operators import match
+from tessera.operators import match, sinks
 from tessera.operators import rules as R
 from tessera.plans.registry import query
+from tessera.scratch import scratch_dir
 from tessera.sources.catalogue import table
 
 S = C.Scores()
@@ -228,3 +231,59 @@ def request_preferences(spark, sf):
     return rows.select("request", F.explode(F.col("brands")).alias("name")).select("request", F.lit("brand").alias("kind"), "name").unionByName(
         rows.select("request", F.lit("file").alias("kind"), F.explode("files").alias("name"))
     )
+
+
+# ---------------------------------------------------------------- evaluation
+
+
+STYLES = {"name": "p_name", "plural": "p_name || 's'", "shuffled": "split_part(p_name, ' ', 2) || ' ' || split_part(p_name, ' ', 1)", "code": f"'find ' || {_MODEL} || '-SS'", "size": "p_name || ' ' || p_size || ' litre'"}
+_STYLED_SQL = "wanted AS (" + " UNION ALL ".join(f"SELECT s_suppkey * 10 + {i} AS request, {x} AS phrase FROM supplier JOIN part ON p_partkey = s_suppkey" for i, x in enumerate(STYLES.values())) + ")"
+
+
+def styled(spark, sf):
+    """Requests for each supplier's part in every style: request (part * 10 + number of the style), phrase, style, part."""
+    p = table(spark, sf, "supplier").join(table(spark, sf, "part"), F.col("s_suppkey") == F.col("p_partkey"))
+    code = F.concat(F.lit("find C"), (F.col("p_partkey") % 900).cast("string"), F.lit("-SS"))
+    a, b = F.split("p_name", " ")[0], F.split("p_name", " ")[1]
+    ways = [F.col("p_name"), F.concat("p_name", F.lit("s")), F.concat_ws(" ", b, a), code, F.concat_ws(" ", "p_name", F.col("p_size").cast("string"), F.lit("litre"))]
+    each = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(name).alias("style"), way.alias("phrase")) for i, (name, way) in enumerate(zip(STYLES, ways, strict=True))])
+    rows = p.select(F.col("s_suppkey").alias("part"), F.inline(each))
+    return rows.select((F.col("part") * 10 + F.col("i")).alias("request"), "phrase", "style", "part")
+
+
+def accuracy(results, truth):
+    """(style, n, strict, fair, found): requests whose first row is the part; that list it; that have any row."""
+    first = F.max(((F.col("rank") == 1) & (F.col("id") == F.col("part"))).cast("int")).alias("strict")
+    listed = F.max((F.col("id") == F.col("part")).cast("int")).alias("fair")
+    per = truth.join(results, "request").groupBy("style", "request").agg(first, listed, F.max(F.col("id").isNotNull().cast("int")).alias("found"))
+    total = lambda c: F.sum(F.coalesce(c, F.lit(0))).alias(c)
+    return per.groupBy("style").agg(F.count("*").alias("n"), total("strict"), total("fair"), total("found"))
+
+
+@query(f"""WITH res AS ({RESOLVE_SQL.replace(WANTED_SQL, _STYLED_SQL)}), per AS (SELECT request, request % 10 AS s, max(CASE WHEN rank = 1 AND id = request // 10 THEN 1 ELSE 0 END) AS strict,
+  max(CASE WHEN id = request // 10 THEN 1 ELSE 0 END) AS fair, max(CASE WHEN id IS NOT NULL THEN 1 ELSE 0 END) AS found FROM res GROUP BY request)
+SELECT ['{"', '".join(STYLES)}'][s + 1] AS style, count(*) AS n, sum(strict)::bigint AS strict, sum(fair)::bigint AS fair, sum(found)::bigint AS found FROM per GROUP BY s""")
+def style_accuracy(spark, sf):
+    """Strict and fair accuracy of the resolver by style of request."""
+    rows = styled(spark, sf)
+    return accuracy(C.resolve(rows.select("request", "phrase"), offers(spark, sf)), rows.select("request", "style", "part"))
+
+
+#: The catalogue after an edit: one file is gone, another is cheaper.
+_EDITED_SQL = OFFERS_SQL.replace("offers AS (", "every AS (") + ", offers AS (SELECT * REPLACE (CASE WHEN file_name = 'file4' THEN (price / 2)::decimal(18,2) ELSE price END AS price) FROM every WHERE file_name <> 'file3')"
+
+
+def edited(spark, sf):
+    half = (F.col("price") / 2).cast("decimal(18,2)")
+    return offers(spark, sf).filter("file_name <> 'file3'").withColumn("price", F.when(F.col("file_name") == "file4", half).otherwise(F.col("price")))
+
+
+@query(f"""WITH a AS ({RESOLVE_SQL}), b AS ({RESOLVE_SQL.replace(OFFERS_SQL, _EDITED_SQL)}), x AS (SELECT request, id FROM a WHERE rank = 1 OR rank IS NULL), y AS (SELECT request, id FROM b WHERE rank = 1 OR rank IS NULL)
+SELECT x.request, CASE WHEN x.id IS NOT DISTINCT FROM y.id THEN 'same' WHEN x.id IS NULL THEN 'found' WHEN y.id IS NULL THEN 'lost' WHEN b.rank IS NOT NULL THEN 'moved' ELSE 'gone' END AS state, x.id AS old_id, y.id AS new_id, b.rank AS rank_now
+FROM x JOIN y USING (request) LEFT JOIN b ON b.request = x.request AND b.id = x.id""")
+def resolver_diff(spark, sf):
+    """What an edit of the catalogue does to the first row of each request: two snapshots, compared."""
+    path, asks = f"{scratch_dir(spark)}/snapshots-{uuid.uuid4().hex}", wanted(spark, sf)
+    for version, goods in enumerate((offers(spark, sf), edited(spark, sf))):
+        sinks.keep_snapshot(C.resolve(asks, goods), path, version)
+    return sinks.snapshot_diff(*[spark.read.parquet(f"{path}/version={v}") for v in (0, 1)])
