@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from tessera.functions import text as X
 from tessera.operators import cascade as C
 from tessera.operators import match, sinks
 from tessera.operators import rules as R
@@ -94,7 +95,8 @@ WANTED_SQL = f"""wanted AS (
   FROM (SELECT s_suppkey, part.*, split_part(p_name, ' ', 1) AS a, split_part(p_name, ' ', 2) AS b FROM supplier JOIN part ON p_partkey = s_suppkey))"""
 #: Sizes, the only kind of qualifier besides codes that these requests have: number and unit, decimals apart.
 _SPELL = {"l": "l litre liter ltr lt".split(), "cm": ["cm"]}
-RESOLVE_SQL = f"""WITH {OFFERS_SQL}, {WANTED_SQL}, q AS (
+_NO_HISTORY = "past AS (SELECT '' AS t, '' AS name, '' AS m, 0 AS times WHERE false)"
+RESOLVE_SQL = f"""WITH {OFFERS_SQL}, {WANTED_SQL}, {_NO_HISTORY}, q AS (
   SELECT DISTINCT trim(lower(phrase)) AS t FROM wanted
 ), req0 AS (
   SELECT t, list_filter(regexp_extract_all(t, '[a-z0-9]+'), lambda w: regexp_full_match(w, '[a-z]{{3,}}') AND w NOT IN {_LIST}) AS core0,
@@ -159,9 +161,12 @@ RESOLVE_SQL = f"""WITH {OFFERS_SQL}, {WANTED_SQL}, q AS (
     NOT coded AND (len(list_filter(brands, lambda x: b <> '' AND (contains(x, upper(b)) OR contains(upper(b), x)))) > 0 OR list_contains(files, file_name)) AS preferred,
     len({_MINUS.format('human_added', 'tws')}) + CASE WHEN tier IN ('name+spec', 'spec') THEN len({_MINUS.format('spec_added', 'tws')}) ELSE 0 END AS extra,
     replace(name || ' ' || m || ' ' || s, ' ', '') AS hay FROM tiers WHERE tier IS NOT NULL
+), repeated AS (
+  SELECT based.*, base + CASE WHEN preferred THEN {S.preferred} ELSE 0 END AS raised, coalesce(times, 0) AS times FROM based LEFT JOIN past ON past.t = based.t AND past.name = based.name AND past.m = based.m
 ), scored AS (
-  SELECT t, id, tier, digit, price, extra, preferred, base + CASE WHEN preferred THEN {S.preferred} ELSE 0 END AS score, hay, mtoks,
-    list_transform(regexp_extract_all(t, '[0-9]+(?:\\.[0-9]+)?\\s*(?:litres?|liters?|ltrs?|lt|l|cm)\\b'), lambda x: [regexp_extract(x, '^[0-9.]+'), CASE WHEN x LIKE '%cm' THEN 'cm' ELSE 'l' END]) AS sizes FROM based
+  SELECT t, id, tier, digit, price, extra, raised + CASE WHEN coded OR raised >= {S.model} OR times = 0 THEN 0 WHEN times >= 2 THEN {S.recurring} ELSE {S.once} END AS score, hay, mtoks,
+    CASE WHEN NOT coded AND raised < {S.model} AND times > 0 THEN 'hist' WHEN preferred THEN 'brand' ELSE '' END AS boosted,
+    list_transform(regexp_extract_all(t, '[0-9]+(?:\\.[0-9]+)?\\s*(?:litres?|liters?|ltrs?|lt|l|cm)\\b'), lambda x: [regexp_extract(x, '^[0-9.]+'), CASE WHEN x LIKE '%cm' THEN 'cm' ELSE 'l' END]) AS sizes FROM repeated
 ), fitted AS (
   SELECT *, score >= least(max(score) OVER (PARTITION BY t) * {S.cutoff_share}, {S.cutoff_most}.0) AS kept, len(sizes) + len(mtoks) > 0 AS sized,
     len(list_filter(sizes, lambda z: NOT regexp_matches(hay, '(^|[^0-9.])' || z[1] || '(\\.0)?' || CASE WHEN z[2] = 'cm' THEN 'cm' ELSE '({"|".join(_SPELL["l"])})' END))) = 0
@@ -171,11 +176,11 @@ RESOLVE_SQL = f"""WITH {OFFERS_SQL}, {WANTED_SQL}, q AS (
   SELECT *, NOT sized AND len(list_filter(regexp_extract_all(t, '\\b([0-9]{{1,2}})\\b', 1), lambda x: regexp_matches(hay, '(^|[^0-9.])' || x || '("|''''|in|inch|cm|mm|l|ml|qt|ltr|oz|comp)'))) > 0 AS hint FROM sized
 ), narrowed AS (SELECT * FROM (SELECT *, bool_or(hint) OVER (PARTITION BY t) AS any_hint FROM hinted) WHERE hint OR NOT any_hint
 ), placed AS (
-  SELECT *, row_number() OVER w AS place, first_value(tier) OVER w AS top, first_value(score) OVER w AS top_score, first_value(preferred) OVER w AS top_preferred, first_value(extra) OVER w AS top_extra FROM narrowed
+  SELECT *, row_number() OVER w AS place, first_value(tier) OVER w AS top, first_value(score) OVER w AS top_score, first_value(boosted) OVER w AS top_boosted, first_value(extra) OVER w AS top_extra FROM narrowed
   WINDOW w AS (PARTITION BY t ORDER BY score DESC, id)
 ), near AS (
-  SELECT *, digit OR top IN ('model', 'model~') AS by_code, preferred = top_preferred AND tier = top AND top_score - score <= {S.band} AS near,
-    top IN {tuple(C.COMPLETE)} AND tier IN {tuple(C.COMPLETE)} AND preferred = top_preferred AND extra <= top_extra AND place <= {S.members_of} AS member FROM placed
+  SELECT *, digit OR top IN ('model', 'model~') AS by_code, boosted = top_boosted AND tier = top AND top_score - score <= {S.band} AS near,
+    top IN {tuple(C.COMPLETE)} AND tier IN {tuple(C.COMPLETE)} AND boosted = top_boosted AND extra <= top_extra AND place <= {S.members_of} AS member FROM placed
 ), banded AS (
   SELECT *, CASE WHEN top NOT IN {tuple(C.STRONG)} THEN 0 WHEN by_code THEN min(near::int) OVER (PARTITION BY t ORDER BY score DESC, id ROWS UNBOUNDED PRECEDING) ELSE member::int END AS band FROM near
 ), ranked AS (
@@ -233,6 +238,19 @@ def request_preferences(spark, sf):
     )
 
 
+_HISTORY_SQL = """past AS (SELECT t, lower(trim(product)) AS name, lower(coalesce(model, '')) AS m, count(*) AS times FROM (
+  SELECT trim(lower(phrase)) AS t, product, model FROM wanted JOIN lineitem ON l_suppkey = request JOIN offers ON id = l_partkey WHERE l_returnflag = 'R' AND l_quantity >= 48) GROUP BY ALL)"""
+
+
+@query(RESOLVE_SQL.replace(_NO_HISTORY, _HISTORY_SQL))
+def resolve_with_history(spark, sf):
+    """The cascade with what was chosen before for the same phrase (here: large returned lines of the supplier), by product and model."""
+    asks, goods = wanted(spark, sf), offers(spark, sf)
+    lines = table(spark, sf, "lineitem").filter("l_returnflag = 'R' and l_quantity >= 48").select(F.col("l_suppkey").alias("request"), F.col("l_partkey").alias("id"))
+    past = asks.join(lines, "request").join(goods, "id").groupBy("phrase", "product", "model").agg(F.count("*").alias("times"))
+    return C.resolve(asks, goods, history=past)
+
+
 # ---------------------------------------------------------------- evaluation
 
 
@@ -287,3 +305,29 @@ def resolver_diff(spark, sf):
     for version, goods in enumerate((offers(spark, sf), edited(spark, sf))):
         sinks.keep_snapshot(C.resolve(asks, goods), path, version)
     return sinks.snapshot_diff(*[spark.read.parquet(f"{path}/version={v}") for v in (0, 1)])
+
+
+# ---------------------------------------------------------------- repairs of words
+
+
+_SAFE = "('" + "','".join([*X.UNIT_SAFE, *X.UNIT_WORDS]) + "')"
+_FIRST = "QUALIFY row_number() OVER (PARTITION BY word ORDER BY n DESC, near) = 1"
+_LEADING = "(SELECT word, near, n, lead(n) OVER o AS next, row_number() OVER o AS at_ FROM (SELECT word, near, max(n) AS n FROM {0} GROUP BY ALL) WINDOW o AS (PARTITION BY word ORDER BY n DESC, near)) WHERE at_ = 1 AND (next IS NULL OR n >= 3 * next)"
+
+
+@query(f"""WITH seen AS (SELECT word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]{{3,}}')) AS word FROM documents) GROUP BY word),
+typed AS (SELECT DISTINCT word FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]{{2,}}')) AS word FROM conversations) WHERE word NOT IN {_SAFE}),
+w AS (SELECT t.word, a.n IS NULL AS unseen, coalesce(a.n, b.n, 0) AS known FROM typed t LEFT JOIN seen a ON a.word = t.word LEFT JOIN seen b ON b.word = regexp_replace(t.word, 's+$', '')), rare AS (SELECT * FROM w WHERE known <= 2), unseen AS (SELECT word FROM rare WHERE unseen),
+near AS (SELECT word AS near, n FROM seen), skeletons AS (SELECT left(near, 1) || regexp_replace(substr(near, 2), '[aeiou]', '', 'g') AS skeleton, near, n FROM near WHERE n >= 2 AND length(near) >= 4),
+best AS (SELECT * FROM skeletons WHERE skeleton <> near QUALIFY row_number() OVER (PARTITION BY skeleton ORDER BY n DESC, near) = 1), short AS (SELECT word FROM unseen WHERE length(word) BETWEEN 3 AND 6),
+starts AS (SELECT near, n, left(skeleton, k) AS word FROM (SELECT near, n, skeleton, unnest(range(3, least(length(skeleton), 6) + 1)) AS k FROM best) UNION ALL SELECT near, n, left(near, k) FROM (SELECT near, n, unnest(range(3, least(length(near) - 2, 6) + 1)) AS k FROM near WHERE n >= 2)),
+s0 AS (SELECT word, near FROM short JOIN best ON word = skeleton), s1 AS (SELECT word, near FROM {_LEADING.format('short JOIN starts USING (word)')}),
+s2 AS (SELECT u.word, near FROM unseen u JOIN (VALUES ('sq', 'square'), ('sm', 'small'), ('lg', 'large')) AS t(word, near) USING (word) JOIN near USING (near) WHERE n >= 2),
+cut AS (SELECT word, left(word, k) AS near FROM (SELECT word, unnest(range(3, length(word) - 2)) AS k FROM unseen WHERE length(word) >= 6)), s3 AS (SELECT word, near FROM {_LEADING.format('(SELECT word, near, n FROM cut JOIN near USING (near) WHERE n >= 3)')}),
+s4 AS (SELECT word, near FROM rare JOIN near ON left(word, 1) = left(near, 1) AND length(word) BETWEEN length(near) - 1 AND length(near) + 1 AND n > known AND n >= 25 * known AND near <> word AND length(word) >= 4 AND damerau_levenshtein(word, near) <= 1 {_FIRST}),
+every AS (SELECT *, 0 AS step FROM s0 UNION ALL SELECT *, 1 FROM s1 UNION ALL SELECT *, 2 FROM s2 UNION ALL SELECT *, 3 FROM s3 UNION ALL SELECT *, 4 FROM s4)
+SELECT word, arg_min(near, step) AS near FROM every GROUP BY word""")
+def word_repairs(spark, sf):
+    """What words of the conversations stand for among the words of the documents: abbreviations, cut words, typing errors."""
+    words = lambda t, least: table(spark, sf, t).select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(f"[a-z]{{{least},}}"), F.lit(0))).alias("word"))
+    return match.repairs(words("conversations", 2), words("documents", 3).groupBy("word").agg(F.count("*").alias("n")))

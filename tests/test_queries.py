@@ -3,7 +3,7 @@
 import compare
 import pytest
 
-from tessera.plans import cascade, requests, rules, sheets  # noqa: F401  add their queries
+from tessera.plans import cascade, formulas, requests, rules, sheets  # noqa: F401  add their queries
 from tessera.plans.registry import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
