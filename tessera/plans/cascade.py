@@ -307,6 +307,56 @@ def resolver_diff(spark, sf):
     return sinks.snapshot_diff(*[spark.read.parquet(f"{path}/version={v}") for v in (0, 1)])
 
 
+# Words that name no family.
+FAMILY_STOP = "and with for the set pcs size small large medium big mini new done list price".split()
+_STOP = "('" + "','".join(FAMILY_STOP) + "')"
+_FAMILY_SQL = f"""toks AS (SELECT id, list_filter(regexp_extract_all(lower(product), '[a-z]{{4,}}'), lambda w: w NOT IN {_STOP}) AS w FROM offers),
+single AS (SELECT term FROM (SELECT id, unnest(list_distinct(w)) AS term FROM toks) GROUP BY term HAVING count(*) >= 30 ORDER BY count(*) DESC, term LIMIT 60),
+double_ AS (SELECT term FROM (SELECT w[k] || ' ' || w[k + 1] AS term FROM (SELECT w, unnest(range(1, len(w))) AS k FROM toks) WHERE w[k] <> w[k + 1]) GROUP BY term HAVING count(*) >= 15 ORDER BY count(*) DESC, term LIMIT 80),
+family AS (SELECT term, (SELECT count(*) FROM offers WHERE len(list_filter(string_split(term, ' '), lambda x: NOT contains(lower(product), x))) = 0) AS truth FROM (SELECT term FROM single UNION ALL SELECT term FROM double_)),
+wanted AS (SELECT term AS request, term AS phrase FROM family WHERE truth >= 8)"""
+
+
+@query(f"""WITH {OFFERS_SQL}, {_FAMILY_SQL}, res AS ({RESOLVE_SQL.replace(WANTED_SQL, _FAMILY_SQL).replace('rank <= 15', 'rank <= 500')}), got AS (SELECT request, count(id) AS shown FROM res GROUP BY request)
+SELECT term, shown::bigint AS shown, truth::bigint AS truth, shown < 0.5 * truth AS suspect FROM family JOIN got ON got.request = term""")
+def families_shown(spark, sf):
+    """How much of each family of names (frequent words and pairs of words) a search for it shows; below a half is suspect."""
+    goods = offers(spark, sf)
+    w = F.filter(F.regexp_extract_all(F.lower("product"), F.lit("[a-z]{4,}"), F.lit(0)), lambda x: ~x.isin(FAMILY_STOP))
+    toks = goods.select(F.lower("product").alias("name"), w.alias("w"))
+    pairs = F.when(F.size("w") > 1, F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda i: F.struct(F.element_at("w", i).alias("a"), F.element_at("w", i + 1).alias("b"))))
+    single = toks.select(F.explode(F.array_distinct("w")).alias("term")).groupBy("term").count().filter("count >= 30").orderBy(F.desc("count"), "term").limit(60)
+    double = toks.select(F.inline(pairs)).filter("a <> b").select(F.concat_ws(" ", "a", "b").alias("term")).groupBy("term").count().filter("count >= 15").orderBy(F.desc("count"), "term").limit(80)
+    terms = single.unionByName(double).select("term")
+    # Names are matched by any part of a word, so the terms (140 at most) meet the distinct names by their words' trigrams.
+    words = terms.select("term", F.explode(F.split("term", " ")).alias("word"))
+    hits = words.join(R.contained(words.select("word"), goods.select(F.col("product").alias("name")), forms=False), "word").filter(F.contains(F.lower("name"), F.col("word")))
+    whole = hits.groupBy("term", "name").agg(F.count("*").alias("k")).filter(F.col("k") == F.size(F.split("term", " ")))
+    truth = whole.join(goods.select(F.col("product").alias("name")), "name").groupBy("term").agg(F.count("*").alias("truth")).filter("truth >= 8")
+    shown = C.resolve(truth.select(F.col("term").alias("request"), F.col("term").alias("phrase")), goods, 500).groupBy(F.col("request").alias("term")).agg(F.count("id").alias("shown"))
+    return truth.join(shown, "term").select("term", "shown", "truth", (F.col("shown") < 0.5 * F.col("truth")).alias("suspect"))
+
+
+_MISSES = """CASE l_orderkey % 7 WHEN 0 THEN p_name || ' (model C' || CAST(l_partkey % 900 AS STRING) || ' not in master)' WHEN 1 THEN p_name || ' (under ₹' || CAST(l_linenumber AS STRING) || '00)' WHEN 2 THEN p_name || ' (₹ limit)'
+  WHEN 3 THEN p_name || ' (large)' WHEN 4 THEN 'Not In Master: ' || p_name WHEN 5 THEN p_name || ' (between 5 and ₹9)' ELSE p_name END"""
+_REASON = r"""CASE WHEN regexp_matches(s, '(?i)model .*not in master|not in master') THEN 'model' WHEN regexp_matches(s, '(?i)\((?:over|under|upto|max|between).*₹|₹.*\)') THEN 'price' WHEN contains(s, '(') AND contains(s, ')') THEN 'other' ELSE 'bare' END"""
+
+
+@query(f"""WITH m AS (SELECT {_MISSES} AS s FROM lineitem JOIN part ON l_partkey = p_partkey), c AS (SELECT {_REASON} AS reason, count(*) AS n FROM m GROUP BY 1)
+SELECT reason, n, (100 * n // sum(n) OVER ())::bigint AS percent FROM c""")
+def miss_reasons(spark, sf):
+    """Why lines were not found, by what their note says."""
+    s = F.expr(_MISSES)
+    rows = table(spark, sf, "lineitem").join(table(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey")).select(s.alias("s"))
+    reason = (
+        F.when(F.col("s").rlike("(?i)model .*not in master|not in master"), "model").when(F.col("s").rlike(r"(?i)\((?:over|under|upto|max|between).*₹|₹.*\)"), "price")
+        .when(F.contains("s", F.lit("(")) & F.contains("s", F.lit(")")), "other").otherwise("bare")
+    )
+    per = rows.groupBy(reason.alias("reason")).agg(F.count("*").alias("n"))  # four rows
+    total = per.agg(F.sum("n").alias("all"))
+    return per.join(F.broadcast(total), F.lit(True)).select("reason", "n", F.floor(F.col("n") * 100 / F.col("all")).cast("long").alias("percent"))
+
+
 # ---------------------------------------------------------------- repairs of words
 
 

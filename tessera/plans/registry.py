@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tessera.functions import money as M
 from tessera.functions import text as X
 from tessera.operators import history, hygiene, ingest, match, pricing, vectors
+from tessera.operators.numbering import numbered
 from tessera.sources.catalogue import ALIASES_SQL, CATALOGUE_SQL, EVIDENCE_SQL, LINES_SQL, SHEETS_SQL, catalogue, evidence, quote_lines, sheet_cells, table
 
 QUERIES: dict = {}
@@ -538,15 +539,15 @@ def wrapped_lines(spark, sf):
 SELECT id, CASE WHEN row_number() OVER (PARTITION BY name ORDER BY id) = 1 THEN name ELSE name || ' ' || row_number() OVER (PARTITION BY name ORDER BY id) END AS sheet FROM d""")
 def sheet_names(spark, sf):
     d = catalogue(spark, sf).select("id", F.substring(F.regexp_replace("brand", "[^A-Za-z0-9 ]", " "), 1, 28).alias("name"))
-    k = F.row_number().over(Window.partitionBy("name").orderBy("id"))
-    return d.select("id", F.when(k == 1, F.col("name")).otherwise(F.concat_ws(" ", "name", k.cast("string"))).alias("sheet"))
+    k = F.col("number")
+    return numbered(d, ["name"], ["id"]).select("id", F.when(k == 1, F.col("name")).otherwise(F.concat_ws(" ", "name", k.cast("string"))).alias("sheet"))
 
 
 @query("SELECT o_orderkey, strftime(o_orderdate, '%Y-%m') || '-' || lpad(CAST(row_number() OVER (PARTITION BY strftime(o_orderdate, '%Y-%m') ORDER BY o_orderdate, o_orderkey) AS VARCHAR), 5, '0') AS ref FROM orders")
 def reference_numbers(spark, sf):
-    month = F.date_format("o_orderdate", "yyyy-MM")
-    k = F.row_number().over(Window.partitionBy(month).orderBy("o_orderdate", "o_orderkey"))
-    return table(spark, sf, "orders").select("o_orderkey", F.concat_ws("-", month, F.lpad(k.cast("string"), 5, "0")).alias("ref"))
+    rows = table(spark, sf, "orders").select("o_orderkey", "o_orderdate", F.date_format("o_orderdate", "yyyy-MM").alias("month"))
+    number = F.lpad(F.col("number").cast("string"), 5, "0")
+    return numbered(rows, ["month"], ["o_orderdate", "o_orderkey"]).select("o_orderkey", F.concat_ws("-", "month", number).alias("ref"))
 
 
 @query(f"WITH {CATALOGUE_SQL} SELECT id, sha1(lower(product) || '|' || model || '|' || brand) AS key FROM cat")
