@@ -21,7 +21,8 @@ Everything that moves is proportional to the input; only piece counts (the size
 vocabulary) and a few totals reach the driver.
 
 Defined results: null text is empty: one end token; null ids count as training side
-(crc32 of the empty text); repeated rows count as often as they occur; characters outside
+(crc32 of the empty text); repeated rows count as often as they occur; a word of more than
+SEGMENT bytes is the product of its parts of SEGMENT bytes (no piece crosses a cut); characters outside
 the vocabulary use its byte pieces; an empty table gives an empty result; without training
 rows all counts are 0, and pieces are uniform; clashing column names do not matter, for
 only id and text are read.
@@ -41,6 +42,8 @@ by_value(__name__)
 
 #: Longest text (bytes) and rows of a block, from short texts to long ones.
 TIERS = ((1 << 16, 4096), (1 << 20, 64), (1 << 62, 1))
+#: Bytes of a word after which no piece goes on, so that the recursion works on parts of a very long word side by side.
+SEGMENT = 4096
 #: Rounds of expected piece counts.
 ROUNDS = 2
 SMOOTH = 0.1
@@ -84,16 +87,19 @@ class Lattice:
 
     def words(self, words: list[bytes]) -> np.ndarray:
         """Log10 of the sum over all segmentations of each word, its mark in front."""
-        out = np.zeros(len(words))
-        for part in self._parts(words):
-            out[part] = self._forward([MARK + words[i] for i in part])[0]
-        return out / np.log(10)
+        cut, owner = self._segments(words)
+        out = np.zeros(len(cut))
+        for part in self._parts(cut):
+            out[part] = self._forward([cut[i] for i in part])[0]
+        return np.bincount(owner, weights=out, minlength=len(words)) / np.log(10)
 
     def expected(self, words: list[bytes], counts: np.ndarray) -> np.ndarray:
         """Expected number of uses of each piece over all segmentations of words that weigh ``counts``."""
+        words, owner = self._segments(words)
+        counts = counts[owner]
         out = np.zeros(self.size)
         for part in self._parts(words):
-            total, alpha, ends, levels = self._forward([MARK + words[i] for i in part])
+            total, alpha, ends, levels = self._forward([words[i] for i in part])
             beta = np.full(len(alpha), -np.inf)
             beta[ends] = 0.0
             for start, end, p, ids, word in reversed(levels):  # a start occurs once in a level
@@ -103,6 +109,13 @@ class Lattice:
                 out += np.bincount(ids, weights=share, minlength=self.size)
         return out
 
+    @staticmethod
+    def _segments(words: list[bytes]) -> tuple[list[bytes], np.ndarray]:
+        """Marked words, cut every SEGMENT bytes, and the word that each part comes from."""
+        marked = [MARK + w for w in words]
+        parts = [(w[s : s + SEGMENT], i) for i, w in enumerate(marked) for s in range(0, len(w), SEGMENT)]
+        return [p for p, _ in parts], np.array([i for _, i in parts], np.int64)
+
     @staticmethod
     def _parts(words: list[bytes]):
         order = np.argsort([len(w) for w in words], kind="stable")

@@ -588,6 +588,27 @@ def test_near_large_group(spark):
     assert 5 < len(set(want.tolist())) < 1900 and right >= 0.99
 
 
+def test_lattice_long_words(spark, monkeypatch):
+    """A word of megabytes is the product of its parts, and is done in seconds."""
+    import time
+
+    sp, pieces = lattice_lm._vocabulary(None)
+    lattice = lattice_lm.Lattice(pieces, {300: 5.0, 400: 2.0})
+    r = random.Random(1)
+    word = "".join(r.choice("abcdefgh0123") for _ in range(10_000)).encode()
+    whole = lattice_lm.MARK + word
+    parts = [whole[i : i + lattice_lm.SEGMENT] for i in range(0, len(whole), lattice_lm.SEGMENT)]
+    want = sum(lattice._forward([p])[0][0] for p in parts) / math.log(10)
+    assert abs(lattice.words([b"x", word])[1] - want) < 1e-6
+    monkeypatch.setattr(lattice_lm, "SEGMENT", 1 << 30)
+    assert want - 1e-6 <= lattice.words([word])[0] <= want + 60  # a cut costs the pieces that would cross it
+    monkeypatch.undo()
+    texts = [(1, "a b"), (2, "z" * 2_000_000), (3, " " * 1_000_000), (4, "".join(r.choice("abcdefgh0123") for _ in range(1_000_000)))]
+    start = time.time()
+    got = {x["doc_id"]: x for x in lattice_lm.lattice_scores(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert len(got) == 4 and got[3]["n_tokens"] == 1 and all(math.isfinite(x["score"]) for x in got.values()) and time.time() - start < 120
+
+
 CONTRACT = {
     "op1": "doc_id n_assign n_access n_hex base_sha256 spans", "op2": "doc_id n_bytes n_removed n_spans kept_sha256",
     "op3": "doc_id keep_id group_size kept text_sha256", "op4": "doc_id n_bytes payload_bytes payload_sha256 tail_crc32 media_bytes media_sha256 feature",
