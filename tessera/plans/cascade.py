@@ -219,6 +219,14 @@ def glued_columns(spark, sf):
     return match.glued_rows(w, offers(spark, sf))
 
 
+@query(f"""WITH {OFFERS_SQL}, {WANTED_SQL}, w AS (SELECT DISTINCT unnest(regexp_extract_all(lower(phrase), '[a-z]{{3,}}')) AS word FROM wanted), t AS (SELECT DISTINCT lower(product) AS text FROM offers UNION SELECT lower(spec) FROM offers)
+SELECT word, text FROM w JOIN t ON {covers('word', 'text')}""")
+def words_covered(spark, sf):
+    """Which names and specifications cover which words: whole or in the other number, as the start of a word, joined."""
+    words = wanted(spark, sf).select(F.explode(F.regexp_extract_all(F.lower("phrase"), F.lit("[a-z]{3,}"), F.lit(0))).alias("word"))
+    return C.covering(words, offers(spark, sf).select(F.explode(F.array(F.lower("product"), F.lower("spec"))).alias("text")))
+
+
 # ---------------------------------------------------------------- preferences
 
 

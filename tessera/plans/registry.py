@@ -1,6 +1,6 @@
 """Named queries and, for each that SQL can express, the SQL.
 
-Every query reads its whole tables. Money leaves as double, so that engines with other
+Every query reads tables, whole but where a part of them is what it asks about. Money leaves as double, so that engines with other
 decimal widths compare equal.
 """
 

@@ -8,12 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; set to a local one only where unset (tests)."""
+    """The shared folder of ``spark.checkpoint.dir``; where it is unset, a local one if all of Spark runs in this process (tests)."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         made = spark.sparkContext._jsc.sc().getCheckpointDir()
         folder = made.get() if made.isDefined() else None
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = "/tmp/checkpoints"
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
