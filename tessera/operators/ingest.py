@@ -58,3 +58,39 @@ def assign_spans(anchors: DataFrame, rows: DataFrame, place: str = "r") -> DataF
     both = both.unionByName(anchors.select("sheet", F.col(place).alias("p"), F.lit(None).cast("long").alias("row_at"), F.lit(1).alias("kind"), F.col("anchor").cast("long").alias("anchor")))
     upto = Window.partitionBy("sheet").orderBy("p", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return both.withColumn("row_at", F.last("row_at", ignorenulls=True).over(upto)).filter("kind = 1 and row_at is not null").select("sheet", "anchor", F.col("row_at").cast("long").alias("row_at"))
+
+
+# Headings that tell kinds of workbooks apart, headings that only a quotation repeats, sheets that are looked at.
+QUANTITIES, AMOUNTS = ["QTY", "QUANTITY"], ["AMOUNT", "TOTAL VALUE", "LINE TOTAL", "TOTAL AMOUNT"]
+PIECE_PRICES, REPEATED = ["PRICE/PC", "PRICE / PC", "RATE/PC", "UNIT PRICE", "PRICE PER PC"], ["BRAND", "MODEL NO", "SPECIFICATION", "IMAGE", "PRODUCT"]
+SHEETS_SEEN = 4
+
+
+def workbook_types(sheets: DataFrame, heads: DataFrame) -> DataFrame:
+    """(workbook, kind, confidence, price_list, client_boq, quotation): what a workbook is, by the headings of its first sheets.
+
+    sheets: workbook, sheet, place; heads: sheet, c, label (normalised) of the sheets with a product column. Whole headings count,
+    not parts of them; a workbook without a header or a point is unknown. Ties go to the first kind.
+    """
+    place = Window.partitionBy("workbook").orderBy("place", "sheet")
+    known = sheets.withColumn("k", F.row_number().over(place)).withColumn("n", F.count("*").over(Window.partitionBy("workbook")))
+    label = F.col("label")
+    per = heads.groupBy("sheet", "label").agg(F.count("*").alias("times"))
+    has = lambda *names: F.coalesce(F.max(label.isin(*names).cast("int")), F.lit(0)) == 1
+    rows = known.filter(F.col("k") <= SHEETS_SEEN).join(per, "sheet", "left")
+    seen = rows.groupBy("workbook").agg(
+        F.max("n").alias("sheets"), F.count("label").alias("labels"), F.coalesce(F.sum(F.when(label.isin(REPEATED), F.col("times") - 1)), F.lit(0)).alias("dupes"),
+        (has(*QUANTITIES) | (F.coalesce(F.max(label.rlike("(^| )(REQUIREMENT|REQD)$").cast("int")), F.lit(0)) == 1)).alias("qty"), has(*AMOUNTS).alias("amount"), has(*PIECE_PRICES).alias("piece"),
+        (F.coalesce(F.max((F.contains(label, F.lit("PRICE")) | label.isin("RATE", "MRP")).cast("int")), F.lit(0)) == 1).alias("price"), has("COST").alias("cost"), has("STOCK").alias("stock"),
+    )
+    points = lambda *terms: sum((F.when(c, n).otherwise(0) for c, n in terms[1:]), F.when(terms[0][0], terms[0][1]).otherwise(0))
+    c = F.col
+    seen = seen.withColumns({
+        "price_list": points((c("cost"), 2), (c("stock"), 1), (c("price") & ~c("qty"), 2), (c("sheets") == 1, 1)),
+        "client_boq": points((c("qty") & ~c("cost") & ~c("amount"), 3), (c("qty") & ~c("price"), 2)),
+        "quotation": points((c("dupes") > 0, 3), (c("amount") & c("qty"), 3), (c("piece"), 1)),
+    })
+    most, total = F.greatest("price_list", "client_boq", "quotation"), c("price_list") + c("client_boq") + c("quotation")
+    kind = F.when((c("labels") == 0) | (most == 0), "unknown").when(c("price_list") == most, "price_list").when(c("client_boq") == most, "client_boq").otherwise("quotation")
+    confidence = F.when((c("labels") == 0) | (most == 0), 0.0).otherwise(F.bround(most / total, 2))
+    return seen.select("workbook", kind.alias("kind"), confidence.alias("confidence"), "price_list", "client_boq", "quotation")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tessera.operators import ingest
 from tessera.operators import sheets as S
 from tessera.plans.registry import doubles, query
 from tessera.sources.catalogue import ALIASES_SQL, LEARNED_SQL, SHEETS_SQL, sheet_cells, table
@@ -114,3 +115,27 @@ def first_email(spark, sf):
 def content_store(spark, sf):
     d = table(spark, sf, "documents").filter("text is not null").select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("digest"))
     return d.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")).withColumn("shard", F.substring("digest", 1, 2))
+
+
+#: Headings of sheets by kind; kind 7 has no product column.
+_HEADINGS = """SELECT * FROM (VALUES (0,1,'Product'),(0,2,'Cost'),(0,3,'Price'),(0,4,'Stock'),(1,1,'Item'),(1,2,'Qty'),(2,1,'Description'),(2,2,'Qty'),(2,3,'Unit Price'),(2,4,'Amount'),
+  (3,1,'Product'),(3,2,'Brand'),(3,3,'Model No'),(3,4,'Quantity'),(3,5,'Product'),(3,6,'Brand'),(3,7,'Line Total'),(4,1,'Product'),(4,2,'Total Requirement'),(4,3,'RECEIVE QTY AMOUNT'),(5,1,'Product'),(5,2,'Mrp'),
+  (6,1,'Product'),(6,2,'Remarks'),(7,1,'Notes'),(7,2,'Qty')) AS t(kind, c, label)"""
+
+
+@query(f"""WITH s AS (SELECT s_nationkey AS workbook, s_suppkey AS sheet, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS k, count(*) OVER (PARTITION BY s_nationkey) AS n FROM supplier),
+h AS (SELECT sheet, upper(label) AS label, count(*) AS times FROM s JOIN ({_HEADINGS}) ON kind = sheet % 8 WHERE kind <> 7 GROUP BY ALL),
+f AS (SELECT workbook, max(n) AS sheets, count(label) AS labels, coalesce(sum(CASE WHEN label IN ('BRAND', 'MODEL NO', 'SPECIFICATION', 'IMAGE', 'PRODUCT') THEN times - 1 END), 0) AS dupes,
+  coalesce(bool_or(label IN ('QTY', 'QUANTITY') OR regexp_matches(label, '(^| )(REQUIREMENT|REQD)$')), false) AS qty, coalesce(bool_or(label IN ('AMOUNT', 'TOTAL VALUE', 'LINE TOTAL', 'TOTAL AMOUNT')), false) AS amount,
+  coalesce(bool_or(label IN ('PRICE/PC', 'PRICE / PC', 'RATE/PC', 'UNIT PRICE', 'PRICE PER PC')), false) AS piece, coalesce(bool_or(contains(label, 'PRICE') OR label IN ('RATE', 'MRP')), false) AS price,
+  coalesce(bool_or(label = 'COST'), false) AS cost, coalesce(bool_or(label = 'STOCK'), false) AS stock FROM s LEFT JOIN h USING (sheet) WHERE k <= {ingest.SHEETS_SEEN} GROUP BY workbook),
+p AS (SELECT workbook, labels, cost::int * 2 + stock::int + (price AND NOT qty)::int * 2 + (sheets = 1)::int AS price_list, (qty AND NOT cost AND NOT amount)::int * 3 + (qty AND NOT price)::int * 2 AS client_boq,
+  (dupes > 0)::int * 3 + (amount AND qty)::int * 3 + piece::int AS quotation FROM f), m AS (SELECT *, greatest(price_list, client_boq, quotation) AS most FROM p)
+SELECT workbook, CASE WHEN labels = 0 OR most = 0 THEN 'unknown' WHEN price_list = most THEN 'price_list' WHEN client_boq = most THEN 'client_boq' ELSE 'quotation' END AS kind,
+  CASE WHEN labels = 0 OR most = 0 THEN 0.0 ELSE round_even(most / (price_list + client_boq + quotation), 2) END::double AS confidence, price_list, client_boq, quotation FROM m""")
+def workbook_types(spark, sf):
+    """What each workbook is (here: the suppliers of a nation as its sheets): price list, list of wants, or quotation."""
+    s = table(spark, sf, "supplier").select(F.col("s_nationkey").alias("workbook"), F.col("s_suppkey").alias("sheet"), F.col("s_suppkey").alias("place"))
+    kinds = F.broadcast(spark.sql(_HEADINGS))
+    heads = s.join(kinds, F.col("sheet") % 8 == F.col("kind")).filter("kind <> 7").select("sheet", "c", F.upper("label").alias("label"))
+    return ingest.workbook_types(s, heads)
