@@ -20,6 +20,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions import text as X
+from tessera.operators import match
 from tessera.operators import rules as R
 from tessera.scratch import materialize
 
@@ -432,3 +434,26 @@ def _without_file_words(req: DataFrame, prefs: DataFrame) -> DataFrame:
     none = F.array().cast("array<string>")
     rows = req.join(prefs.select("r", "words"), "r", "left")
     return rows.withColumn("core", F.filter("core", lambda w: ~F.array_contains(F.coalesce(F.col("words"), none), w))).drop("words")
+
+
+# ---------------------------------------------------------------- before the cascade
+
+
+def corrected(requests: DataFrame, products: DataFrame) -> DataFrame:
+    """``requests`` with their words repaired: abbreviations, cut words and typing errors of words of the products; the rest stays as typed."""
+    seen = products.select(F.explode(F.regexp_extract_all(F.lower("product"), F.lit("[a-z]{3,}"), F.lit(0))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    pieces = F.regexp_extract_all(F.lower("phrase"), F.lit("[a-z]+|[^a-z]+"), F.lit(0))
+    rows = requests.select("phrase").distinct().select("phrase", F.posexplode(pieces).alias("at", "word"))
+    found = match.repairs(rows.filter("word rlike '^[a-z]{2,}$'").select("word"), materialize(seen, "corrected-words"))
+    rows = rows.join(found, "word", "left").groupBy("phrase").agg(F.array_sort(F.collect_list(F.struct("at", F.coalesce("near", "word").alias("word")))).alias("words"))
+    texts = rows.select("phrase", F.array_join("words.word", "").alias("_text"))
+    return requests.join(texts, "phrase", "left").withColumn("phrase", F.coalesce("_text", "phrase")).drop("_text").select(*requests.columns)
+
+
+def prepared(requests: DataFrame, products: DataFrame) -> DataFrame:
+    """``requests`` as the cascade should read them: one spelling of units, joined words that the catalogue joins, repaired words."""
+    rows = requests.withColumn("phrase", X.norm_units(F.coalesce("phrase", F.lit(""))))
+    texts = rows.select(F.col("phrase").alias("request"), "phrase").distinct()
+    joined = R.merge_compounds(texts, products.select(F.col("product").alias("name")).distinct()).select(F.col("request").alias("phrase"), F.col("phrase").alias("_text"))
+    rows = rows.join(joined, "phrase", "left").withColumn("phrase", F.coalesce("_text", "phrase")).drop("_text").select(*requests.columns)
+    return corrected(rows, products)

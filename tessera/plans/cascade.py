@@ -389,3 +389,22 @@ def word_repairs(spark, sf):
     """What words of the conversations stand for among the words of the documents: abbreviations, cut words, typing errors."""
     words = lambda t, least: table(spark, sf, t).select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(f"[a-z]{{{least},}}"), F.lit(0))).alias("word"))
     return match.repairs(words("conversations", 2), words("documents", 3).groupBy("word").agg(F.count("*").alias("n")))
+
+
+def typed(spark, sf):
+    """Requests for each supplier's part, mistyped by fixed rules: request (part * 10 + number of the style), phrase, style, part."""
+    p = table(spark, sf, "supplier").join(table(spark, sf, "part"), F.col("s_suppkey") == F.col("p_partkey"))
+    a, b, n = F.split("p_name", " ")[0], F.split("p_name", " ")[1], F.length("p_name")
+    swapped = F.concat(F.substring(b, 1, 1), F.substring(b, 3, 1), F.substring(b, 2, 1), F.substr(b, F.lit(4)))
+    skeleton = F.concat(F.substring(b, 1, 1), F.regexp_replace(F.substring(b, 2, 100), "[aeiou]", ""))
+    ways = {"swap": F.concat_ws(" ", a, swapped), "skeleton": F.concat_ws(" ", a, skeleton), "longer": F.concat(a, F.lit(" "), b, F.lit("xyz")), "doubled": F.concat(a, F.lit(" "), F.substring(b, 1, 2), F.substr(b, F.lit(2), n))}
+    each = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(style).alias("style"), way.alias("phrase")) for i, (style, way) in enumerate(ways.items())])
+    rows = p.select(F.col("s_suppkey").alias("part"), F.inline(each))
+    return rows.select((F.col("part") * 10 + F.col("i")).alias("request"), "phrase", "style", "part")
+
+
+@query()
+def resolve_typed(spark, sf):
+    """Mistyped requests, prepared and resolved."""
+    goods = offers(spark, sf)
+    return C.resolve(C.prepared(typed(spark, sf).select("request", "phrase"), goods), goods)

@@ -127,3 +127,31 @@ def test_prefix_filter_loses_nothing(spark, seed):
             if (core and (named >= 0.6 * len(core) or (len(core) > 1 and both == len(core)))) or inside:
                 want.add((p, i))
     assert want <= got and len(got) < 0.8 * len(text) * len(rows)
+
+
+def test_prepared(spark):
+    rows = [("Round Tray", "A1", "", 9.0), ("Wire Tray", "A2", "", 8.0), ("Table Fork", "F1", "", 5.0), ("Table Fork", "F2", "", 6.0), ("Popcorn Machine", "P", "", 90.0), ("Popcorn Cart", "P2", "", 70.0), ("Ice Box 25l", "BX", "", 9.0)]
+    p = goods(spark, rows)
+    phrases = ["tabel frok", "tbl fork", "pop corn cart", "ice box 25 litres", "A1 code stays", "", None, "wire trya"]
+    req = spark.createDataFrame(list(enumerate(phrases)), "request long, phrase string")
+    got = {r["request"]: r["phrase"] for r in cascade.prepared(req, p).collect()}
+    assert got == {0: "table fork", 1: "table fork", 2: "popcorn cart", 3: "ice box 25l", 4: "a1 code stays", 5: "", 6: "", 7: "wire tray"}
+    best = {r["request"]: r["id"] for r in cascade.resolve(cascade.prepared(req, p), p).filter("rank = 1").collect()}
+    assert best[0] == best[1] == 2 and best[2] == 5 and best[3] == 6 and best[7] == 1
+
+
+def test_typed_requests(spark):
+    from tessera.plans import cascade as plans
+
+    sf = "/root/testdata/sf0.01"
+    names = {r["id"]: r["human"] for r in cascade.products_of(plans.offers(spark, sf)).select("id", "human").collect()}
+    truth = {r["request"]: (r["style"], r["part"]) for r in plans.typed(spark, sf).collect()}
+    wanted = {r["p_partkey"]: r["p_name"] for r in spark.read.parquet(f"{sf}/part.parquet").collect()}
+    found, total = {}, {}
+    for r in plans.resolve_typed(spark, sf).filter("rank = 1 or rank is null").collect():
+        style, part = truth[r["request"]]
+        if len(wanted[part].split()[1]) < 4:  # shorter words are not repaired, by the rule
+            continue
+        total[style] = total.get(style, 0) + 1
+        found[style] = found.get(style, 0) + (r["id"] is not None and set(wanted[part].split()) <= set(names[r["id"]].split()))
+    assert set(total) == {"swap", "skeleton", "longer", "doubled"} and all(found[s] >= 0.97 * n > 70 for s, n in total.items()), (found, total)
