@@ -154,6 +154,7 @@ def requests_of(requests: DataFrame) -> DataFrame:
         # A label that equals the phrase, or none, anchors nothing.
         F.when(F.col("label").isNotNull() & (F.col("label") != F.col("t")), own).otherwise(F.array().cast("array<string>")).alias("anchor"),
     )
+    rows = rows.withColumns({"groups": R.qualifier_groups(F.col("t")), "small": F.regexp_extract_all("t", F.lit(r"\b([0-9]{1,2})\b"), F.lit(1))})
     return rows.withColumn("coded", (F.size("mtoks") > 0) | F.col("codelike") | F.col("t").rlike("[0-9]{3}"))
 
 
@@ -306,9 +307,10 @@ def _judged(pairs: DataFrame, s: Scores) -> DataFrame:
     none = F.array().cast("array<string>")
     # The word of a preferred catalogue has done its job.
     rows = pairs.withColumn("core", F.filter("core", lambda w: ~F.array_contains(F.coalesce(c("words"), none), w)))
+    rows = rows.withColumn("hits", F.transform("core", lambda w: F.struct(in_name(w).alias("n"), in_spec(w).alias("s"))))
     rows = rows.withColumns({
-        "named": F.size(F.filter("core", in_name)), "specced": F.size(F.filter("core", in_spec)), "n": F.size("core"),
-        "whole": F.forall("core", lambda w: in_name(w) | in_spec(w)), "within": F.forall("hcore", in_request), "like": F.coalesce("like", F.lit(0.0)),
+        "named": F.size(F.filter("hits", lambda h: h["n"])), "specced": F.size(F.filter("hits", lambda h: h["s"])), "n": F.size("core"),
+        "whole": F.forall("hits", lambda h: h["n"] | h["s"]), "within": F.forall("hcore", in_request), "like": F.coalesce("like", F.lit(0.0)),
     })
     long = F.filter("numbers", lambda x: F.length(x) >= 5)
     typed = F.concat("mtoks", F.when(c("codelike"), F.array("t")).otherwise(none), long)
@@ -353,23 +355,22 @@ def _judged(pairs: DataFrame, s: Scores) -> DataFrame:
     rows = rows.withColumns({
         "score": c("score") + F.when(again & (c("times") >= 2), s.recurring).when(again, s.once).otherwise(0), "boosted": F.when(again, "hist").otherwise(c("boosted")), "extra": extra,
     })
-    return rows.select("r", "id", "t", "tier", "score", "extra", "boosted", "like", "price", "digit", F.concat_ws(" ", "name", "model", "spec").alias("hay"))
+    return rows.select("r", "id", "groups", "small", "tier", "score", "extra", "boosted", "like", "price", "digit", F.concat_ws(" ", "name", "model", "spec").alias("hay"))
 
 
 def _narrowed(rows: DataFrame, s: Scores) -> DataFrame:
     """Rows at the cutoff; where the request names sizes, of all rows those that carry every one, first of the kept, else of the rest."""
     by = Window.partitionBy("r")
     cut = F.least(F.max("score").over(by) * s.cutoff_share, F.lit(float(s.cutoff_most)))
-    groups = R.qualifier_groups(F.col("t"))
-    rows = rows.withColumns({"kept": F.col("score") >= cut, "sized": F.size(groups) > 0, "fits": R.qualified(groups, F.col("hay"))})
+    sizes = F.size("groups") > 0
+    rows = rows.withColumns({"kept": F.col("score") >= cut, "sized": sizes, "fits": F.when(sizes, R.qualified(F.col("groups"), F.col("hay"))).otherwise(True)})
     rows = rows.withColumn("any", F.max((F.col("kept") & F.col("fits")).cast("int")).over(by))
     sized = F.col("fits") & (F.col("kept") | (F.col("any") == 0))
     rows = rows.filter(F.when(F.col("sized"), sized).otherwise(F.col("kept")))
     # A small number without a unit narrows to rows that carry it before a unit, if any do.
-    numbers = F.regexp_extract_all("t", F.lit(r"\b([0-9]{1,2})\b"), F.lit(1))
     squeezed = F.regexp_replace(F.regexp_replace("hay", " ", ""), r"[*×]", "x")
     unit = r"(\"|''|in|inch|cm|mm|l|ml|qt|ltr|oz|comp)"
-    hint = F.exists(numbers, lambda x: F.regexp_like(squeezed, F.concat(F.lit("(^|[^0-9.])"), x, F.lit(unit))))
+    hint = F.exists("small", lambda x: F.regexp_like(squeezed, F.concat(F.lit("(^|[^0-9.])"), x, F.lit(unit))))
     rows = rows.withColumn("hint", ~F.col("sized") & hint)
     return rows.withColumn("any", F.max(F.col("hint").cast("int")).over(by)).filter((F.col("any") == 0) | F.col("hint"))
 
