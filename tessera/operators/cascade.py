@@ -148,12 +148,15 @@ def requests_of(requests: DataFrame) -> DataFrame:
     digit = F.col("t").rlike("[0-9]")
     own = F.array_distinct(R.core_words(F.coalesce("label", F.lit(""))))
     rows = rows.select(
-        F.sha2(F.to_json(F.struct("t", "label")), 256).alias("r"), "t", "label", plain_words(F.col("t")).alias("core"), models.alias("mtoks"), numbers.alias("numbers"), hsn.alias("hsns"),
+        F.xxhash64("t", "label").alias("r"), "t", "label", plain_words(F.col("t")).alias("core"), models.alias("mtoks"), numbers.alias("numbers"), hsn.alias("hsns"),
         F.filter(F.regexp_extract_all("t", F.lit("[a-z0-9]+"), F.lit(0)), lambda w: w.rlike("^[a-z]{2}$") & ~w.isin(R.UNITS)).alias("short"),
         digit.alias("digit"), ((F.length("t") >= 4) & digit).alias("codelike"), normal(F.col("t")).alias("tn"), tokens(F.col("t")).alias("ttoks"), starts(F.col("t")).alias("tstarts"),
         # A label that equals the phrase, or none, anchors nothing.
         F.when(F.col("label").isNotNull() & (F.col("label") != F.col("t")), own).otherwise(F.array().cast("array<string>")).alias("anchor"),
     )
+    none, long = F.array().cast("array<string>"), F.filter("numbers", lambda x: F.length(x) >= 5)
+    typed = F.array_distinct(F.concat("mtoks", F.when(F.col("codelike"), F.array("t")).otherwise(none), long))
+    rows = rows.withColumn("typed", typed).withColumn("stripped", F.transform("typed", lambda x: F.regexp_replace(x, "[^a-z0-9]", "")))
     rows = rows.withColumns({"groups": R.qualifier_groups(F.col("t")), "small": F.regexp_extract_all("t", F.lit(r"\b([0-9]{1,2})\b"), F.lit(1))})
     return rows.withColumn("coded", (F.size("mtoks") > 0) | F.col("codelike") | F.col("t").rlike("[0-9]{3}"))
 
@@ -189,7 +192,7 @@ def products_of(products: DataFrame) -> DataFrame:
     none = F.array().cast("array<string>")
     return rows.withColumns({
         "ntoks": tokens(F.col("name")), "nstarts": starts(F.col("name")), "stoks": tokens(F.col("spec")), "sstarts": starts(F.col("spec")), "hcore": R.core_words(F.col("human")),
-        "human_added": F.coalesce("human_added", none), "spec_added": F.coalesce("spec_added", none), "code": F.regexp_replace("model", "[^a-z0-9]", ""),
+        "human_added": F.coalesce("human_added", none), "spec_added": F.coalesce("spec_added", none), "code": F.regexp_replace("model", "[^a-z0-9]", ""), "name_key": normal(F.col("name")), "human_key": normal(F.col("human")),
     })
 
 
@@ -243,13 +246,10 @@ def reverse_candidates(req: DataFrame, prod: DataFrame) -> DataFrame:
 
 def code_candidates(req: DataFrame, prod: DataFrame) -> DataFrame:
     """(r, id) by names, models and tax codes: equal, or a model that contains a typed code."""
-    strip = lambda x: F.regexp_replace(x, "[^a-z0-9]", "")
-    names = prod.select("id", F.explode(F.array_distinct(F.array(normal(F.col("name")), normal(F.col("human"))))).alias("key"))
+    names = prod.select("id", F.explode(F.array_distinct(F.array("name_key", "human_key"))).alias("key"))
     exact = req.filter("tn <> ''").select("r", F.col("tn").alias("key")).join(names, "key")
-    long = F.filter("numbers", lambda x: F.length(x) >= 5)
-    typed = F.array_distinct(F.concat("mtoks", F.when(F.col("codelike"), F.array("t")).otherwise(F.array().cast("array<string>")), long))
-    codes = req.select("r", F.explode(typed).alias("x")).filter("length(x) >= 2")
-    equal = codes.select("r", strip(F.col("x")).alias("code")).filter("code <> ''").join(prod.select("id", "code"), "code")
+    codes = req.select("r", F.explode("typed").alias("x")).filter("length(x) >= 2")
+    equal = req.select("r", F.explode("stripped").alias("code")).filter("code <> ''").join(prod.select("id", "code"), "code")
     models = prod.filter("model <> ''").select("model").distinct()
     grams = models.select("model", F.explode(F.array_distinct(F.concat(_grams(F.col("model"), 2), _grams(F.col("model"), 3)))).alias("gram"))
     inside = codes.withColumn("gram", F.substring("x", 1, 3)).join(grams, "gram").filter(F.contains("model", F.col("x"))).select("r", "model").distinct()
@@ -303,25 +303,25 @@ def _judged(pairs: DataFrame, s: Scores) -> DataFrame:
     in_name = lambda w: covered(w, c("ntoks"), c("nstarts"))
     in_spec = lambda w: covered(w, c("stoks"), c("sstarts"))
     in_request = lambda w: covered(w, c("ttoks"), c("tstarts"))
-    strip = lambda x: F.regexp_replace(x, "[^a-z0-9]", "")
     none = F.array().cast("array<string>")
     # The word of a preferred catalogue has done its job.
     rows = pairs.withColumn("core", F.filter("core", lambda w: ~F.array_contains(F.coalesce(c("words"), none), w)))
-    rows = rows.withColumn("hits", F.transform("core", lambda w: F.struct(in_name(w).alias("n"), in_spec(w).alias("s"))))
+    # The specification and the reverse test are only looked at where the name doesn't settle it.
+    rows = rows.withColumns({"n": F.size("core"), "in_name": F.filter("core", in_name), "like": F.coalesce("like", F.lit(0.0))})
+    rows = rows.withColumns({"named": F.size("in_name"), "settled": (F.size("in_name") == c("n")) & (c("n") > 0)})
+    rows = rows.withColumn("in_spec", F.when(c("settled"), none).otherwise(F.filter("core", in_spec)))
     rows = rows.withColumns({
-        "named": F.size(F.filter("hits", lambda h: h["n"])), "specced": F.size(F.filter("hits", lambda h: h["s"])), "n": F.size("core"),
-        "whole": F.forall("hits", lambda h: h["n"] | h["s"]), "within": F.forall("hcore", in_request), "like": F.coalesce("like", F.lit(0.0)),
+        "specced": F.size("in_spec"), "whole": F.forall("core", lambda w: F.array_contains("in_name", w) | F.array_contains("in_spec", w)),
+        "within": ~c("settled") & F.forall("hcore", in_request),
     })
-    long = F.filter("numbers", lambda x: F.length(x) >= 5)
-    typed = F.concat("mtoks", F.when(c("codelike"), F.array("t")).otherwise(none), long)
-    same = (c("code") != "") & F.exists(typed, lambda x: strip(x) == c("code"))
-    inside = (c("model") != "") & F.exists(typed, lambda x: F.contains(c("model"), x))
+    same = (c("code") != "") & F.array_contains("stripped", c("code"))
+    inside = (c("model") != "") & F.exists("typed", lambda x: F.contains(c("model"), x))
     tax = (c("hsn") != "") & F.exists("hsns", lambda h: c("hsn").startswith(h))
     forgiving = (F.size("short") > 0) | c("digit")
     n, named, specced = c("n"), c("named"), c("specced")
     enough = (specced >= 1) & (specced >= F.when(forgiving, n - 1).otherwise(n)) & (((specced == n) & (n > 1)) | forgiving)
     tier = (
-        F.when((c("tn") != "") & ((c("tn") == normal(c("name"))) | (c("tn") == normal(c("human")))), "exact").when(same, "model").when(inside, "model~").when(tax, "hsn")
+        F.when((c("tn") != "") & ((c("tn") == c("name_key")) | (c("tn") == c("human_key"))), "exact").when(same, "model").when(inside, "model~").when(tax, "hsn")
         .when((n > 0) & (named == n), "name").when((n > 1) & ((named > 0) | (c("like") >= s.like_anchor)) & c("whole"), "name+spec")
         .when((F.size("hcore") > 0) & c("within") & ((F.size("hcore") >= 2) | (n < 2)), "rname").when((named > 0) & (named >= n * s.part_share), "part")
         .when((n > 0) & enough, "spec").when(c("like") >= s.like_only, "sem")
@@ -405,7 +405,7 @@ def resolve(requests: DataFrame, products: DataFrame, k: int = 15, history: Data
     similar: phrase, id, like (0 to 1). Lines that only name a brand or catalogue keep one row of tier ``context``.
     """
     s = scores or Scores()
-    req = materialize(requests_of(requests), "cascade-requests")
+    req = materialize(requests_of(requests).withColumn("r", F.monotonically_increasing_id()), "cascade-requests")
     prod = materialize(products_of(products), "cascade-products")
     prefs = materialize(preferences(req, products), "cascade-preferences")
     pairs = word_candidates(_without_file_words(req, prefs), prod, s.part_share).unionByName(reverse_candidates(req, prod)).unionByName(code_candidates(req, prod))
@@ -415,7 +415,8 @@ def resolve(requests: DataFrame, products: DataFrame, k: int = 15, history: Data
         pairs = pairs.unionByName(like.filter(F.col("like") >= s.like_anchor).select("r", "id"))
     pairs = materialize(pairs.distinct(), "cascade-pairs")
     pairs = pairs.join(like, ["r", "id"], "left") if like is not None else pairs.withColumn("like", F.lit(0.0))
-    rows = pairs.join(req, "r").join(prefs.drop("phrases"), "r", "left").join(prod, "id")
+    # Pairs are narrow while they meet the products, the larger side.
+    rows = pairs.join(prod, "id").join(req.join(prefs.drop("phrases"), "r", "left"), "r")
     if history is not None:
         past = history.select(F.trim(F.lower("phrase")).alias("t"), F.trim(F.lower("product")).alias("name"), F.trim(F.lower(F.coalesce("model", F.lit("")))).alias("model"), "times")
         rows = rows.join(past.groupBy("t", "name", "model").agg(F.sum("times").alias("times")), ["t", "name", "model"], "left")
@@ -425,7 +426,8 @@ def resolve(requests: DataFrame, products: DataFrame, k: int = 15, history: Data
     ranked = _cheapest_first(_narrowed(judged, s), s).filter(F.col("rank") <= k)
     found = ranked.select("r", "id", "tier", "score", "rank")
     label = F.col("label") if "label" in requests.columns else F.lit(None).cast("string")
-    asked = requests.select("request", F.sha2(F.to_json(F.struct(F.coalesce(F.trim(F.lower("phrase")), F.lit("")).alias("t"), F.trim(F.lower(label)).alias("label"))), 256).alias("r"))
+    asked = requests.select("request", F.coalesce(F.trim(F.lower("phrase")), F.lit("")).alias("phrase_"), F.trim(F.lower(label)).alias("label_"))
+    asked = asked.join(req.select("r", "t", "label"), F.col("phrase_").eqNullSafe(F.col("t")) & F.col("label_").eqNullSafe(F.col("label"))).select("request", "r")
     lines = context_lines(req, prefs).withColumn("context", F.lit(True))
     rows = asked.join(lines, "r", "left").join(found.join(lines, "r", "left_anti"), "r", "left")
     return rows.select("request", "id", F.coalesce("tier", F.when(F.col("context"), "context"), F.lit("not_found")).alias("tier"), "score", "rank")
