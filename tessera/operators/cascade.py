@@ -9,7 +9,8 @@ Candidates come by equal keys only, and every row that has a tier is among them,
 * names that stand inside the request by their rarest word alone;
 * rows of like meaning, where a table of similarities is given.
 
-A pair is then judged on the words of both sides, kept as arrays (see ``covered``). Requests are
+Which words which texts cover is told once for each different word and text (see ``covering``); a pair is
+then judged on arrays of words. Requests are
 resolved once for each different phrase and label, so a phrase may be a third of all rows.
 """
 
@@ -27,6 +28,8 @@ from tessera.scratch import materialize
 
 #: Letters and words that a joined word is compared over.
 JOINED_LETTERS, JOINED_WORDS = 60, 30
+#: Pairs of request and product that one task judges.
+PAIRS_A_TASK = 50_000
 
 
 @dataclass(frozen=True)
@@ -150,7 +153,7 @@ def requests_of(requests: DataFrame) -> DataFrame:
     rows = rows.select(
         F.xxhash64("t", "label").alias("r"), "t", "label", plain_words(F.col("t")).alias("core"), models.alias("mtoks"), numbers.alias("numbers"), hsn.alias("hsns"),
         F.filter(F.regexp_extract_all("t", F.lit("[a-z0-9]+"), F.lit(0)), lambda w: w.rlike("^[a-z]{2}$") & ~w.isin(R.UNITS)).alias("short"),
-        digit.alias("digit"), ((F.length("t") >= 4) & digit).alias("codelike"), normal(F.col("t")).alias("tn"), tokens(F.col("t")).alias("ttoks"), starts(F.col("t")).alias("tstarts"),
+        digit.alias("digit"), ((F.length("t") >= 4) & digit).alias("codelike"), normal(F.col("t")).alias("tn"),
         # A label that equals the phrase, or none, anchors nothing.
         F.when(F.col("label").isNotNull() & (F.col("label") != F.col("t")), own).otherwise(F.array().cast("array<string>")).alias("anchor"),
     )
@@ -191,7 +194,7 @@ def products_of(products: DataFrame) -> DataFrame:
         rows = rows.join(kept(column, keep, how), ["brand", column], "left")
     none = F.array().cast("array<string>")
     return rows.withColumns({
-        "ntoks": tokens(F.col("name")), "nstarts": starts(F.col("name")), "stoks": tokens(F.col("spec")), "sstarts": starts(F.col("spec")), "hcore": R.core_words(F.col("human")),
+        "ntoks": tokens(F.col("name")), "hcore": R.core_words(F.col("human")),
         "human_added": F.coalesce("human_added", none), "spec_added": F.coalesce("spec_added", none), "code": F.regexp_replace("model", "[^a-z0-9]", ""), "name_key": normal(F.col("name")), "human_key": normal(F.col("human")),
     })
 
@@ -203,15 +206,28 @@ def _grams(s: Column, n: int) -> Column:
     return F.when(F.length(s) >= n, F.transform(F.sequence(F.lit(1), F.length(s) - n + 1), lambda i: F.substr(s, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
 
 
-def word_candidates(req: DataFrame, prod: DataFrame, share: float = Scores.part_share) -> DataFrame:
+def covered_words(req: DataFrame, prod: DataFrame) -> dict[str, DataFrame]:
+    """By side, (word, text, rows): which of the requests' words each different name and specification covers, and how many products have it."""
+    words = req.select(F.explode(F.concat("core", "anchor")).alias("word"))
+    out = {}
+    for side in ("name", "spec"):
+        texts = prod.groupBy(side).agg(F.count("*").alias("rows")).withColumnRenamed(side, "text").filter("text <> ''")
+        out[side] = materialize(covering(words, texts).join(texts, "text"), f"cascade-{side}")
+    return out
+
+
+def _with_words(rows: DataFrame, column: str, hits: DataFrame, name: str) -> DataFrame:
+    """``rows`` with the words that the text in ``column`` covers: at most a form or a start of each of its own."""
+    lists = hits.groupBy(F.col("text").alias(column)).agg(F.collect_set("word").alias(name))
+    return rows.join(lists, column, "left").withColumn(name, F.coalesce(name, F.array().cast("array<string>")))
+
+
+def word_candidates(req: DataFrame, prod: DataFrame, share: float = Scores.part_share, hits: dict[str, DataFrame] | None = None) -> DataFrame:
     """(r, id) of the rows that can cover enough of a request's words, by its rarest words."""
+    hits = hits or covered_words(req, prod)
     words = req.select("r", F.size("core").alias("n"), (F.size("short") > 0).alias("short"), "digit", F.explode("core").alias("word"))
     words = words.groupBy("r", "word").agg(F.max("n").alias("n"), F.max("short").alias("short"), F.max("digit").alias("digit"), F.count("*").alias("times"))
-    sides = {}
-    for side in ("name", "spec"):
-        texts = prod.groupBy(side).agg(F.count("*").alias("rows")).withColumnRenamed(side, "text").filter("text <> ''")
-        hits = materialize(covering(words, texts).join(texts, "text"), f"cascade-{side}")
-        sides[side] = hits, hits.groupBy("word").agg(F.sum("rows").alias(f"{side}_rows"))
+    sides = {side: (rows, rows.groupBy("word").agg(F.sum("rows").alias(f"{side}_rows"))) for side, rows in hits.items()}
     zero = {f"{s}_rows": F.coalesce(f"{s}_rows", F.lit(0)) for s in sides}
     words = words.join(sides["name"][1], "word", "left").join(sides["spec"][1], "word", "left").withColumns(zero)
     order = lambda by: Window.partitionBy("r").orderBy(by, "word")
@@ -300,9 +316,9 @@ def context_lines(req: DataFrame, prefs: DataFrame) -> DataFrame:
 def _judged(pairs: DataFrame, s: Scores) -> DataFrame:
     """Pairs with a tier: tier, score, extra (words the request did not ask for), boosted."""
     c = F.col
-    in_name = lambda w: covered(w, c("ntoks"), c("nstarts"))
-    in_spec = lambda w: covered(w, c("stoks"), c("sstarts"))
-    in_request = lambda w: covered(w, c("ttoks"), c("tstarts"))
+    in_name = lambda w: F.array_contains("nwords", w)
+    in_spec = lambda w: F.array_contains("swords", w)
+    in_request = lambda w: F.array_contains("twords", w)
     none = F.array().cast("array<string>")
     # The word of a preferred catalogue has done its job.
     rows = pairs.withColumn("core", F.filter("core", lambda w: ~F.array_contains(F.coalesce(c("words"), none), w)))
@@ -408,15 +424,23 @@ def resolve(requests: DataFrame, products: DataFrame, k: int = 15, history: Data
     req = materialize(requests_of(requests).withColumn("r", F.monotonically_increasing_id()), "cascade-requests")
     prod = materialize(products_of(products), "cascade-products")
     prefs = materialize(preferences(req, products), "cascade-preferences")
-    pairs = word_candidates(_without_file_words(req, prefs), prod, s.part_share).unionByName(reverse_candidates(req, prod)).unionByName(code_candidates(req, prod))
+    hits = covered_words(req, prod)
+    pairs = word_candidates(_without_file_words(req, prefs), prod, s.part_share, hits).unionByName(reverse_candidates(req, prod)).unionByName(code_candidates(req, prod))
     like = None
     if similar is not None:
         like = req.select("r", "t").join(similar.select(F.trim(F.lower("phrase")).alias("t"), "id", "like"), "t").groupBy("r", "id").agg(F.max("like").alias("like"))
         pairs = pairs.unionByName(like.filter(F.col("like") >= s.like_anchor).select("r", "id"))
     pairs = materialize(pairs.distinct(), "cascade-pairs")
     pairs = pairs.join(like, ["r", "id"], "left") if like is not None else pairs.withColumn("like", F.lit(0.0))
+    for side, name in (("name", "nwords"), ("spec", "swords")):
+        prod = _with_words(prod, side, hits[side], name)
+    own = prod.select(F.explode(F.array_distinct(F.concat("hcore", "human_added", "spec_added"))).alias("word"))
+    back = materialize(covering(own, req.select(F.col("t").alias("text"))), "cascade-back")
+    asks = materialize(_with_words(req.join(prefs.drop("phrases"), "r", "left"), "t", back, "twords"), "cascade-asks")
     # Pairs are narrow while they meet the products, the larger side.
-    rows = pairs.join(prod, "id").join(req.join(prefs.drop("phrases"), "r", "left"), "r")
+    # Judging a pair costs more than its bytes tell, so it is dealt by numbers of pairs.
+    lanes = -(-pairs.count() // PAIRS_A_TASK) or 1
+    rows = pairs.repartition(lanes, "id").join(prod, "id").join(asks, "r")
     if history is not None:
         past = history.select(F.trim(F.lower("phrase")).alias("t"), F.trim(F.lower("product")).alias("name"), F.trim(F.lower(F.coalesce("model", F.lit("")))).alias("model"), "times")
         rows = rows.join(past.groupBy("t", "name", "model").agg(F.sum("times").alias("times")), ["t", "name", "model"], "left")
