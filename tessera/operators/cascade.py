@@ -434,6 +434,7 @@ def resolve(requests: DataFrame, products: DataFrame, k: int = 15, history: Data
     pairs = pairs.join(like, ["r", "id"], "left") if like is not None else pairs.withColumn("like", F.lit(0.0))
     for side, name in (("name", "nwords"), ("spec", "swords")):
         prod = _with_words(prod, side, hits[side], name)
+    prod = materialize(prod, "cascade-offers")  # its size decides how it is joined
     own = prod.select(F.explode(F.array_distinct(F.concat("hcore", "human_added", "spec_added"))).alias("word"))
     back = materialize(covering(own, req.select(F.col("t").alias("text"))), "cascade-back")
     asks = materialize(_with_words(req.join(prefs.drop("phrases"), "r", "left"), "t", back, "twords"), "cascade-asks")
