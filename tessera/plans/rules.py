@@ -198,8 +198,7 @@ def hard_qualifiers(spark, sf):
     size = F.col("size").cast("string")
     p = c.select("id", F.split_part("product", F.lit(" "), F.lit(2)).alias("head"), F.concat("product", F.lit(" "), size, F.when(F.col("id") % 2 == 0, " CM").otherwise(".0cm")).alias("name"))
     r = c.filter("file_name = 'file1'").select(F.col("id").alias("request"), F.split_part("product", F.lit(" "), F.lit(2)).alias("head"), F.concat_ws(" ", "product", F.concat(size, F.lit("cm"))).alias("phrase"))
-    r = r.withColumn("groups", R.qualifier_groups(F.col("phrase")))
-    return r.join(p, "head").filter(R.qualified(F.col("groups"), F.col("name"))).select("request", "id")
+    return R.carrying(r, p)
 
 
 @query(f"""WITH {CATALOGUE_SQL}, r AS (SELECT brand AS request, id, product || ' ' || size || 'cm' AS name, min(size) OVER (PARTITION BY brand) AS n FROM cat),

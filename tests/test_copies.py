@@ -80,3 +80,15 @@ def test_copies_in_suggestions(spark):
     out = R.suggestions(asks(spark, "trays round"), goods(spark))
     assert widest(spark, out.collect) <= 6 * N
     assert {tuple(r) for r in out.select("id", "score", "rank").distinct().collect()} == {(i, 3040, k) for k, i in enumerate((1, 2, 4, 5, 7, 8), 1)}
+
+
+def test_qualifiers_are_told_once_for_each_text(spark):
+    """Rows that don't carry the size never meet the requests."""
+    asked = asks(spark, "tray 5cm").withColumn("head", F.lit("tray"))
+    names = goods(spark).select("id", F.lit("tray").alias("head"), F.concat(F.lit("tray "), (F.col("id") % 100).cast("string"), F.lit(".0 CM")).alias("name"))
+    out = R.carrying(asked, names)
+    assert widest(spark, out.collect) <= N * 4
+    assert sorted(r["id"] for r in out.filter("request = 3").collect()) == [5, 105, 205, 305]
+    odd = spark.createDataFrame([(1, "h", "pan 2.5"), (2, "h", "lid ab-12"), (3, "h", "cup"), (4, "h", '3 " tin 1/2')], "request int, head string, phrase string")
+    have = spark.createDataFrame([(1, "h", "pan 2.50 x"), (2, "h", "LID AB-12"), (3, "h", '13" 1/2'), (4, "h", '3" of 1/2')], "id int, head string, name string")
+    assert {tuple(r) for r in R.carrying(odd, have).collect()} == {(1, 1), (2, 2), *((3, i) for i in (1, 2, 3, 4)), (4, 4)}
