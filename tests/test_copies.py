@@ -94,6 +94,16 @@ def test_qualifiers_are_told_once_for_each_text(spark):
     assert {tuple(r) for r in R.carrying(odd, have).collect()} == {(1, 1), (2, 2), *((3, i) for i in (1, 2, 3, 4)), (4, 4)}
 
 
+def test_pairs_of_candidates_are_not_grouped(spark):
+    rows = goods(spark).filter("id < 30")
+    out = R.candidate_pairs(rows)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate [q#") == 1 and "twice" in plan
+    assert out.count() == 30 * 29 and out.filter("source = 1 and n_sources = 2").count() == 30 * 29
+    odd = spark.createDataFrame([(1, "m", "b", 1, "s"), (1, "m", "b", 1, "s"), (2, "m", "b", 1, "s"), (3, None, "b", 1, "s"), (4, None, "c", 1, "s")], "id int, model string, brand string, size int, spec string")
+    assert {tuple(r) for r in R.candidate_pairs(odd).collect()} == {(1, 2, 1, 4), (2, 1, 1, 4), (1, 3, 2, 2), (3, 1, 2, 2), (2, 3, 2, 1), (3, 2, 2, 1)}
+
+
 def test_codes_meet_models_once(spark):
     codes = spark.range(N).select(F.col("id").alias("request"), F.lit("X-C7").alias("code"))
     out = match.code_lookup(codes, goods(spark, model="xc7").unionByName(goods(spark, model="c7")))
