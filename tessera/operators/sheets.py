@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.scratch import materialize
+
 # Label words of a header row, ordered column names with exclusions, hints.
 NAME_LABELS = "PRODUCT|ITEM NAME|ITEM CODE|MATERIAL DESCRI|DESCRIPTION"
 FIELD_LABELS = "PRICE|QTY|QUANTITY|MODEL|AMOUNT|RATE|MRP"
@@ -37,12 +39,22 @@ def label(v: Column) -> Column:
 def header_rows(cells: DataFrame) -> DataFrame:
     """(sheet, r): first row of a sheet that names a product and a field."""
     v = label(F.col("v"))
-    rows = cells.groupBy("sheet", "r").agg(F.bool_or(v.rlike(NAME_LABELS) | (v == "ITEM")).alias("named"), F.bool_or(v.rlike(FIELD_LABELS)).alias("field"))
+    # Cells that name nothing are left out before rows are grouped.
+    rows = cells.select("sheet", "r", (v.rlike(NAME_LABELS) | (v == "ITEM")).alias("named"), v.rlike(FIELD_LABELS).alias("field")).filter("named or field")
+    rows = rows.groupBy("sheet", "r").agg(F.bool_or("named").alias("named"), F.bool_or("field").alias("field"))
     return rows.filter("named and field").groupBy("sheet").agg(F.min("r").alias("r"))
 
 
+def _within(cells: DataFrame, rows: DataFrame, first: int, last: int) -> DataFrame:
+    """Cells from ``first`` rows below the topmost of ``rows`` to ``last`` below the lowest: the others can't meet them, and aren't shuffled."""
+    ends = rows.agg((F.min("r") + first).alias("_lo"), (F.max("r") + last).alias("_hi"))
+    return cells.join(F.broadcast(ends), (F.col("r") >= F.col("_lo")) & (F.col("r") <= F.col("_hi"))).drop("_lo", "_hi")
+
+
 def header_cells(cells: DataFrame) -> DataFrame:
-    return cells.join(header_rows(cells), ["sheet", "r"]).select("sheet", "r", "c", label(F.col("v")).alias("label"))
+    """(sheet, r, c, label) of the header rows, written once: what is made of them is small beside the cells."""
+    heads = materialize(header_rows(cells), "sheets-header-rows")
+    return materialize(_within(cells, heads, 0, 0).join(heads, ["sheet", "r"]).select("sheet", "r", "c", label(F.col("v")).alias("label")), "sheets-headers")
 
 
 def resolve_columns(heads: DataFrame) -> DataFrame:
@@ -62,7 +74,7 @@ def described(heads: DataFrame, aliases: DataFrame, learned: DataFrame) -> DataF
 
 def column_report(cells: DataFrame, columns: DataFrame) -> DataFrame:
     """``described`` columns with the first sample that is not blank in the SAMPLE_ROWS rows below the header."""
-    below = cells.filter(F.trim("v") != "").join(columns.select("sheet", "c", F.col("r").alias("h")), ["sheet", "c"])
+    below = _within(cells, columns, 1, SAMPLE_ROWS).filter(F.trim("v") != "").join(columns.select("sheet", "c", F.col("r").alias("h")), ["sheet", "c"])
     below = below.filter((F.col("r") > F.col("h")) & (F.col("r") <= F.col("h") + SAMPLE_ROWS))
     sample = below.groupBy("sheet", "c").agg(F.min_by("v", F.struct("r", "v")).alias("sample"))
     return columns.join(sample, ["sheet", "c"], "left").select("sheet", "c", "label", "field", "source", "sample")
@@ -94,10 +106,24 @@ def suggest_fields(labels: DataFrame, aliases: dict[str, str]) -> DataFrame:
 
 def parsed_rows(cells: DataFrame, columns: DataFrame, heads: DataFrame) -> DataFrame:
     """(sheet, r, product, model, qty, price, gst) of rows below the header; blank products leave, a zero price is none, tax is scaled."""
-    below = cells.join(heads.withColumnRenamed("r", "h"), "sheet").filter("r > h")
-    fields = below.join(columns, ["sheet", "c"]).groupBy("sheet", "r").agg(
-        *[F.max(F.when(F.col("field") == f, F.trim("v"))).alias(f) for f in ("product", "model", "qty", "price", "gst")]
-    )
+    return parsed_lines(cells.select("sheet", "r", F.array(F.struct("c", "v")).alias("cells")), columns, heads)
+
+
+def line_fields(lines: DataFrame, columns: DataFrame, heads: DataFrame, fields: list[str], value=lambda v: v) -> DataFrame:
+    """(sheet, r, *fields) of the lines (sheet, r, cells) below their sheet's header: the largest value of each field's columns.
+
+    Lines meet one row of their sheet, so they are shuffled once, by sheet; rows that stand in several lines come together there.
+    """
+    of = columns.groupBy("sheet").agg(F.collect_set("c").alias("_all"), *[F.collect_set(F.when(F.col("field") == f, F.col("c"))).alias(f"_{f}") for f in fields])
+    of = heads.select("sheet", F.col("r").alias("_h")).join(of, "sheet")
+    found = lambda f: F.array_max(F.transform(F.filter("cells", lambda x: F.array_contains(F.col(f"_{f}"), x["c"])), lambda x: value(x["v"])))
+    rows = lines.join(of, "sheet").filter((F.col("r") > F.col("_h")) & F.arrays_overlap("cells.c", "_all")).select("sheet", "r", *[found(f).alias(f) for f in fields])
+    return rows.groupBy("sheet", "r").agg(*[F.max(f).alias(f) for f in fields])
+
+
+def parsed_lines(lines: DataFrame, columns: DataFrame, heads: DataFrame) -> DataFrame:
+    """``parsed_rows`` of lines (sheet, r, cells: array<struct<c, v>>)."""
+    fields = line_fields(lines, columns, heads, ["product", "model", "qty", "price", "gst"], F.trim)
     price = F.nullif(F.expr("try_cast(price as decimal(18,2))"), F.lit(0).cast("decimal(18,2)"))
     gst = F.expr("try_cast(gst as double)")
     return fields.filter("product <> ''").select(

@@ -94,13 +94,15 @@ LABELS_SQL = """SELECT * FROM (VALUES
 LEARNED_SQL = "SELECT * FROM (VALUES ('TAX','gst'),('RATE','price'),('ITEM','product')) AS t(label, field)"
 
 
-def sheet_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A sheet for each supplier (sheet, r, c, v): titles, header in row 5, its lines as rows, and a footer."""
+def sheet_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``sheet_cells`` as lines (sheet, r, cells: array<struct<c, v>>); a row's cells may stand in several lines."""
     s = table(spark, sf_dir, "supplier").withColumn("sheet", F.concat(F.lit("S"), F.col("s_suppkey").cast("string")))
-    cell = lambda r, c, v: F.struct(F.lit(r).cast("long").alias("r"), F.lit(c).alias("c"), v.alias("v"))
-    titles = [cell(1, 1, F.lit("Offer for kitchen")), cell(2, 1, F.lit("To")), cell(3, 1, F.col("s_name")), cell(4, 1, F.lit("Date")), cell(10**12, 1, F.lit("Grand Total"))]
+    one = lambda c, v: F.struct(F.lit(c).alias("c"), v.alias("v"))
+    line = lambda r, v: F.struct(F.lit(r).cast("long").alias("r"), F.array(one(1, v)).alias("cells"))
+    titles = [line(1, F.lit("Offer for kitchen")), line(2, F.lit("To")), line(3, F.col("s_name")), line(4, F.lit("Date")), line(10**12, F.lit("Grand Total"))]
     top = s.select("sheet", F.inline(F.array(*titles)))
-    head = s.join(F.broadcast(spark.sql(LABELS_SQL)), F.col("s_suppkey") % 4 == F.col("kind")).select("sheet", F.lit(5).cast("long").alias("r"), "c", F.col("label").alias("v"))
+    head = s.join(F.broadcast(spark.sql(LABELS_SQL)), F.col("s_suppkey") % 4 == F.col("kind"))
+    head = head.select("sheet", F.lit(5).cast("long").alias("r"), F.array(F.struct("c", F.col("label").alias("v"))).alias("cells"))
     k = F.col("l_partkey")
     price = F.when(F.col("l_linenumber") == 7, "n/a").otherwise(F.col("l_extendedprice").cast(MONEY).cast("string"))
     values = [
@@ -108,13 +110,16 @@ def sheet_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_quantity").cast("int").cast("string"), price, F.col("l_tax").cast("decimal(4,2)").cast("string"),
     ]
     at = F.col("l_orderkey") * 10 + F.col("l_linenumber") + 6
-    body = table(spark, sf_dir, "lineitem").select(
-        F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("sheet"), at.alias("r"),
-        F.inline(F.array(*[F.struct(F.lit(i).alias("c"), v.alias("v")) for i, v in enumerate(values, 1)])),
-    )
+    cells = F.array(*[one(i, v) for i, v in enumerate(values, 1)])
+    body = table(spark, sf_dir, "lineitem").select(F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("sheet"), at.alias("r"), cells.alias("cells"))
     return top.unionByName(head).unionByName(body)
 
 
+def sheet_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sheet for each supplier (sheet, r, c, v): titles, header in row 5, its lines as rows, and a footer."""
+    return sheet_lines(spark, sf_dir).select("sheet", "r", F.inline("cells"))
+
+
 SHEETS_SQL = f"""labels_ AS ({LABELS_SQL}), cells AS (
   SELECT 'S' || s_suppkey AS sheet, CAST(t.r AS BIGINT) AS r, 1 AS c, coalesce(t.v, s_name) AS v
   FROM supplier, (VALUES (1, 'Offer for kitchen'), (2, 'To'), (3, NULL), (4, 'Date'), (1000000000000, 'Grand Total')) AS t(r, v)

@@ -1,6 +1,7 @@
 """Many copies: results on tables of copies with shifted keys, and the rows that a plan makes on the way."""
 
 import os
+import time
 
 import compare
 import duckdb
@@ -50,7 +51,7 @@ def widest(spark, run):
     return most
 
 
-@pytest.mark.parametrize("name", ["resolve_requests", "loose_suggestions", "hard_qualifiers", "candidate_union", "code_suffix_lookup", "prefix_pool"])
+@pytest.mark.parametrize("name", ["resolve_requests", "loose_suggestions", "hard_qualifiers", "candidate_union", "code_suffix_lookup", "prefix_pool", "matched_rows", "best_sheet", "sheet_rows", "column_report"])
 def test_same_as_sql_on_copies(spark, copied, name):
     compare.same(spark, name, QUERIES[name], ORACLE_SQL[name], copied)
 
@@ -117,3 +118,29 @@ def test_pool_scores_classes(spark):
     out = match.prefix_pool(spark.range(N).select(F.col("id").alias("request"), ways.alias("phrase")), docs, k=20)
     assert widest(spark, out.collect) <= 25 * N
     assert [r["id"] for r in out.filter("request = 6").orderBy("rank").collect()] == [7, 107, 207, 307, *range(7), *range(8, 17)]
+
+
+def moved(spark, run):
+    """Bytes that ``run()`` writes for shuffles."""
+    jsc = spark.sparkContext._jsc.sc()
+
+    def written():
+        jsc.listenerBus().waitUntilEmpty()
+        time.sleep(1)
+        tracks = jsc.statusStore().executorList(False)
+        return sum(tracks.apply(i).totalShuffleWrite() for i in range(tracks.size()))
+
+    before = written()
+    run()
+    return written() - before
+
+
+@pytest.mark.parametrize("name, bytes_", [("matched_rows", 80), ("best_sheet", 80), ("sheet_rows", 80), ("column_report", 8)])
+def test_sheets_are_shuffled_once(spark, copied, name, bytes_):
+    """Bytes of shuffle for each line, where nothing is small enough to be broadcast."""
+    lines = spark.read.parquet(f"{copied}/lineitem.parquet").count()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert moved(spark, lambda: QUERIES[name](spark, copied).write.format("noop").mode("overwrite").save()) < bytes_ * lines
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
