@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from tessera.operators import ingest
 from tessera.operators import sheets as S
 from tessera.plans.registry import doubles, query
-from tessera.sources.catalogue import ALIASES_SQL, LEARNED_SQL, SHEETS_SQL, sheet_cells, table
+from tessera.scratch import materialize
+from tessera.sources.catalogue import ALIASES_SQL, LEARNED_SQL, SHEETS_SQL, sheet_cells, sheet_lines, table
 
 HEADS_SQL = f"""{SHEETS_SQL}, named AS (
   SELECT sheet, r FROM cells GROUP BY sheet, r
@@ -35,9 +36,8 @@ def _described(spark, cells):
     return S.described(S.header_cells(cells), aliases, spark.sql(LEARNED_SQL))
 
 
-def _parsed(cells):
-    heads = S.header_cells(cells)
-    return S.parsed_rows(cells, S.resolve_columns(heads), heads.select("sheet", "r").distinct())
+def _parsed(lines, heads):
+    return S.parsed_lines(lines, S.resolve_columns(heads), heads.select("sheet", "r").distinct())
 
 
 @query(f"WITH {HEADS_SQL} SELECT sheet, r FROM header")
@@ -80,16 +80,19 @@ best AS (SELECT place % 3 AS workbook, arg_max(sheet, n * 1000000 - place) AS sh
 SELECT workbook, sheet, count(*) AS n_rows, count(price) AS priced, CAST(sum(price) AS DOUBLE) AS three_star, CAST(sum(price) AS DOUBLE) AS four_star, round(max(gst), 4) AS most_gst
 FROM best JOIN parsed USING (sheet) GROUP BY workbook, sheet""")
 def best_sheet(spark, sf):
-    cells = sheet_cells(spark, sf)
-    best = S.best_sheets(S.resolve_columns(S.header_cells(cells)), F.regexp_extract("sheet", "([0-9]+)$", 1).cast("long") % 3)
-    rows = _parsed(cells).join(best, "sheet")  # a single price fills both tiers
+    heads = S.header_cells(sheet_cells(spark, sf))
+    best = S.best_sheets(S.resolve_columns(heads), F.regexp_extract("sheet", "([0-9]+)$", 1).cast("long") % 3)
+    best = materialize(best, "best-sheets")
+    # Only the lines of the best sheets are parsed.
+    rows = _parsed(sheet_lines(spark, sf).join(best.select("sheet"), "sheet", "left_semi"), heads).join(best, "sheet")  # a single price fills both tiers
     out = rows.groupBy("workbook", "sheet").agg(F.count("*").alias("n_rows"), F.count("price").alias("priced"), F.sum("price").alias("three_star"), F.round(F.max("gst"), 4).alias("most_gst"))
     return doubles(out.withColumn("four_star", F.col("three_star")), "three_star", "four_star")
 
 
 @query(f"WITH {PARSED_SQL} SELECT sheet AS category, r, product, CAST(price AS DOUBLE) AS price, row_number() OVER (PARTITION BY sheet ORDER BY r) AS serial FROM parsed WHERE price > 0")
 def matched_rows(spark, sf):
-    return doubles(S.renumbered(_parsed(sheet_cells(spark, sf))).select("category", "r", "product", "price", "serial"), "price")
+    rows = _parsed(sheet_lines(spark, sf), S.header_cells(sheet_cells(spark, sf)))
+    return doubles(S.renumbered(rows).select("category", "r", "product", "price", "serial"), "price")
 
 
 @query(f"""WITH {HEADS_SQL}, m AS (SELECT sheet, min(r) FILTER (lower(trim(v)) = 'to') AS bill_to, min(r) FILTER (lower(trim(v)) LIKE 'date%') AS date,
