@@ -6,9 +6,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as X
+from tessera.operators import sheets as S
+from tessera.scratch import materialize
 
 
-def header_rows(cells: DataFrame, aliases: DataFrame, scan: int = 25) -> DataFrame:
+#: Fixed value: rows of a sheet that are looked at for its header.
+SCAN = 25
+
+
+def header_rows(cells: DataFrame, aliases: DataFrame, scan: int = SCAN) -> DataFrame:
     """Header row of each sheet: among the first rows the one that names most fields, product among them."""
     named = cells.filter(F.col("r") <= scan).join(aliases, X.norm_header(F.col("v")) == F.col("label"))
     score = named.groupBy("sheet", "r").agg(F.countDistinct("field").alias("fields"), F.max((F.col("field") == "product").cast("int")).alias("has_product"))
@@ -18,16 +24,21 @@ def header_rows(cells: DataFrame, aliases: DataFrame, scan: int = 25) -> DataFra
 
 def column_map(cells: DataFrame, aliases: DataFrame) -> DataFrame:
     """(sheet, field, c): the column of each field, by alias priority and then place."""
-    head = cells.join(header_rows(cells, aliases).select("sheet", "r"), ["sheet", "r"]).join(aliases, X.norm_header(F.col("v")) == F.col("label"))
+    head = cells.filter(F.col("r") <= SCAN).join(header_rows(cells, aliases).select("sheet", "r"), ["sheet", "r"]).join(aliases, X.norm_header(F.col("v")) == F.col("label"))
     best = Window.partitionBy("sheet", "field").orderBy("priority", "c")
     return head.withColumn("k", F.row_number().over(best)).filter("k = 1").select("sheet", "field", "c")
 
 
-def sheet_rows(cells: DataFrame, aliases: DataFrame) -> DataFrame:
-    """Data rows with fields as columns: totals and section labels go, blank and OPTION products inherit the last one."""
-    heads = header_rows(cells, aliases).select("sheet", F.col("r").alias("head"))
-    own = cells.join(heads, "sheet").filter("r > head").join(column_map(cells, aliases), ["sheet", "c"])
-    rows = own.groupBy("sheet", "r").pivot("field", ["product", "model", "qty", "price", "gst", "brand", "hsn"]).agg(F.max("v"))
+def sheet_rows(cells: DataFrame, aliases: DataFrame, lines: DataFrame | None = None) -> DataFrame:
+    """Data rows with fields as columns: totals and section labels go, blank and OPTION products inherit the last one.
+
+    ``lines`` may give the cells as rows (sheet, r, cells: array<struct<c, v>>), which are less to shuffle.
+    """
+    heads = materialize(header_rows(cells, aliases).select("sheet", "r"), "ingest-header-rows")
+    columns = materialize(column_map(cells, aliases), "ingest-columns")
+    if lines is None:
+        lines = cells.select("sheet", "r", F.array(F.struct("c", "v")).alias("cells"))
+    rows = S.line_fields(lines, columns, heads, ["product", "model", "qty", "price", "gst"])
     label = F.coalesce(F.trim("product"), F.lit(""))
     rows = rows.filter(~F.lower(label).rlike("^(grand |sub)?total|^summary") & ~label.rlike(":-?$"))
     named = F.when((label != "") & (F.upper(label) != "OPTION"), label)

@@ -13,7 +13,7 @@ from tessera.functions import money as M
 from tessera.functions import text as X
 from tessera.operators import history, hygiene, ingest, match, pricing, vectors
 from tessera.operators.numbering import numbered
-from tessera.sources.catalogue import ALIASES_SQL, CATALOGUE_SQL, EVIDENCE_SQL, LINES_SQL, SHEETS_SQL, catalogue, evidence, quote_lines, sheet_cells, table
+from tessera.sources.catalogue import ALIASES_SQL, CATALOGUE_SQL, EVIDENCE_SQL, LINES_SQL, SHEETS_SQL, catalogue, evidence, quote_lines, sheet_cells, sheet_lines, table
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -514,7 +514,7 @@ SELECT sheet, r, last_value(CASE WHEN label <> '' AND upper(label) <> 'OPTION' T
 CASE WHEN coalesce(TRY_CAST(qty AS DOUBLE), 0) = 0 THEN 1.0 ELSE TRY_CAST(qty AS DOUBLE) END AS qty, coalesce(TRY_CAST(price AS DOUBLE), 0.0) AS price,
 coalesce(CASE WHEN TRY_CAST(gst AS DOUBLE) > 0 AND TRY_CAST(gst AS DOUBLE) <= 1 THEN TRY_CAST(gst AS DOUBLE) * 100 ELSE TRY_CAST(gst AS DOUBLE) END, 18.0) AS gst FROM f""")
 def sheet_rows(spark, sf):
-    return ingest.sheet_rows(sheet_cells(spark, sf), spark.sql(ALIASES_SQL))
+    return ingest.sheet_rows(sheet_cells(spark, sf), spark.sql(ALIASES_SQL), sheet_lines(spark, sf))
 
 
 @query(f"""WITH {SHEETS_SQL}, p AS (SELECT sheet, sum(CASE WHEN upper(trim(v)) IN ('HSN CODE','BRAND','UNIT PRICE','PRICE') THEN 1 ELSE 0 END) AS a, sum(CASE WHEN upper(trim(v)) IN ('QTY','SL. NO.','MODEL NO') THEN 1 ELSE 0 END) AS b FROM cells GROUP BY sheet)
