@@ -175,7 +175,11 @@ def prompt_items(s: Column) -> Column:
     A code alone; lines with a quantity at the end (none: 1); or parts between commas with the quantity first. A price limit
     is taken off a line before its quantity is read.
     """
-    p = F.regexp_replace(F.btrim(s, F.lit(" \t\r\n\x0b\x0c")), r"(?i)(?<=\d\d)\s*[x×*]\s*(?=\d{2,4}\b)", "x")
+    whole = F.regexp_replace(F.btrim(s, F.lit(" \t\r\n\x0b\x0c")), r"(?i)(?<=\d\d)\s*[x×*]\s*(?=\d{2,4}\b)", "x")
+    return F.transform(F.array(whole), _items)[0]
+
+
+def _items(p: Column) -> Column:
     code = r"^(\d{6,8})(?:\s+(\d{1,5}))?$"
     number = lambda x: F.nullif(x, F.lit("")).cast("int")
     none = F.lit(None).cast("double")
@@ -185,31 +189,36 @@ def prompt_items(s: Column) -> Column:
     stripped = lambda x: F.btrim(F.btrim(x, F.lit(" \t\r\n\x0b\x0c")), F.lit('"'))
     lines = F.filter(F.transform(F.split(p, r"\r\n|\n|\r"), stripped), lambda x: x != "")
 
-    def open_line(x):
-        """The line without its price limit, if it has one."""
+    # Arrays of one bind what is used several times; as plain expressions it would be computed at each use.
+    once = lambda x, f: F.transform(F.array(x), f)[0]
+
+    def limits(x):
+        """The text without its price limit, if it has one, and the limit."""
         clean, low, high = price_limits(x)
-        return F.when(low.isNotNull() | high.isNotNull(), clean).otherwise(x)
+        y = once(F.struct(clean.alias("clean"), low.alias("low"), high.alias("high")), lambda y: F.struct(y["clean"].alias("clean"), y["low"].alias("low"), y["high"].alias("high"), (y["low"].isNotNull() | y["high"].isNotNull()).alias("any")))
+        return y
 
-    def good(x):
-        t = open_line(x)
-        name = F.regexp_extract(t, LINE, 1)
-        return (F.length(x) <= LINE_MOST) & (~x.rlike(PROSE) | x.rlike(bracket)) & (name != "") & (name.rlike("[A-Za-z]") | F.trim(name).rlike(r"^\d{6,8}$"))
+    def opened(x):
+        """A line as it is read: name, quantity, limit, and whether it is one of a list."""
+        return once(limits(x), lambda y: once(F.when(y["any"], y["clean"]).otherwise(x), lambda t: once(F.regexp_extract(t, LINE, 1), lambda name: F.struct(
+            name.alias("name"), F.coalesce(*[number(F.regexp_extract(t, LINE, g)) for g in (2, 3, 4)]).alias("qty"), y["low"].alias("low"), y["high"].alias("high"),
+            ((F.length(x) <= LINE_MOST) & (~x.rlike(PROSE) | x.rlike(bracket)) & (name != "") & (name.rlike("[A-Za-z]") | F.trim(name).rlike(r"^\d{6,8}$"))).alias("good"),
+        ))))
 
-    def lined(x):
-        t, (_, low, high) = open_line(x), price_limits(x)
-        qty = F.coalesce(*[number(F.regexp_extract(t, LINE, g)) for g in (2, 3, 4)])
-        return item(F.btrim(F.regexp_extract(t, LINE, 1), F.lit(" .-/")), qty, low, high)
+    def lined(y):
+        return item(F.btrim(y["name"], F.lit(" .-/")), y["qty"], y["low"], y["high"])
 
-    listed = (F.size(lines) == 1) & ~lines[0].rlike(bracket) & (lines[0].rlike(r"(?i),|;|\band\b") | lines[0].rlike(r"^\d"))
+    listed = lambda xs: (F.size(xs) == 1) & ~F.get(xs, F.lit(0)).rlike(bracket) & (F.get(xs, F.lit(0)).rlike(r"(?i),|;|\band\b") | F.get(xs, F.lit(0)).rlike(r"^\d"))
     pieces = F.filter(F.transform(F.split(p, r"(?i),|;|\band\b"), lambda x: F.btrim(x, F.lit(" \t\r\n\x0b\x0c"))), lambda x: x != "")
     part_ok = lambda x: (number(F.regexp_extract(x, PART, 1)) > 0) & F.btrim(F.regexp_extract(x, PART, 2), F.lit(" .")).rlike("[A-Za-z]")
 
     def pieced(x):
-        clean, low, high = price_limits(F.regexp_extract(x, PART, 2))
-        name = F.when(low.isNotNull() | high.isNotNull(), clean).otherwise(F.btrim(F.regexp_extract(x, PART, 2), F.lit(" .")))
-        return item(name, number(F.regexp_extract(x, PART, 1)), low, high)
+        part = F.regexp_extract(x, PART, 2)
+        return once(limits(part), lambda y: item(F.when(y["any"], y["clean"]).otherwise(F.btrim(part, F.lit(" ."))), number(F.regexp_extract(x, PART, 1)), y["low"], y["high"]))
 
-    pasted = (F.size(lines) > 0) & ~listed & F.forall(lines, good)
-    typed = ~p.rlike(PROSE) & F.size(pieces).between(1, PARTS_MOST) & F.forall(pieces, lambda x: F.coalesce(part_ok(x), F.lit(False)))
     fits = (p != "") & (F.length(p) <= PROMPT_MOST)
-    return F.when(fits & p.rlike(code), alone).when(fits & pasted, F.transform(lines, lined)).when(fits & typed, F.transform(pieces, pieced))
+    typed = lambda xs: ~p.rlike(PROSE) & F.size(xs).between(1, PARTS_MOST) & F.forall(xs, lambda x: F.coalesce(part_ok(x), F.lit(False)))
+    as_pieces = once(pieces, lambda xs: F.when(typed(xs), F.transform(xs, pieced)))
+    read = lambda xs: F.when(~listed(xs), F.transform(xs, opened))
+    as_lines = once(lines, lambda xs: once(read(xs), lambda ys: F.when((F.size(xs) > 0) & F.forall(ys, lambda y: y["good"]), F.transform(ys, lined))))
+    return F.when(~fits, None).when(p.rlike(code), alone).otherwise(F.coalesce(as_lines, as_pieces))

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from tessera.functions import text as X
 from tessera.operators import match
 
 
@@ -28,3 +29,12 @@ def test_scores_are_dealt_by_document(spark, monkeypatch):
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "REPARTITION_BY_NUM" in plan and ", 8), REPARTITION_BY_NUM" in plan and "hashpartitioning(request#" in plan
     assert not [x for x in plan.split("\n") if "Exchange" in x and "request#" in x and "id#" in x.split("hashpartitioning")[-1]]
+
+
+def test_limits_of_a_line_are_read_once(spark):
+    """The expression reads the limit of a line and of a piece once each, however often it is used."""
+    out = spark.createDataFrame([("ring 2 pcs\ntray [x] under 500",), ("2 rings, 3 trays under 5k",), (None,), ("",), ("821510 4",)], "s string").select(X.prompt_items(F.col("s")).alias("x"))
+    limit = X.RANGES[0].replace("\\", "")[:12]
+    plan = out._jdf.queryExecution().optimizedPlan().toString().replace("\\", "")
+    assert 0 < plan.count(limit) < 60, plan.count(limit)
+    assert [r["x"] and len(r["x"]) for r in out.collect()][2:] == [None, None, 1]
