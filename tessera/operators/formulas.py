@@ -128,7 +128,9 @@ def recomputed(cells: DataFrame, passes: int = PASSES) -> DataFrame:
         found = materialize(_sums(state).unionByName(_terms(state)), f"formulas-new{step}")
         if found.isEmpty():
             break
-        met = state.join(found, ["sheet", "r", "c"], "left")
+        # Only formulas that wait can have been found; all other cells stay as they are and where they are.
+        met = state.filter("pending").join(found, ["sheet", "r", "c"], "left")
         hit = F.col("new").isNotNull()
-        state = materialize(met.select("sheet", "r", "c", "v", F.coalesce("new", "value").alias("value"), "f", (F.col("pending") & ~hit).alias("pending"), F.when(hit, step).otherwise(F.col("step")).alias("step")), f"formulas-{step}")
+        met = met.select("sheet", "r", "c", "v", F.coalesce("new", "value").alias("value"), "f", (~hit).alias("pending"), F.when(hit, step).otherwise(F.col("step")).alias("step"))
+        state = materialize(state.filter("not pending").unionByName(met), f"formulas-{step}")
     return state.select("sheet", "r", "c", "v", "value", "step")
