@@ -313,6 +313,11 @@ def context_lines(req: DataFrame, prefs: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- the cascade
 
 
+def _fixed(rows: DataFrame, *columns: Column) -> DataFrame:
+    """``rows`` with ``columns``, each computed once a row: as the output of a generator they are not written out again into filters and later columns."""
+    return rows.select("*", F.inline(F.array(F.struct(*columns))))
+
+
 def _judged(pairs: DataFrame, s: Scores) -> DataFrame:
     """Pairs with a tier: tier, score, extra (words the request did not ask for), boosted."""
     c = F.col
@@ -320,16 +325,13 @@ def _judged(pairs: DataFrame, s: Scores) -> DataFrame:
     in_spec = lambda w: F.array_contains("swords", w)
     in_request = lambda w: F.array_contains("twords", w)
     none = F.array().cast("array<string>")
-    # The word of a preferred catalogue has done its job.
-    rows = pairs.withColumn("core", F.filter("core", lambda w: ~F.array_contains(F.coalesce(c("words"), none), w)))
+    rows = _fixed(pairs.withColumn("like", F.coalesce("like", F.lit(0.0))), F.size("core").alias("n"), F.size(F.filter("core", in_name)).alias("named"))
     # The specification and the reverse test are only looked at where the name doesn't settle it.
-    rows = rows.withColumns({"n": F.size("core"), "in_name": F.filter("core", in_name), "like": F.coalesce("like", F.lit(0.0))})
-    rows = rows.withColumns({"named": F.size("in_name"), "settled": (F.size("in_name") == c("n")) & (c("n") > 0)})
-    rows = rows.withColumn("in_spec", F.when(c("settled"), none).otherwise(F.filter("core", in_spec)))
-    rows = rows.withColumns({
-        "specced": F.size("in_spec"), "whole": F.forall("core", lambda w: F.array_contains("in_name", w) | F.array_contains("in_spec", w)),
-        "within": ~c("settled") & F.forall("hcore", in_request),
-    })
+    settled = (c("named") == c("n")) & (c("n") > 0)
+    rows = _fixed(
+        rows, settled.alias("settled"), F.when(settled, 0).otherwise(F.size(F.filter("core", in_spec))).alias("specced"),
+        F.when(settled, True).otherwise(F.forall("core", lambda w: in_name(w) | in_spec(w))).alias("whole"), F.when(settled, False).otherwise(F.forall("hcore", in_request)).alias("within"),
+    )
     same = (c("code") != "") & F.array_contains("stripped", c("code"))
     inside = (c("model") != "") & F.exists("typed", lambda x: F.contains(c("model"), x))
     tax = (c("hsn") != "") & F.exists("hsns", lambda h: c("hsn").startswith(h))
@@ -342,6 +344,7 @@ def _judged(pairs: DataFrame, s: Scores) -> DataFrame:
         .when((F.size("hcore") > 0) & c("within") & ((F.size("hcore") >= 2) | (n < 2)), "rname").when((named > 0) & (named >= n * s.part_share), "part")
         .when((n > 0) & enough, "spec").when(c("like") >= s.like_only, "sem")
     )
+    rows = _fixed(rows, tier.alias("tier")).filter("tier is not null")
     length = F.least(F.length("name"), F.lit(s.name_most))
     base = (
         F.when(c("tier") == "exact", s.exact).when(c("tier") == "model", s.model).when(c("tier") == "model~", s.within_model).when(c("tier") == "hsn", s.hsn)
@@ -361,7 +364,7 @@ def _judged(pairs: DataFrame, s: Scores) -> DataFrame:
     preferred = open_ & (own | F.array_contains(F.coalesce("files", none), c("file_name")))
     whole_word = lambda w: F.array_contains("ntoks", w)
     extra = F.size(F.filter("human_added", lambda w: ~in_request(w))) + F.when(c("tier").isin("name+spec", "spec"), F.size(F.filter("spec_added", lambda w: ~in_request(w)))).otherwise(0)
-    rows = rows.withColumn("tier", tier).filter("tier is not null").filter((F.size("anchor") == 0) | ~c("tier").isin(WORDY) | anchored)
+    rows = rows.filter((F.size("anchor") == 0) | ~c("tier").isin(WORDY) | anchored)
     rows = rows.withColumn("score", (base + more).cast("long") + F.when(preferred, s.preferred).otherwise(0))
     rows = rows.withColumn("boosted", F.when(preferred, "brand").otherwise(""))
     added = s.short * F.size(F.filter("short", whole_word)) + F.when(F.exists("numbers", lambda x: F.contains(c("model"), x)), s.number).otherwise(0)
@@ -437,7 +440,9 @@ def resolve(requests: DataFrame, products: DataFrame, k: int = 15, history: Data
     prod = materialize(prod, "cascade-offers")  # its size decides how it is joined
     own = prod.select(F.explode(F.array_distinct(F.concat("hcore", "human_added", "spec_added"))).alias("word"))
     back = materialize(covering(own, req.select(F.col("t").alias("text"))), "cascade-back")
-    asks = materialize(_with_words(req.join(prefs.drop("phrases"), "r", "left"), "t", back, "twords"), "cascade-asks")
+    # The word of a preferred catalogue has done its job.
+    asks = _without_file_words(req, prefs).join(prefs.select("r", "brands", "files"), "r", "left")
+    asks = materialize(_with_words(asks, "t", back, "twords"), "cascade-asks")
     # Pairs are narrow while they meet the products, the larger side.
     # Judging a pair costs more than its bytes tell, so it is dealt by numbers of pairs.
     lanes = -(-pairs.count() // PAIRS_A_TASK) or 1
