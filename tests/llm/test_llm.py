@@ -496,6 +496,37 @@ def test_webp_round_trips():
         webp.decode(b"RIFF")
 
 
+def test_webp_writer_takes_the_smallest_form():
+    """The production writer uses back-references, predictor, palette and colour cache where they shrink an image."""
+    r = random.Random(3)
+    words = ["".join(r.choices("abcdefghijklmnopqrst", k=9)) for _ in range(30)]
+    steps = [0]
+    for _ in range(5999):
+        steps.append((steps[-1] + r.randint(-2, 2)) % 256)
+    last, recent = [65, 66], []
+    for _ in range(6000):
+        k = r.randint(0, 1)
+        if r.random() < 0.03:
+            last[k] = 2 * r.randint(32, 40) + k
+        recent.append(last[k])
+    texts = [" ".join(r.choice(words) for _ in range(900)).encode(), bytes(steps), bytes(r.choices(b"01", k=5000)), bytes(recent)]
+    texts += [bytes(r.choices(range(256), k=30000)), b"", b"\xff" * 576, b" " * 50000, bytes(r.choices(range(48, 64), k=20000)), b"q" * 577, words[0].encode() * 4000]
+    media = webp.store_texts(texts)
+    payloads = [t + b"\xff" * (max(1, -(-len(t) // 576)) * 576 - len(t)) for t in texts]
+    assert webp.read_payloads(media) == payloads
+    assert [webp.store_texts([t])[0] for t in texts] == media  # an image doesn't depend on those beside it
+    lanes = [webp._lane(webp.split_files(m)[0]) for m in media[:4]]
+    assert [[t[0] for t in x[3]] for x in lanes] == [[webp.GREEN], [webp.PREDICTOR, webp.GREEN], [webp.PALETTE], [webp.GREEN]]
+    assert len(lanes[0][0][4][4]) > 1 and lanes[3][0][3] > 0  # distance codes; bits of the cache
+    assert len(media[0]) < 0.4 * len(texts[0]) and len(media[1]) < 0.4 * len(texts[1]) and len(media[2]) < 0.17 * len(texts[2])
+    for f in [f for m in media for f in webp.split_files(m)[:2]]:
+        (w, h, a), (w2, h2, b) = webp.decode(f), webp.decode_many([f])[0]
+        assert (w, h) == (w2, h2) and (a == b).all()
+    # On grey pixels cross-colour can only do what subtract-green does, for more bits.
+    px = [0xFF000000 | c * 0x10101 for c in steps[:480]]
+    assert len(webp.encode_argb(px, 24, cross=0x2020)) > len(webp.encode_argb(px, 24, green=True))
+
+
 def test_media(spark, docs):
     out = webp.media_columns(docs)
     for x in out.collect():
