@@ -12,6 +12,9 @@ Candidates come by equal keys only, and every row that has a tier is among them,
 Which words which texts cover is told once for each different word and text (see ``covering``); a pair is
 then judged on arrays of words. Requests are
 resolved once for each different phrase and label, so a phrase may be a third of all rows.
+
+Rows that a phrase can't tell apart by words are one class (see ``class_candidates``): names that cover the same asked words, with
+specifications that do. A phrase meets classes, and of the best ones only as many rows are judged as can be among its first.
 """
 
 from __future__ import annotations
@@ -169,34 +172,37 @@ def collection_words(products: DataFrame) -> DataFrame:
     parts = F.filter(F.split(F.lower("product"), r"\s*-\s*"), lambda s: F.trim(s) != "")
     parts = F.when(F.trim(parts[0]) == F.lower(F.trim(F.coalesce("brand", F.lit("")))), F.slice(parts, 2, 999)).otherwise(parts)
     words = lambda s: F.filter(F.regexp_extract_all(s, F.lit("[a-z]+"), F.lit(0)), lambda w: F.length(w) >= 3)
-    rows = products.filter(F.size(parts) > 0).select(parts.alias("p"))
+    rows = products.groupBy("product", "brand").agg(F.count("*").alias("rows")).select("rows", parts.alias("p")).filter(F.size("p") > 0)
     middle = F.flatten(F.transform(F.filter(F.slice("p", 1, F.size("p") - 1), lambda s: ~s.rlike("[0-9]")), words))
-    middle = rows.filter(F.size("p") > 1).select(F.explode(middle).alias("word")).groupBy("word").agg(F.count("*").alias("m"), F.lit(0).cast("long").alias("n"))
-    last = rows.select(F.explode(words(F.element_at("p", -1))).alias("word")).groupBy("word").agg(F.lit(0).cast("long").alias("m"), F.count("*").alias("n"))
+    zero = F.lit(0).cast("long")
+    middle = rows.filter(F.size("p") > 1).select("rows", F.explode(middle).alias("word")).groupBy("word").agg(F.sum("rows").alias("m"), zero.alias("n"))
+    last = rows.select("rows", F.explode(words(F.element_at("p", -1))).alias("word")).groupBy("word").agg(zero.alias("m"), F.sum("rows").alias("n"))
     return middle.unionByName(last).groupBy("word").agg(F.sum("m").alias("m"), F.sum("n").alias("n")).filter("m >= 5 and n < 5").select("word")
 
 
 def products_of(products: DataFrame) -> DataFrame:
-    """What the cascade reads from a product; words that add nothing to a name are taken out of ``added``."""
+    """What the cascade reads from a product; words that add nothing to a name are taken out of ``added``.
+
+    Texts are read once for each different name and brand, and specification and brand.
+    """
     low = lambda c: F.lower(F.coalesce(F.col(c), F.lit("")))
-    rows = products.select(
-        "id", "price", "image", "file_name", low("product").alias("name"), low("model").alias("model"), low("spec").alias("spec"), F.trim(F.coalesce("hsn", F.lit(""))).alias("hsn"),
-        F.trim(low("brand")).alias("brand"), F.coalesce(R.human_name(F.col("product"), F.coalesce("brand", F.lit(""))), F.lit("")).alias("human"),
-    )
-    vocabulary = rows.select(F.explode(F.regexp_extract_all("name", F.lit("[a-z]{3,}"), F.lit(0))).alias("word")).distinct()
+    rows = products.select("id", "price", "image", "file_name", low("product").alias("name"), low("model").alias("model"), low("spec").alias("spec"), F.trim(F.coalesce("hsn", F.lit(""))).alias("hsn"), F.trim(low("brand")).alias("brand"), F.col("product").isNull().alias("unnamed"))
+    human = F.coalesce(R.human_name(F.when(~F.col("unnamed"), F.col("name")), F.col("brand")), F.lit(""))
+    names = materialize(rows.select("name", "brand", "unnamed").distinct().withColumn("human", human), "cascade-texts")
+    specs = rows.select("spec", "brand").distinct()
+    vocabulary = names.select(F.explode(F.regexp_extract_all("name", F.lit("[a-z]{3,}"), F.lit(0))).alias("word")).distinct()
 
-    def kept(column, keep, how):
+    def kept(texts, column, keep, how):
         """Words of a text that pass a join, for each different text (and brand)."""
-        w = rows.select("brand", column).distinct().withColumn("word", F.explode(R.core_words(F.col(column)))).filter(~F.contains("brand", F.col("word")))
-        return w.join(keep, "word", how).groupBy("brand", column).agg(F.collect_list("word").alias(f"{column}_added"))
+        w = texts.select("brand", column).distinct().withColumn("word", F.explode(R.core_words(F.col(column)))).filter(~F.contains("brand", F.col("word")))
+        w = w.join(keep, "word", how).groupBy("brand", column).agg(F.collect_list("word").alias(f"{column}_added"))
+        return texts.join(w, ["brand", column], "left").withColumn(f"{column}_added", F.coalesce(f"{column}_added", F.array().cast("array<string>")))
 
-    for column, keep, how in (("human", collection_words(products), "left_anti"), ("spec", vocabulary, "left_semi")):
-        rows = rows.join(kept(column, keep, how), ["brand", column], "left")
-    none = F.array().cast("array<string>")
-    return rows.withColumns({
-        "ntoks": tokens(F.col("name")), "hcore": R.core_words(F.col("human")),
-        "human_added": F.coalesce("human_added", none), "spec_added": F.coalesce("spec_added", none), "code": F.regexp_replace("model", "[^a-z0-9]", ""), "name_key": normal(F.col("name")), "human_key": normal(F.col("human")),
-    })
+    names = kept(names, "human", collection_words(products), "left_anti")
+    names = names.withColumns({"ntoks": tokens(F.col("name")), "hcore": R.core_words(F.col("human")), "name_key": normal(F.col("name")), "human_key": normal(F.col("human"))})
+    specs = kept(specs, "spec", vocabulary, "left_semi")
+    rows = rows.withColumn("code", F.regexp_replace("model", "[^a-z0-9]", ""))
+    return rows.join(names, ["name", "brand", "unnamed"]).join(specs, ["spec", "brand"]).drop("unnamed")
 
 
 # ---------------------------------------------------------------- candidates
@@ -222,14 +228,13 @@ def _with_words(rows: DataFrame, column: str, hits: DataFrame, name: str) -> Dat
     return rows.join(lists, column, "left").withColumn(name, F.coalesce(name, F.array().cast("array<string>")))
 
 
-def word_candidates(req: DataFrame, prod: DataFrame, share: float = Scores.part_share, hits: dict[str, DataFrame] | None = None) -> DataFrame:
-    """(r, id) of the rows that can cover enough of a request's words, by its rarest words."""
-    hits = hits or covered_words(req, prod)
+def _picked(req: DataFrame, hits: dict[str, DataFrame], share: float) -> tuple[DataFrame, dict[str, Column]]:
+    """The words of each request with their places by rarity, and by side which of them the postings are read for."""
     words = req.select("r", F.size("core").alias("n"), (F.size("short") > 0).alias("short"), "digit", F.explode("core").alias("word"))
     words = words.groupBy("r", "word").agg(F.max("n").alias("n"), F.max("short").alias("short"), F.max("digit").alias("digit"), F.count("*").alias("times"))
-    sides = {side: (rows, rows.groupBy("word").agg(F.sum("rows").alias(f"{side}_rows"))) for side, rows in hits.items()}
-    zero = {f"{s}_rows": F.coalesce(f"{s}_rows", F.lit(0)) for s in sides}
-    words = words.join(sides["name"][1], "word", "left").join(sides["spec"][1], "word", "left").withColumns(zero)
+    rows = {side: x.groupBy("word").agg(F.sum("rows").alias(f"{side}_rows")) for side, x in hits.items()}
+    zero = {f"{s}_rows": F.coalesce(f"{s}_rows", F.lit(0)) for s in rows}
+    words = words.join(rows["name"], "word", "left").join(rows["spec"], "word", "left").withColumns(zero)
     order = lambda by: Window.partitionBy("r").orderBy(by, "word")
     words = words.withColumns({
         # Words before this one, rarest first: once they make up over 1 - share of the request, no other is needed.
@@ -242,9 +247,16 @@ def word_candidates(req: DataFrame, prod: DataFrame, share: float = Scores.part_
         "name": (F.col("before") <= F.col("n") * (1 - share)) | (F.col("either") == 1),
         "spec": ((F.col("either") == 1) & (F.col("n") > 1)) | ((F.col("scarce") == 1) & ((F.col("n") > 1) | forgiving)) | ((F.col("scarce") == 2) & forgiving),
     }
+    return words, picks
+
+
+def word_candidates(req: DataFrame, prod: DataFrame, share: float = Scores.part_share, hits: dict[str, DataFrame] | None = None) -> DataFrame:
+    """(r, id) of the rows that can cover enough of a request's words, by its rarest words."""
+    hits = hits or covered_words(req, prod)
+    words, picks = _picked(req, hits, share)
     out = None
     for side, keep in picks.items():
-        some = words.filter(keep).select("r", "word").join(sides[side][0], "word").select("r", F.col("text").alias(side)).distinct()
+        some = words.filter(keep).select("r", "word").join(hits[side], "word").select("r", F.col("text").alias(side)).distinct()
         some = some.join(prod.select("id", side), side).select("r", "id")
         out = some if out is None else out.unionByName(some)
     return out
@@ -260,11 +272,15 @@ def reverse_candidates(req: DataFrame, prod: DataFrame) -> DataFrame:
     return rare.join(hits, "word").join(req.select("r", F.col("t").alias("text")), "text").join(prod.select("id", "human"), "human").select("r", "id")
 
 
-def code_candidates(req: DataFrame, prod: DataFrame) -> DataFrame:
-    """(r, id) by names, models and tax codes: equal, or a model that contains a typed code."""
+def name_candidates(req: DataFrame, prod: DataFrame) -> DataFrame:
+    """(r, id) by equal names."""
     names = prod.select("id", F.explode(F.array_distinct(F.array("name_key", "human_key"))).alias("key"))
-    exact = req.filter("tn <> ''").select("r", F.col("tn").alias("key")).join(names, "key")
-    codes = req.select("r", F.explode("typed").alias("x")).filter("length(x) >= 2")
+    return req.filter("tn <> ''").select("r", F.col("tn").alias("key")).join(names, "key").select("r", "id")
+
+
+def code_candidates(req: DataFrame, prod: DataFrame) -> DataFrame:
+    """(r, id) by models and tax codes: equal, or a model that contains a typed code or number."""
+    codes = req.select("r", F.explode(F.array_distinct(F.concat("typed", "numbers"))).alias("x")).filter("length(x) >= 2")
     equal = req.select("r", F.explode("stripped").alias("code")).filter("code <> ''").join(prod.select("id", "code"), "code")
     models = prod.filter("model <> ''").select("model").distinct()
     grams = models.select("model", F.explode(F.array_distinct(F.concat(_grams(F.col("model"), 2), _grams(F.col("model"), 3)))).alias("gram"))
@@ -272,7 +288,7 @@ def code_candidates(req: DataFrame, prod: DataFrame) -> DataFrame:
     inside = inside.join(prod.select("id", "model"), "model")
     taxes = prod.filter("hsn <> ''").select("id", F.explode(F.array_distinct(F.concat(F.array("hsn"), *[F.array(F.substring("hsn", 1, n)) for n in (6, 7, 8)]))).alias("key"))
     tax = req.select("r", F.explode("hsns").alias("key")).join(taxes, "key")
-    return exact.select("r", "id").unionByName(equal.select("r", "id")).unionByName(inside.select("r", "id")).unionByName(tax.select("r", "id"))
+    return equal.select("r", "id").unionByName(inside.select("r", "id")).unionByName(tax.select("r", "id"))
 
 
 def preferences(req: DataFrame, products: DataFrame) -> DataFrame:
@@ -310,9 +326,183 @@ def context_lines(req: DataFrame, prefs: DataFrame) -> DataFrame:
     return rows.filter((F.size(words) > 0) & (F.size(F.array_except(open_, own)) == 0)).select("r")
 
 
+# ---------------------------------------------------------------- classes of rows
+
+
+def _key(*columns: str | Column) -> Column:
+    """128 bits that stand for the values of ``columns``."""
+    return F.unhex(F.md5(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})))
+
+
+def classed(prod: DataFrame, req: DataFrame, hits: dict[str, DataFrame], s: Scores) -> DataFrame:
+    """``prod`` with the asked words of its texts, and with the classes of its name (``nc``) and specification (``sc``).
+
+    Rows of one class cover the same asked words, have names of one length and add the same words; a name that some request
+    equals has a class of its own. ``flag`` is what price and picture add to a score.
+    """
+    first = lambda *columns: F.first(F.struct(*columns)).alias("x")
+    names = prod.groupBy("name", "brand").agg(first("ntoks", "hcore", "human_added", "name_key", "human_key")).select("name", "brand", "x.*")
+    specs = prod.groupBy("spec", "brand").agg(first("spec_added")).select("spec", "brand", "x.*")
+    names, specs = _with_words(names, "name", hits["name"], "nwords"), _with_words(specs, "spec", hits["spec"], "swords")
+    asked = req.filter("tn <> ''").select("tn").distinct()
+    for key in ("name_key", "human_key"):
+        names = names.join(asked.select(F.col("tn").alias(key), F.col("tn").alias(f"{key}_asked")), key, "left")
+    short = req.select(F.explode("short").alias("w")).agg(F.collect_set("w").alias("asked_short"))  # words of two letters
+    names = names.join(F.broadcast(short), F.lit(True)).withColumn("nshort", F.array_sort(F.array_intersect("ntoks", "asked_short")))
+    names = names.withColumns({"long": F.least(F.length("name"), F.lit(s.name_most)), **{c: F.array_sort(c) for c in ("nwords", "hcore", "human_added")}})
+    names = names.withColumn("nc", _key("nwords", "nshort", "long", "hcore", "human_added", "name_key_asked", "human_key_asked"))
+    names = names.select("name", "brand", "nwords", "nshort", "long", "name_key_asked", "human_key_asked", "nc")
+    specs = specs.withColumn("swords", F.array_sort("swords")).select("spec", "brand", "swords", _key("swords", F.array_sort("spec_added")).alias("sc"))
+    flag = F.when(F.col("price") > 0, s.priced).otherwise(0) + F.when(F.col("image"), s.pictured).otherwise(0)
+    return prod.join(names, ["name", "brand"]).join(specs, ["spec", "brand"]).withColumn("flag", flag)
+
+
+def _scopes(asks: DataFrame, prod: DataFrame, s: Scores) -> DataFrame:
+    """(r, kind, scope, bonus): all rows, and those of the brands and files that a request without a code prefers."""
+    open_ = asks.filter("not coded")
+    own = prod.select(F.upper("brand").alias("own")).distinct().filter("own <> ''")
+    named = open_.select("r", F.explode("brands").alias("b")).join(own, F.contains("b", F.col("own")) | F.contains("own", F.col("b")))
+    parts = [asks.select("r", F.lit("a").alias("kind"), F.lit("").alias("scope")), named.select("r", F.lit("b").alias("kind"), F.concat(F.lit("b"), "own").alias("scope")).distinct()]
+    parts.append(open_.select("r", F.lit("f").alias("kind"), F.explode(F.transform("files", lambda x: F.concat(F.lit("f"), x))).alias("scope")))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).withColumn("bonus", F.when(F.col("kind") == "a", 0).otherwise(s.preferred))
+
+
+def _members(prod: DataFrame, scopes: DataFrame) -> DataFrame:
+    """Rows of every scope with their places in their classes by id: of one name, of one name and specification, of one specification."""
+    wanted = F.broadcast(scopes.select("scope").distinct())
+    rows = prod.select("id", "nc", "sc", "nshort", "flag", F.explode(F.array_compact(F.array(F.lit(""), F.concat(F.lit("b"), F.upper("brand")), F.concat(F.lit("f"), "file_name")))).alias("scope"))
+    place = lambda *keys: F.row_number().over(Window.partitionBy(*keys, "scope", "flag").orderBy("id"))
+    return rows.join(wanted, "scope", "left_semi").withColumns({"at1": place("nc"), "at2": place("nc", "sc"), "at3": place("sc", "nshort")})
+
+
+def _floor(rows: DataFrame, asks: DataFrame, s: Scores) -> DataFrame:
+    """(r, floor): the score that the first ``need`` rows of a request reach at least, by classes (r, kind, low, n); rows of one kind are
+    counted once. Requests whose band of equal goods is sorted by price (``wide``) also get what lies within the band."""
+    run = Window.partitionBy("r", "kind").orderBy(F.desc("low")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    per = rows.groupBy("r", "kind", "low").agg(F.sum("n").alias("n")).withColumn("n", F.sum("n").over(run))
+    per = per.join(asks.select("r", "need", "wide"), "r").groupBy("r", "wide").agg(F.max(F.when(F.col("n") >= F.col("need"), F.col("low"))).alias("floor"), F.max("low").alias("top"))
+    floor = F.coalesce("floor", F.lit(0))
+    return per.select("r", F.when(F.col("wide"), F.least(floor, F.col("top") - s.band)).otherwise(floor).alias("floor"))
+
+
+def class_candidates(asks: DataFrame, prod: DataFrame, hits: dict[str, DataFrame], s: Scores, most: int) -> DataFrame:
+    """(r, id) of the rows that can be among the first ``most`` of a request by words and names, and of all that carry its sizes.
+
+    A row's score by words follows from its class: from that of its name alone, or with that of its specification where the name
+    leaves words open. Codes, tax codes, numbers, history and likeness only raise a row (they are candidates of their own), so
+    the first rows of a class by id stand for it. A request without digits needs its first ``most`` rows. One with sizes or codes
+    is narrowed to the rows that carry them, of which all are candidates, and needs its best score otherwise. One with other
+    digits gets every row of the classes within the band of the best, for these may be sorted by price.
+    """
+    c = F.col
+    sized = F.size("groups") > 0
+    asks = asks.withColumns({"need": F.when(sized, 1).otherwise(most), "wide": c("digit") & ~sized})
+    full = F.struct("nwords", "nshort", "long", "hcore", "name_key_asked", "human_key_asked")
+    names = materialize(prod.groupBy("nc").agg(F.first(full).alias("x"), F.count("*").alias("rows")).select("nc", "rows", "x.*"), "cascade-names")
+    specs = materialize(prod.groupBy("sc").agg(F.first("swords").alias("swords")), "cascade-specs")
+    scopes = materialize(_scopes(asks, prod, s), "cascade-scopes")
+    members = materialize(_members(prod, scopes), "cascade-members")
+    sizes = {keys: materialize(members.groupBy(*keys).agg(F.count("*").alias("n")), "cascade-sizes") for keys in (("nc", "scope"), ("nc", "scope", "flag"), ("nc", "sc", "scope", "flag"), ("sc", "nshort", "scope", "flag"))}
+
+    # Names that a request meets by its rarest words, by their own rarest word, or by equality.
+    words, picks = _picked(asks, hits, s.part_share)
+    by_name = words.filter(picks["name"]).select("r", "word").join(names.select("nc", F.explode("nwords").alias("word")), "word").select("r", "nc")
+    by_spec = words.filter(picks["spec"]).join(specs.select("sc", F.explode("swords").alias("word")), "word")
+    asked = asks.select("r", "core", "short", "digit", "tn", "twords", F.size("core").alias("n"))
+    # A specification that has the rarest word needs a name with what it lacks.
+    lacks = by_spec.filter("either = 1 and n > 1").select("r", "sc").distinct().join(asked.select("r", "core"), "r").join(specs, "sc")
+    lacks = lacks.select("r", "sc", "core", F.array_except("core", "swords").alias("lacks")).join(sizes["nc", "sc", "scope", "flag"].select("nc", "sc").distinct(), "sc")
+    lacks = lacks.join(names.select("nc", "nwords"), "nc").filter((F.size(F.array_except("lacks", "nwords")) == 0) & F.arrays_overlap("core", "nwords")).select("r", "nc")
+    own = names.select("nc", "rows", F.explode(F.array_distinct("hcore")).alias("word"))
+    own = own.join(own.groupBy("word").agg(F.sum("rows").alias("n")), "word").groupBy("nc").agg(F.min_by("word", F.struct("n", "word")).alias("word"))
+    reverse = asks.select("r", F.explode("twords").alias("word")).join(own, "word").select("r", "nc")
+    equal = names.select("nc", F.explode(F.array_compact(F.array("name_key_asked", "human_key_asked"))).alias("tn")).join(asks.select("r", "tn"), "tn").select("r", "nc")
+    met = by_name.unionByName(lacks).unionByName(reverse).unionByName(equal).distinct().join(names, "nc").join(asked, "r")
+
+    n, in_name = c("n"), lambda w: F.array_contains("nwords", w)
+    met = _fixed(met, F.size(F.filter("core", in_name)).alias("named"), (s.short * F.size(F.filter("short", lambda w: F.array_contains("nshort", w)))).alias("added"))
+    exact = (c("tn") != "") & (F.coalesce(c("tn") == c("name_key_asked"), F.lit(False)) | F.coalesce(c("tn") == c("human_key_asked"), F.lit(False)))
+    met = _fixed(met, exact.alias("exact"), ((c("named") == n) & (n > 0)).alias("settled"))
+    within = (F.size("hcore") > 0) & ((F.size("hcore") >= 2) | (n < 2)) & F.forall("hcore", lambda w: F.array_contains("twords", w))
+    base = (
+        F.when(c("exact"), s.exact).when(c("settled"), F.lit(s.name) - c("long")).when(within, F.lit(s.reverse) + s.reverse_word * F.size("hcore"))
+        .when((c("named") > 0) & (c("named") >= n * s.part_share), F.lit(s.part) + s.part_word * c("named"))
+    )
+    met = _fixed(met, base.alias("base"), (~c("exact") & ~c("settled") & (n > 1) & (c("named") > 0)).alias("open"), (F.lit(s.name_spec) - c("long")).alias("whole"))
+    # A code would not raise a row whose name alone scores as much.
+    deep = c("digit") & ~c("exact") & (c("base") >= s.within_model)
+    low = F.when(deep | c("base").isNull(), F.lit(None).cast("int")).when(c("open"), F.least("base", "whole")).otherwise(c("base"))
+    high = F.when(c("open"), F.greatest("base", "whole")).otherwise(c("base"))
+    met = met.select("r", "nc", "open", F.coalesce(deep, F.lit(False)).alias("deep"), (c("base") + c("added")).alias("base"), (c("whole") + c("added")).alias("whole"), (low + c("added")).alias("low"), (high + c("added")).alias("high"))
+    met = materialize(met.filter("high is not null"), "cascade-met")
+    specced = by_spec.select("r", "sc").distinct().join(specs, "sc").join(asked, "r").withColumn("k", F.size(F.filter("core", lambda w: F.array_contains("swords", w))))
+    forgiving = (F.size("short") > 0) | c("digit")
+    specced = specced.filter((c("k") >= 1) & (c("k") >= F.when(forgiving, n - 1).otherwise(n)) & (((c("k") == n) & (n > 1)) | forgiving))
+    specced = materialize(specced.select("r", "sc", "short"), "cascade-specced")
+
+    # Classes that can reach the floor, then the classes at it.
+    lows = met.filter("low is not null").join(scopes, "r").join(sizes["nc", "scope"], ["nc", "scope"]).select("r", "kind", (c("low") + c("bonus")).alias("low"), "n")
+    first = materialize(_floor(lows, asks, s), "cascade-floor")
+    reach = lambda rows, high: rows.join(scopes, "r").join(first, "r", "left").filter(high + c("bonus") + (s.priced + s.pictured) >= F.coalesce("floor", F.lit(0)))
+    kept = materialize(reach(met, c("high")).drop("floor", "low", "high"), "cascade-kept")
+    none = lambda kind: F.lit(None).cast(kind)
+    columns = ["r", "kind", "scope", "flag", "n", "deep", "nc"]
+    one = kept.filter("not open").join(sizes["nc", "scope", "flag"], ["nc", "scope"])
+    one = one.select(*columns, none("binary").alias("sc"), none("array<string>").alias("nshort"), (c("base") + c("bonus") + c("flag")).alias("low"), F.lit(1).alias("way"))
+    two = kept.filter("open").join(sizes["nc", "sc", "scope", "flag"], ["nc", "scope"]).join(names.select("nc", "nwords"), "nc").join(specs, "sc").join(asks.select("r", "core"), "r")
+    complete = F.size(F.array_except("core", F.concat("nwords", "swords"))) == 0
+    two = two.select(*columns, "sc", none("array<string>").alias("nshort"), (F.when(complete, c("whole")).otherwise(c("base")) + c("bonus") + c("flag")).alias("low"), F.lit(2).alias("way"))
+    three = specced.join(sizes["sc", "nshort", "scope", "flag"], "sc").withColumn("base", F.lit(s.spec) + s.short * F.size(F.array_intersect("short", "nshort")))
+    three = three.join(scopes, ["r", "scope"]).select("r", F.concat("kind", F.lit("s")).alias("kind"), "scope", "flag", "n", F.lit(False).alias("deep"), none("binary").alias("nc"), "sc", "nshort", (c("base") + c("bonus") + c("flag")).alias("low"), F.lit(3).alias("way"))
+    three = three.join(first, "r", "left").filter(c("low") >= F.coalesce("floor", F.lit(0))).drop("floor")
+    classes = materialize(one.unionByName(two.filter("low is not null")).unionByName(three), "cascade-classes")
+    chosen = classes.join(_floor(classes.filter("not deep"), asks, s), "r", "left").filter(c("low") >= F.coalesce("floor", F.lit(0)))
+    chosen = chosen.join(asks.select("r", "need", "wide"), "r").withColumn("last", F.when(c("wide") | c("deep"), 1 << 62).otherwise(c("need"))).drop("kind", "floor", "n")
+    chosen = materialize(chosen, "cascade-chosen")
+    out = fitting(asks, prod, met, specced)
+    for way, keys in ((1, ["nc"]), (2, ["nc", "sc"]), (3, ["sc", "nshort"])):
+        some = chosen.filter(c("way") == way).select("r", *keys, "scope", "flag", "last").join(members.hint("merge"), [*keys, "scope", "flag"])
+        out = out.unionByName(some.filter(c(f"at{way}") <= c("last")).select("r", "id"))
+    return out
+
+
+def fitting(asks: DataFrame, prod: DataFrame, names: DataFrame, specs: DataFrame) -> DataFrame:
+    """(r, id) of the rows that carry the sizes and codes of a request, or its small numbers before a unit, in the classes it meets.
+
+    Different sizes meet rows by equal runs of digits, then the exact test.
+    """
+    none = F.array().cast("array<string>")
+    asks = asks.select("r", "groups", F.when(F.size("groups") > 0, none).otherwise(F.array_distinct("small")).alias("small")).filter("size(groups) > 0 or size(small) > 0")
+    asks = materialize(asks.withColumn("q", _key("groups", "small")), "cascade-sizes-asked")
+    # The first run of a group is whole in the text where a sign follows it, else it starts one.
+    first = F.get(F.get("groups", F.lit(0)), F.lit(0))
+    run = F.concat(F.when(first.rlike("[0-9][^0-9]"), "=").otherwise("~"), F.regexp_extract(first, "[0-9]+", 0))
+    keys = F.when(F.size("groups") > 0, F.array(run)).otherwise(F.transform("small", lambda x: F.concat(F.lit("="), x)))
+    kinds = asks.dropDuplicates(["q"]).select("q", "groups", "small", F.explode(keys).alias("key"))
+    rows = prod.select("id", "nc", "sc", F.concat_ws(" ", "name", "model", "spec").alias("hay")).withColumn("runs", F.array_distinct(F.regexp_extract_all(squeezed(F.col("hay")), F.lit("[0-9]+"), F.lit(0))))
+    starts_ = F.flatten(F.transform("runs", lambda x: F.transform(F.sequence(F.lit(1), F.length(x)), lambda i: F.concat(F.lit("~"), F.substr(x, F.lit(1), i)))))
+    rows = rows.withColumn("key", F.explode(F.array_distinct(F.concat(F.transform("runs", lambda x: F.concat(F.lit("="), x)), starts_)))).drop("runs")
+    fit = F.when(F.size("groups") > 0, R.qualified(F.col("groups"), F.col("hay"))).otherwise(hinted(F.col("small"), F.col("hay")))
+    rows = materialize(kinds.join(rows, "key").filter(fit).select("q", "id", "nc", "sc").distinct(), "cascade-fitting")
+    asks = asks.select("r", "q")
+    by_name = asks.join(names.select("r", "nc"), "r").join(rows.hint("merge"), ["q", "nc"]).select("r", "id")
+    return by_name.unionByName(asks.join(specs.select("r", "sc"), "r").join(rows.hint("merge"), ["q", "sc"]).select("r", "id"))
+
+
 # ---------------------------------------------------------------- the cascade
 
 
+def squeezed(hay: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(hay, " ", ""), r"[*×]", "x")
+
+
+def hinted(small: Column, hay: Column) -> Column:
+    """Whether a text has one of the small numbers before a unit."""
+    units = F.array(*map(F.lit, ('"', "''", *"in cm mm l ml qt oz comp".split())))  # inch and ltr start with a shorter one
+    seen = lambda h, x: F.exists(units, lambda u: F.contains(h, F.concat(F.lit(R.MARK), x, u)))
+    return F.exists(F.array(R.marked(squeezed(hay))), lambda h: F.exists(small, lambda x: seen(h, x)))
+
+
 def _fixed(rows: DataFrame, *columns: Column) -> DataFrame:
     """``rows`` with ``columns``, each computed once a row: as the output of a generator they are not written out again into filters and later columns."""
     return rows.select("*", F.inline(F.array(F.struct(*columns))))
@@ -387,10 +577,7 @@ def _narrowed(rows: DataFrame, s: Scores) -> DataFrame:
     sized = F.col("fits") & (F.col("kept") | (F.col("any") == 0))
     rows = rows.filter(F.when(F.col("sized"), sized).otherwise(F.col("kept")))
     # A small number without a unit narrows to rows that carry it before a unit, if any do.
-    squeezed = F.regexp_replace(F.regexp_replace("hay", " ", ""), r"[*×]", "x")
-    unit = r"(\"|''|in|inch|cm|mm|l|ml|qt|ltr|oz|comp)"
-    hint = F.exists("small", lambda x: F.regexp_like(squeezed, F.concat(F.lit("(^|[^0-9.])"), x, F.lit(unit))))
-    rows = rows.withColumn("hint", ~F.col("sized") & hint)
+    rows = rows.withColumn("hint", ~F.col("sized") & hinted(F.col("small"), F.col("hay")))
     return rows.withColumn("any", F.max(F.col("hint").cast("int")).over(by)).filter((F.col("any") == 0) | F.col("hint"))
 
 
@@ -427,29 +614,35 @@ def resolve(requests: DataFrame, products: DataFrame, k: int = 15, history: Data
     req = materialize(requests_of(requests).withColumn("r", F.monotonically_increasing_id()), "cascade-requests")
     prod = materialize(products_of(products), "cascade-products")
     prefs = materialize(preferences(req, products), "cascade-preferences")
+    lines = context_lines(req, prefs)
     hits = covered_words(req, prod)
-    pairs = word_candidates(_without_file_words(req, prefs), prod, s.part_share, hits).unionByName(reverse_candidates(req, prod)).unionByName(code_candidates(req, prod))
-    like = None
-    if similar is not None:
-        like = req.select("r", "t").join(similar.select(F.trim(F.lower("phrase")).alias("t"), "id", "like"), "t").groupBy("r", "id").agg(F.max("like").alias("like"))
-        pairs = pairs.unionByName(like.filter(F.col("like") >= s.like_anchor).select("r", "id"))
-    pairs = materialize(pairs.distinct(), "cascade-pairs")
-    pairs = pairs.join(like, ["r", "id"], "left") if like is not None else pairs.withColumn("like", F.lit(0.0))
-    for side, name in (("name", "nwords"), ("spec", "swords")):
-        prod = _with_words(prod, side, hits[side], name)
-    prod = materialize(prod, "cascade-offers")  # its size decides how it is joined
+    prod = materialize(classed(prod, req, hits, s), "cascade-offers")
     own = prod.select(F.explode(F.array_distinct(F.concat("hcore", "human_added", "spec_added"))).alias("word"))
     back = materialize(covering(own, req.select(F.col("t").alias("text"))), "cascade-back")
     # The word of a preferred catalogue has done its job.
-    asks = _without_file_words(req, prefs).join(prefs.select("r", "brands", "files"), "r", "left")
+    asks = _without_file_words(req, prefs).join(prefs.select("r", "brands", "files"), "r", "left").join(lines, "r", "left_anti")
     asks = materialize(_with_words(asks, "t", back, "twords"), "cascade-asks")
-    # Pairs are narrow while they meet the products, the larger side.
-    # Judging a pair costs more than its bytes tell, so it is dealt by numbers of pairs.
-    lanes = -(-pairs.count() // PAIRS_A_TASK) or 1
-    rows = pairs.repartition(lanes, "id").join(prod, "id").join(asks, "r")
+    pairs = code_candidates(asks, prod).unionByName(class_candidates(asks.filter("size(anchor) = 0"), prod, hits, s, max(s.members_of, k)))
+    if "label" in requests.columns:  # a label is looked for in each row
+        held = materialize(asks.filter("size(anchor) > 0"), "cascade-labelled")
+        pairs = pairs.unionByName(word_candidates(held, prod, s.part_share, hits)).unionByName(reverse_candidates(held, prod)).unionByName(name_candidates(held, prod))
+    like = past = None
+    if similar is not None:
+        like = asks.select("r", "t").join(similar.select(F.trim(F.lower("phrase")).alias("t"), "id", "like"), "t").groupBy("r", "id").agg(F.max("like").alias("like"))
+        pairs = pairs.unionByName(like.select("r", "id"))
     if history is not None:
         past = history.select(F.trim(F.lower("phrase")).alias("t"), F.trim(F.lower("product")).alias("name"), F.trim(F.lower(F.coalesce("model", F.lit("")))).alias("model"), "times")
-        rows = rows.join(past.groupBy("t", "name", "model").agg(F.sum("times").alias("times")), ["t", "name", "model"], "left")
+        past = materialize(past.groupBy("t", "name", "model").agg(F.sum("times").alias("times")), "cascade-past")
+        again = past.join(asks.filter("not coded").select("r", "t"), "t").join(prod.select("id", "name", "model").hint("merge"), ["name", "model"])
+        pairs = pairs.unionByName(again.select("r", "id"))
+    pairs = materialize(pairs.distinct(), "cascade-pairs")
+    # Judging a pair costs more than its bytes tell, so it is dealt by numbers of pairs.
+    lanes = -(-pairs.count() // PAIRS_A_TASK) or 1
+    pairs = pairs.join(like, ["r", "id"], "left") if like is not None else pairs.withColumn("like", F.lit(0.0))
+    # Pairs are narrow while they meet the products, the larger side.
+    rows = pairs.repartition(lanes, "id").join(prod.hint("merge"), "id").join(asks, "r")
+    if past is not None:
+        rows = rows.join(past, ["t", "name", "model"], "left")
     else:
         rows = rows.withColumn("times", F.lit(0))
     judged = materialize(_judged(rows, s), "cascade-judged")
@@ -458,8 +651,7 @@ def resolve(requests: DataFrame, products: DataFrame, k: int = 15, history: Data
     label = F.col("label") if "label" in requests.columns else F.lit(None).cast("string")
     asked = requests.select("request", F.coalesce(F.trim(F.lower("phrase")), F.lit("")).alias("phrase_"), F.trim(F.lower(label)).alias("label_"))
     asked = asked.join(req.select("r", "t", "label"), F.col("phrase_").eqNullSafe(F.col("t")) & F.col("label_").eqNullSafe(F.col("label"))).select("request", "r")
-    lines = context_lines(req, prefs).withColumn("context", F.lit(True))
-    rows = asked.join(lines, "r", "left").join(found.join(lines, "r", "left_anti"), "r", "left")
+    rows = asked.join(lines.withColumn("context", F.lit(True)), "r", "left").join(found, "r", "left")
     return rows.select("request", "id", F.coalesce("tier", F.when(F.col("context"), "context"), F.lit("not_found")).alias("tier"), "score", "rank")
 
 
