@@ -385,12 +385,12 @@ def _floor(rows: DataFrame, asks: DataFrame, s: Scores) -> DataFrame:
     return per.select("r", F.when(F.col("wide"), F.least(floor, F.col("top") - s.band)).otherwise(floor).alias("floor"))
 
 
-def class_candidates(asks: DataFrame, prod: DataFrame, hits: dict[str, DataFrame], s: Scores, most: int) -> DataFrame:
+def class_candidates(asks: DataFrame, prod: DataFrame, hits: dict[str, DataFrame], s: Scores, most: int, past: DataFrame | None = None) -> DataFrame:
     """(r, id) of the rows that can be among the first ``most`` of a request by words and names, and of all that carry its sizes.
 
     A row's score by words follows from its class: from that of its name alone, or with that of its specification where the name
-    leaves words open. Codes, tax codes, numbers, history and likeness only raise a row (they are candidates of their own), so
-    the first rows of a class by id stand for it. A request without digits needs its first ``most`` rows. One with sizes or codes
+    leaves words open. Codes, tax codes, numbers, past choices and likeness only raise a row, so the first rows of a class by id
+    stand for it. Past choices (t, name, model) are candidates where their class is met; the others are made elsewhere. A request without digits needs its first ``most`` rows. One with sizes or codes
     is narrowed to the rows that carry them, of which all are candidates, and needs its best score otherwise. One with other
     digits gets every row of the classes within the band of the best, for these may be sorted by price.
     """
@@ -463,6 +463,10 @@ def class_candidates(asks: DataFrame, prod: DataFrame, hits: dict[str, DataFrame
     for way, keys in ((1, ["nc"]), (2, ["nc", "sc"]), (3, ["sc", "nshort"])):
         some = chosen.filter(c("way") == way).select("r", *keys, "scope", "flag", "last").join(members.hint("merge"), [*keys, "scope", "flag"])
         out = out.unionByName(some.filter(c(f"at{way}") <= c("last")).select("r", "id"))
+    if past is not None:
+        again = past.join(asks.filter("not coded").select("r", "t"), "t").join(prod.select("id", "name", "model", "nc", "sc").hint("merge"), ["name", "model"])
+        again = again.join(met.select("r", "nc", F.lit(True).alias("named")), ["r", "nc"], "left").join(specced.select("r", "sc", F.lit(True).alias("specced")), ["r", "sc"], "left")
+        out = out.unionByName(again.filter("named or specced").select("r", "id"))
     return out
 
 
@@ -622,19 +626,18 @@ def resolve(requests: DataFrame, products: DataFrame, k: int = 15, history: Data
     # The word of a preferred catalogue has done its job.
     asks = _without_file_words(req, prefs).join(prefs.select("r", "brands", "files"), "r", "left").join(lines, "r", "left_anti")
     asks = materialize(_with_words(asks, "t", back, "twords"), "cascade-asks")
-    pairs = code_candidates(asks, prod).unionByName(class_candidates(asks.filter("size(anchor) = 0"), prod, hits, s, max(s.members_of, k)))
+    past = None
+    if history is not None:
+        past = history.select(F.trim(F.lower("phrase")).alias("t"), F.trim(F.lower("product")).alias("name"), F.trim(F.lower(F.coalesce("model", F.lit("")))).alias("model"), "times")
+        past = materialize(past.groupBy("t", "name", "model").agg(F.sum("times").alias("times")), "cascade-past")
+    pairs = code_candidates(asks, prod).unionByName(class_candidates(asks.filter("size(anchor) = 0"), prod, hits, s, max(s.members_of, k), past))
     if "label" in requests.columns:  # a label is looked for in each row
         held = materialize(asks.filter("size(anchor) > 0"), "cascade-labelled")
         pairs = pairs.unionByName(word_candidates(held, prod, s.part_share, hits)).unionByName(reverse_candidates(held, prod)).unionByName(name_candidates(held, prod))
-    like = past = None
+    like = None
     if similar is not None:
         like = asks.select("r", "t").join(similar.select(F.trim(F.lower("phrase")).alias("t"), "id", "like"), "t").groupBy("r", "id").agg(F.max("like").alias("like"))
         pairs = pairs.unionByName(like.select("r", "id"))
-    if history is not None:
-        past = history.select(F.trim(F.lower("phrase")).alias("t"), F.trim(F.lower("product")).alias("name"), F.trim(F.lower(F.coalesce("model", F.lit("")))).alias("model"), "times")
-        past = materialize(past.groupBy("t", "name", "model").agg(F.sum("times").alias("times")), "cascade-past")
-        again = past.join(asks.filter("not coded").select("r", "t"), "t").join(prod.select("id", "name", "model").hint("merge"), ["name", "model"])
-        pairs = pairs.unionByName(again.select("r", "id"))
     pairs = materialize(pairs.distinct(), "cascade-pairs")
     # Judging a pair costs more than its bytes tell, so it is dealt by numbers of pairs.
     lanes = -(-pairs.count() // PAIRS_A_TASK) or 1
