@@ -202,7 +202,7 @@ def products_of(products: DataFrame) -> DataFrame:
     names = names.withColumns({"ntoks": tokens(F.col("name")), "hcore": R.core_words(F.col("human")), "name_key": normal(F.col("name")), "human_key": normal(F.col("human"))})
     specs = kept(specs, "spec", vocabulary, "left_semi")
     rows = rows.withColumn("code", F.regexp_replace("model", "[^a-z0-9]", ""))
-    return rows.join(names, ["name", "brand", "unnamed"]).join(specs, ["spec", "brand"]).drop("unnamed")
+    return rows.hint("merge").join(names, ["name", "brand", "unnamed"]).hint("merge").join(specs, ["spec", "brand"]).drop("unnamed")  # a small file may hold many rows
 
 
 # ---------------------------------------------------------------- candidates
@@ -281,13 +281,13 @@ def name_candidates(req: DataFrame, prod: DataFrame) -> DataFrame:
 def code_candidates(req: DataFrame, prod: DataFrame) -> DataFrame:
     """(r, id) by models and tax codes: equal, or a model that contains a typed code or number."""
     codes = req.select("r", F.explode(F.array_distinct(F.concat("typed", "numbers"))).alias("x")).filter("length(x) >= 2")
-    equal = req.select("r", F.explode("stripped").alias("code")).filter("code <> ''").join(prod.select("id", "code"), "code")
+    equal = req.select("r", F.explode("stripped").alias("code")).filter("code <> ''").join(prod.select("id", "code").hint("merge"), "code")
     models = prod.filter("model <> ''").select("model").distinct()
     grams = models.select("model", F.explode(F.array_distinct(F.concat(_grams(F.col("model"), 2), _grams(F.col("model"), 3)))).alias("gram"))
     inside = codes.withColumn("gram", F.substring("x", 1, 3)).join(grams, "gram").filter(F.contains("model", F.col("x"))).select("r", "model").distinct()
-    inside = inside.join(prod.select("id", "model"), "model")
+    inside = inside.join(prod.select("id", "model").hint("merge"), "model")
     taxes = prod.filter("hsn <> ''").select("id", F.explode(F.array_distinct(F.concat(F.array("hsn"), *[F.array(F.substring("hsn", 1, n)) for n in (6, 7, 8)]))).alias("key"))
-    tax = req.select("r", F.explode("hsns").alias("key")).join(taxes, "key")
+    tax = req.select("r", F.explode("hsns").alias("key")).join(taxes.hint("merge"), "key")
     return equal.select("r", "id").unionByName(inside.select("r", "id")).unionByName(tax.select("r", "id"))
 
 
@@ -354,7 +354,7 @@ def classed(prod: DataFrame, req: DataFrame, hits: dict[str, DataFrame], s: Scor
     names = names.select("name", "brand", "nwords", "nshort", "long", "name_key_asked", "human_key_asked", "nc")
     specs = specs.withColumn("swords", F.array_sort("swords")).select("spec", "brand", "swords", _key("swords", F.array_sort("spec_added")).alias("sc"))
     flag = F.when(F.col("price") > 0, s.priced).otherwise(0) + F.when(F.col("image"), s.pictured).otherwise(0)
-    return prod.join(names, ["name", "brand"]).join(specs, ["spec", "brand"]).withColumn("flag", flag)
+    return prod.hint("merge").join(names, ["name", "brand"]).hint("merge").join(specs, ["spec", "brand"]).withColumn("flag", flag)
 
 
 def _scopes(asks: DataFrame, prod: DataFrame, s: Scores) -> DataFrame:
